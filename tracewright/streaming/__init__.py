@@ -1,0 +1 @@
+"""tracewright.streaming"""
