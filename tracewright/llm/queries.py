@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .simhash import simhash_components
+from .suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,8 +23,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without any byte of a 200-byte string that starts twice or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, factor=200, keep_first=False, keep_text=False)
+
+
 def queries() -> dict[str, Query]:
-    return {"op10_simhash": op10_simhash}
+    return {f.__name__: f for f in (op9_suffix_array, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
