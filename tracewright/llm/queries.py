@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import mix_oracle, mix_sources
 from .simhash import simhash_components
 from .suffix_dedup import remove_repeats
 
@@ -23,6 +24,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes of them."""
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without any byte of a 200-byte string that starts twice or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -30,8 +36,8 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op9_suffix_array, op10_simhash)}
+    return {f.__name__: f for f in (op5_mixing, op9_suffix_array, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mix_oracle()}
