@@ -12,6 +12,7 @@ from .mixing import mix_oracle, mix_sources
 from .packing import pack
 from .simhash import simhash_components
 from .suffix_dedup import remove_repeats
+from .toxicity import fit, score, severity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +38,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their expected severity, likeliest grade and whether they count as toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"), severity(F.col("toxic"), F.col("quality")))
+    return score(docs, model).select("doc_id", "expected_severity", "grade", "toxic")
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without any byte of a 200-byte string that starts twice or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,7 +52,7 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_packing, op5_mixing, op9_suffix_array, op10_simhash)}
+    return {f.__name__: f for f in (op4_packing, op5_mixing, op8_toxicity, op9_suffix_array, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
