@@ -12,6 +12,7 @@ from .mixing import mix_oracle, mix_sources
 from .packing import pack
 from .simhash import simhash_components
 from .suffix_dedup import remove_repeats
+from .token_counts import count_tokens
 from .toxicity import fit, score, severity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their expected severity, likeliest grade and whether they count as toxic."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,7 +60,7 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_packing, op5_mixing, op8_toxicity, op9_suffix_array, op10_simhash)}
+    return {f.__name__: f for f in (op4_packing, op5_mixing, op6_token_counts, op8_toxicity, op9_suffix_array, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
