@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import stored
+from .histograms import boundary_keys
 
-#: A document's hash has 60 bits; each histogram resolves 12 more of them.
-HASH_BITS, STEP_BITS = 60, 12
+#: Of a document's hash.
+HASH_BITS = 60
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,35 +50,15 @@ def targets(totals: DataFrame, weights: tuple[int, ...], share: float, cap: floa
 def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     """``source, repeats, threshold``: documents with a hash up to the threshold are taken once more than ``repeats``.
 
-    Nested histograms: sizes are summed by source and leading hash bits, the
-    bucket in which the running sum passes the goal is the boundary, and only
-    its documents are summed again by the next bits, until it holds one hash.
-    That hash is taken if this comes nearer to the goal. Nothing is sorted but
-    the buckets of a histogram.
+    The boundary hash, at which the running sum passes what is missing, is taken
+    if this comes nearer to the target.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = goals.withColumn("repeats", whole).withColumn("goal", F.col("target") - F.col("repeats") * F.col("source_size"))
-    state = state.select("source", "repeats", "goal", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
-    state = stored(state, "goals")
-    done = None
-    for shift in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
-        open_ = state.alias("s")
-        inside = sized.alias("d").join(open_, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.shiftright("d.h", shift + STEP_BITS) == F.col("s.prefix")))
-        bucket = inside.groupBy("s.source", "repeats", "goal", "below", F.shiftright("d.h", shift).alias("b"))
-        sums = bucket.agg(F.sum("d.size").alias("v"), F.min("d.h").alias("h0"), F.max("d.h").alias("h1"))
-        along = Window.partitionBy("source").orderBy("b")
-        sums = sums.withColumn("under", F.col("below") + F.coalesce(F.sum("v").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        passed = sums.where(F.col("under") + F.col("v") >= F.col("goal"))
-        first = passed.groupBy("source", "repeats", "goal").agg(F.min_by(F.struct("b", "under", "v", "h0", "h1"), "b").alias("x"))
-        found = stored(first.select("source", "repeats", "goal", "x.*"), "boundary")
-        single = F.col("h0") == F.col("h1")
-        near = F.when(2 * (F.col("goal") - F.col("under")) >= F.col("v"), F.col("h0")).otherwise(F.col("h0") - 1)
-        ended = found.where(single).select("source", "repeats", near.alias("threshold"))
-        done = ended if done is None else done.unionAll(ended)
-        state = found.where(~single).select("source", "repeats", "goal", F.col("b").alias("prefix"), F.col("under").alias("below"))
-        if state.isEmpty():
-            break
-    return done
+    edge = boundary_keys(sized.select(F.col("source").alias("g"), "h", "size"), state.select(F.col("source").alias("g"), "goal"), HASH_BITS)
+    near = F.when(2 * (F.col("goal") - F.col("under")) >= F.col("v"), F.col("h")).otherwise(F.col("h") - 1)
+    edge = edge.select(F.col("g").alias("source"), near.alias("threshold"))
+    return state.alias("a").join(edge.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", "repeats", "threshold")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:

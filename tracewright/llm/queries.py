@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .mixing import mix_oracle, mix_sources
 from .packing import pack
+from .sharding import kd_shards
 from .simhash import simhash_components
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 from .toxicity import fit, score, severity
+from .url_filter import Rule, judge_oracle, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +30,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+RULES: list[Rule] = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages with the rule that fits their url and the verdict on it."""
+    judged = judge_urls(table(spark, sf_dir, "pages"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight leaves of near equal bytes of a k-d tree over length, language and density."""
+    docs = table(spark, sf_dir, "documents")
+    text_bytes = F.octet_length("text")
+    dimensions = {"length": F.log2(text_bytes + 1), "language": F.crc32(F.col("lang").cast("binary")), "density": text_bytes / F.char_length("text")}
+    shards = kd_shards(docs, dimensions, shards=8)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of full windows of 2048 ids, each with every source's share."""
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
@@ -60,8 +86,8 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_packing, op5_mixing, op6_token_counts, op8_toxicity, op9_suffix_array, op10_simhash)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op4_packing, op5_mixing, op6_token_counts, op8_toxicity, op9_suffix_array, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mix_oracle()}
+    return {"op1_url_filter": judge_oracle(RULES), "op5_mixing": mix_oracle()}
