@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .forest_search import forest_search
 from .mixing import mix_oracle, mix_sources
 from .packing import pack
 from .sharding import kd_shards
@@ -72,6 +73,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth embedding with all others."""
+    found = forest_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their expected severity, likeliest grade and whether they count as toxic."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -86,7 +93,7 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op4_packing, op5_mixing, op6_token_counts, op8_toxicity, op9_suffix_array, op10_simhash)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op4_packing, op5_mixing, op6_token_counts, op7_forest_search, op8_toxicity, op9_suffix_array, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
