@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .forest_search import forest_search
+from .graph_dedup import near_vectors
 from .mixing import mix_oracle, mix_sources
 from .packing import pack
 from .sharding import kd_shards
@@ -55,6 +56,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings with their links of cosine 0.9 or more."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of full windows of 2048 ids, each with every source's share."""
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
@@ -93,7 +99,7 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op4_packing, op5_mixing, op6_token_counts, op7_forest_search, op8_toxicity, op9_suffix_array, op10_simhash)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_graph_dedup, op4_packing, op5_mixing, op6_token_counts, op7_forest_search, op8_toxicity, op9_suffix_array, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
