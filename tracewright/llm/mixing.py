@@ -62,25 +62,28 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """``id_col, source, size, source_size, target, taken`` for every row of ``docs``.
+    """The rows of ``docs`` with ``size, source_size, target, taken, times``.
 
-    size counts words (null text: 0). taken is how many words of the row the mix
-    takes, repeats counted: a multiple of size, at most ``cap`` (up to 2) times.
+    size counts words (null text: 0). times is how often the mix takes the row,
+    repeats counted and at most ``cap`` (up to 2), and taken is times x size.
     Which rows are taken depends only on their ids, so reruns agree; rows that
     repeat an id go together. A source's taken words miss its target by at most
     half of its boundary document. Null sources are one source, the last; a
-    source without words takes nothing. Extra columns are ignored; no rows, no
-    result.
+    source without words takes nothing. Columns of these names are replaced, all
+    others stay; no rows, no result. Only the plan, a row a source, is joined.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    sized = stored(sized.withColumn("h", id_hash(F.col("id"))), "sizes")
+    out = ("size", "source_size", "target", "taken", "times")
+    docs = docs.drop(*[c for c in out if c not in (id_col, source_col, text_col)])
+    source, size, h = F.col(source_col).cast("string"), word_count(F.col(text_col).cast("string")), id_hash(F.col(id_col))
+    sized = stored(docs.select(source.alias("source"), size.alias("size"), h.alias("h")), "sizes")
     goals = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
     cut = thresholds(sized, goals)
     plan = goals.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
-    plan = stored(plan.select("g.source", "source_size", "target", F.coalesce("repeats", F.lit(0)).alias("repeats"), F.coalesce("threshold", F.lit(-1)).alias("threshold")), "mix")
-    rows = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    times = F.col("repeats") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)
-    return rows.select(F.col("id").alias(id_col), F.col("d.source").alias("source"), "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.cast("long").alias("times"))
+    plan = plan.select(F.col("g.source").alias("mix_source_"), "source_size", "target", F.coalesce("repeats", F.lit(0)).alias("mix_repeats_"), F.coalesce("threshold", F.lit(-1)).alias("mix_threshold_"))
+    plan = stored(plan, "mix")
+    rows = docs.withColumn("size", size).join(plan, source.eqNullSafe(F.col("mix_source_")))
+    times = (F.col("mix_repeats_") + F.when(h <= F.col("mix_threshold_"), 1).otherwise(0)).cast("long")
+    return rows.withColumn("times", times).withColumn("taken", F.col("size") * F.col("times")).select(*docs.columns, *out)
 
 
 def mix_oracle(weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> str:

@@ -277,16 +277,29 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
+def _on_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out = []
+    for a, b in spans:
+        while a < b and data[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
 _RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", factor: int = 200, keep_first: bool = True, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", factor: int = 200, keep_first: bool = True, keep_text: bool = True, whole_chars: bool = False) -> DataFrame:
     """Each row of ``docs`` with ``n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``kept`` (the bytes left).
 
     Removed is every byte covered by a ``factor``-byte string (at least 48) of
     the text's UTF-8 that also starts at an earlier place in (id, offset) order,
     the same text included; with ``keep_first=False``, at any other place.
-    Strings are judged on the input and never span two texts. Null texts count
+    Strings are judged on the input and never span two texts. ``whole_chars``
+    shrinks removed spans to whole characters, so that the bytes left are UTF-8. Null texts count
     as empty and keep null ids last in the order; rows that repeat both id and
     text count as one place for ``keep_first``, and as two otherwise. Shorter
     texts come out whole. Extra columns stay; columns named like those of the
@@ -309,6 +322,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for text, starts in zip(batch.column("t_"), batch.column("spans_"), strict=True):
                 data = _utf8(text.as_py())
                 cut = cut_spans(len(data), [(x["a"], x["b"]) for x in starts.as_py() or ()], factor)
+                if whole_chars:
+                    cut = _on_characters(data, cut)
                 kept = _kept(data, cut)
                 out["n_bytes"].append(len(data))
                 out["n_removed"].append(len(data) - len(kept))
