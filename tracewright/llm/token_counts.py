@@ -185,7 +185,7 @@ class WordBpe:
             out.append(special)
             for block in blocks:
                 words = self.pretokens(block)
-                fresh = set(words) - self.seen.keys() - waiting.keys()
+                fresh = [w for w in set(words) if w not in self.seen and w not in waiting]
                 waiting.update(dict.fromkeys(fresh, 0))
                 load += sum(map(len, fresh)) + len(words) // 8
                 held.append((len(out) - 1, words))
