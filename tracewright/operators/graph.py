@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import stored
+from ..plans.storage import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if seen == before or not seen[0]:
             break
         before = seen
-        current = stored(_small_star(_large_star(current)), "stars")
+        current, last = stored(_small_star(_large_star(current)), "stars"), current
+        discard(last)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -25,9 +25,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tracewright/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read from there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracewright/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_path_ = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table made by ``stored`` that nothing will read again."""
+    _delete(table.sparkSession, table.stored_path_)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete all tables that this application stored, once its results have been written."""
+    _delete(spark, _own_dir(spark))
