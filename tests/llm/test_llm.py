@@ -211,6 +211,14 @@ def test_pack_round_trip(spark):
 
 # ---- token counts ----
 
+def test_counts_do_not_depend_on_what_is_remembered(monkeypatch):
+    texts = [prose(k % 7, 60) for k in range(40)]
+    want = WordBpe(WORD_BPE).counts(iter(texts))
+    monkeypatch.setattr("tracewright.llm.token_counts.REMEMBERED", 50)
+    monkeypatch.setattr("tracewright.llm.token_counts.BATCH_SYMBOLS", 300)
+    assert WordBpe(WORD_BPE).counts(iter(texts)) == want
+
+
 def test_counts_are_the_library_s(spark):
     from tokenizers import Tokenizer
 

@@ -169,11 +169,11 @@ class WordBpe:
                 some = names[at : at + BATCH_WORDS]
                 for w, n in zip(some, self.merged_lengths(some).tolist(), strict=True):
                     waiting[w] = n
-            if len(self.seen) + len(waiting) > REMEMBERED:
-                self.seen.clear()
             get, new = self.seen.get, waiting
             for row, words in held:
                 out[row] += sum(n if (n := get(w)) is not None else new[w] for w in words)
+            if len(self.seen) + len(waiting) > REMEMBERED:  # only now that no text waits for what it holds
+                self.seen.clear()
             if len(waiting) <= REMEMBERED:
                 self.seen.update(waiting)
             waiting.clear()
