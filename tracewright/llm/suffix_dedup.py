@@ -68,7 +68,11 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(data: bytes, lengths: list[int], factor: int, hasher: _Hasher) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: for each stretch the text's number, its first and last window, its minimizer and hash."""
+    """Of texts laid end to end: for each stretch the text's number, its first and last window, its minimizer and hash.
+
+    Where a text repeats a stretch right after itself, as periodic text does, the
+    copies are one row: the last window of all and their number come behind.
+    """
     raw = np.frombuffer(data, dtype=np.uint8)
     grams = hasher.grams(raw)
     slot = np.arange(len(grams), dtype=np.uint64)
@@ -91,7 +95,13 @@ def stretches(data: bytes, lengths: list[int], factor: int, hasher: _Hasher) ->
     text = np.searchsorted(ends, first, side="right")
     digest = xxhash.xxh3_64_intdigest
     code = np.fromiter((digest(data[a : b + factor]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), dtype=np.uint64, count=len(first))
-    return text, first - begins[text], last - begins[text], grams[where[first]].view(np.int64), code.view(np.int64)
+    key = grams[where[first]]
+    new = np.ones(len(first), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (code[1:] != code[:-1]) | (first[1:] != last[:-1] + 1)
+    head = np.flatnonzero(new)
+    times = np.diff(np.concatenate([head, [len(first)]]))
+    text, shift = text[head], begins[text[head]]
+    return text, first[head] - shift, last[head] - shift, key[head].view(np.int64), code[head].view(np.int64), last[head + times - 1] - shift, times
 
 
 def _utf8(text: str | None) -> bytes:
@@ -102,10 +112,11 @@ def _cut(batches: Iterator[pa.RecordBatch], factor: int) -> Iterator[pa.RecordBa
     hasher = _Hasher()
 
     def flush(batch: pa.RecordBatch, parts: list[bytes], owners: list[tuple[int, int]]) -> pa.RecordBatch:
-        text, lo, hi, mh, code = stretches(b"".join(parts), [len(p) for p in parts], factor, hasher)
+        text, lo, hi, mh, code, end, times = stretches(b"".join(parts), [len(p) for p in parts], factor, hasher)
         row, shift = (np.array(x, dtype=np.int64) for x in zip(*owners, strict=True))
         ids = [batch.column(c).take(pa.array(row[text])) for c in range(2)]
-        return pa.RecordBatch.from_arrays(ids + [pa.array(x) for x in (lo + shift[text], hi + shift[text], mh, code)], names=["rid", "at", "lo", "hi", "mh", "code"])
+        numbers = (lo + shift[text], hi + shift[text], mh, code, end + shift[text], times)
+        return pa.RecordBatch.from_arrays(ids + [pa.array(x) for x in numbers], names=["rid", "at", "lo", "hi", "mh", "code", "end", "times"])
 
     for batch in batches:
         parts: list[bytes] = []
@@ -208,14 +219,14 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, factor: int, k
     """``rid, a, b``: runs of window starts to remove. ``docs`` has the row ids of ``with_row_id``."""
     texts = docs.select("rid", F.col(id_col).alias("at"), F.col(text_col).cast("string").alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"rid long, at {kind}, lo long, hi long, mh long, code long"
+    schema = f"rid long, at {kind}, lo long, hi long, mh long, code long, end long, times long"
     rows = stored(texts.where(F.octet_length("t") >= factor).mapInArrow(lambda it: _cut(it, factor), schema), "stretches")
-    by_key = rows.groupBy("mh").agg(F.count(F.lit(1)).alias("of_key"), F.min("code").alias("c0"), F.max("code").alias("c1"))
+    by_key = rows.groupBy("mh").agg(F.sum("times").alias("of_key"), F.min("code").alias("c0"), F.max("code").alias("c1"))
     again = by_key.where("of_key > 1").select("mh", (F.col("c0") == F.col("c1")).alias("alike"))
     rows = stored(rows.join(again, "mh"), "repeated-stretches")
 
     place = F.struct(F.col("at").isNull().alias("z"), "at", "rid", "lo", "hi")
-    classes = rows.groupBy("mh", "code", "alike").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
+    classes = rows.groupBy("mh", "code", "alike").agg(F.sum("times").alias("n"), F.min(place).alias("one"))
     classes = stored(classes.select("mh", "code", "alike", "n", "one.rid", "one.lo", "one.hi"), "classes")
     mixed = classes.where("not alike")
     needed = mixed.groupBy("rid").agg(F.collect_list(F.struct("mh", "code", "n", "lo", "hi")).alias("cuts"))
@@ -240,16 +251,18 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, factor: int, k
     found = few.withColumn("part", F.pmod("mh", F.lit(parts))).groupBy("part").applyInPandas(lambda f: _sorted_repeats(f, factor), _FOUND)
     found = found.unionAll(_hashed_repeats(many, factor).select("mh", "code", "repeated", "earlier"))
 
-    # stretches that are alike repeat as wholes; of the others the found windows do
-    whole, part = rows.where("alike"), rows.where("not alike").join(found, ["mh", "code"])
+    # stretches that are alike repeat as wholes; of the others the found windows do; copies right behind a stretch always do
+    begin = F.lit(False)  # whether a row is the first place of its stretch, which stays
     if keep_first:
         head = classes.select("mh", "code", F.col("rid").alias("rid0"), F.col("lo").alias("lo0"))
-        not_head = (F.col("rid") != F.col("rid0")) | (F.col("lo") != F.col("lo0"))
-        whole = whole.join(head, ["mh", "code"]).where(not_head)
-        part = part.join(head, ["mh", "code"]).withColumn("repeated", F.when(not_head, F.col("repeated")).otherwise(F.col("earlier")))
-    part = part.select("rid", "lo", F.explode("repeated").alias("x"))
+        rows = rows.join(head, ["mh", "code"])
+        begin = (F.col("rid") == F.col("rid0")) & (F.col("lo") == F.col("lo0"))
+    whole = rows.where("alike").where(~begin).select("rid", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    behind = rows.where("times > 1").select("rid", (F.col("hi") + 1).alias("a"), F.col("end").alias("b"))
+    part = rows.where("not alike").join(found, ["mh", "code"])
+    part = part.select("rid", "lo", F.explode(F.when(begin, F.col("earlier")).otherwise(F.col("repeated"))).alias("x"))
     part = part.select("rid", (F.col("lo") + F.col("x.a")).alias("a"), (F.col("lo") + F.col("x.b")).alias("b"))
-    return whole.select("rid", F.col("lo").alias("a"), F.col("hi").alias("b")).unionAll(part)
+    return whole.unionAll(behind).unionAll(part)
 
 
 def with_row_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
