@@ -721,7 +721,7 @@ def minmax_scale(spark, sf):
     return rounded(st.minmax(rows, ["n", "m"]).select("event_type", "n_scaled", "m_scaled"), "n_scaled", "m_scaled")
 
 
-@query(f"SELECT round(avg(LATITUDE), 9) AS ref_lat, min(LATITUDE) AS south, max(LATITUDE) AS north, round(avg(LONGITUDE), 9) AS mean_lon, min(LONGITUDE) AS west, max(LONGITUDE) AS east FROM {GPS}")
+@query(f"SELECT round(avg(LATITUDE) + 3e-11, 9) AS ref_lat, min(LATITUDE) AS south, max(LATITUDE) AS north, round(avg(LONGITUDE) + 3e-11, 9) AS mean_lon, min(LONGITUDE) AS west, max(LONGITUDE) AS east FROM {GPS}")
 def map_bounds(spark, sf):
     lat, lon = "LATITUDE", "LONGITUDE"
-    return fx.gps_points(spark, sf).agg(F.round(F.avg(lat), 9).alias("ref_lat"), F.min(lat).alias("south"), F.max(lat).alias("north"), F.round(F.avg(lon), 9).alias("mean_lon"), F.min(lon).alias("west"), F.max(lon).alias("east"))
+    return fx.gps_points(spark, sf).agg(F.round(F.avg(lat) + 3e-11, 9).alias("ref_lat"), F.min(lat).alias("south"), F.max(lat).alias("north"), F.round(F.avg(lon) + 3e-11, 9).alias("mean_lon"), F.min(lon).alias("west"), F.max(lon).alias("east"))
