@@ -17,6 +17,7 @@ from tracewright.llm import golay, histograms
 from tracewright.llm.forest_search import forest_search
 from tracewright.llm.graph_dedup import near_vectors
 from tracewright.llm.mixing import mix_sources
+from tracewright.llm.near_copies import near_copies
 from tracewright.llm.packing import RoundRobin, byte_bpe, pack
 from tracewright.llm.sharding import kd_shards
 from tracewright.llm.simhash import simhash_components, text_fingerprint
@@ -87,6 +88,46 @@ def test_simhash_links_equal_brute_force(spark, monkeypatch, crowd):
     assert simhash_components(docs(spark, [])).count() == 0
 
 
+# ---- near copies ----
+
+def edited_rows():
+    rows = list(ODD)
+    for k in range(40):
+        words = prose(50 + k % 20, 300).split()
+        for j in range(k % 20):  # 0 to 19 words edited: a similarity from 1 down to 0.5
+            words[7 + 15 * j] = f"e{k}x{j}"
+        rows.append((100 + k, " ".join(words), "a"))
+    return rows + [(500 + k, prose(900, 200 + 30 * k), "a") for k in range(6)]
+
+
+@pytest.mark.parametrize("centres", [8, 1])
+def test_near_copies_equal_brute_force(spark, monkeypatch, centres):
+    monkeypatch.setattr("tracewright.llm.near_copies.CENTRES", centres)  # with one, lists of three go through all turns
+    monkeypatch.setattr("tracewright.llm.near_copies.COUNT_BYTES", 1 << 16)
+    rows = [r for r in edited_rows() if r[0] is not None]
+    sets = []
+    for _, t, _ in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    label = {r[0]: r[0] for r in rows}
+    for _ in range(30):
+        for (a, x), (b, y) in combinations(zip([r[0] for r in rows], sets, strict=True), 2):
+            if 10 * len(x & y) >= 8 * len(x | y):
+                label[a] = label[b] = min(label[a], label[b])
+    found = {r["doc_id"]: r["component_id"] for r in near_copies(docs(spark, edited_rows())).collect()}
+    assert {k: found.get(k, k) for k in label} == label and len(set(label.values())) < len(label) - 10
+    assert near_copies(docs(spark, [])).count() == 0
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    text = prose(77, 400).split()
+    edited = [" ".join(f"new{k}" if j in (50, 150, 250, 350)[:k] else w for j, w in enumerate(text)) for k in range(5)]
+    table = docs(spark, [(k, t, "a") for k, t in enumerate(edited)] + [(9, prose(78, 400), "a")])
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, table, "").collect()} == {0, 9}
+
+
 # ---- suffix array ----
 
 def brute_repeats(rows, factor, keep_first):
