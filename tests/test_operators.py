@@ -182,3 +182,28 @@ def test_csv_sources(spark, tmp_path):
     df = spark.createDataFrame([("t", ["1:2", "3:4"])], "TRAJECTORY_UID string, CELL_SET array<string>")
     src.write_table(df, str(tmp_path / "out"), "csv")
     assert src.read_features(spark, str(tmp_path / "out")).first()["CELL_SET"] == ["1:2", "3:4"]
+
+
+def test_overlap_goes_on_after_a_block(spark):
+    random.seed(5)
+    rows = []
+    for k in range(120):  # every third one is new, the others lie on it
+        at = k // 3 if k < 60 else k
+        rows.append((k, [(at * 10 + j, random.randint(0, 1) if k % 3 else 0) for j in range(6)]))
+    shown = spark.createDataFrame(rows, "corridor_id long, cells array<struct<gx:long,gy:long>>")
+    taken, kept = set(), []
+    for k, own in rows:
+        if len(set(own) & taken) / len(set(own)) <= 0.35 and len(kept) < 50:
+            kept.append(k)
+            taken |= set(own)
+    for block in (7, 1000):
+        found = co.without_overlap(shown, most=50, block=block)
+        assert sorted(r["corridor_id"] for r in found.collect()) == kept
+    assert co.without_overlap(shown.limit(0)).count() == 0
+    assert [r["corridor_id"] for r in co.without_overlap(shown.where("corridor_id < 3"), most=1, block=1).collect()] == [0]
+
+
+def test_overlap_looks_past_twenty_times_the_most(spark):
+    rows = [(k, [(0, 0), (1, 1)]) for k in range(100)] + [(100, [(5, 5)])]
+    shown = spark.createDataFrame(rows, "corridor_id long, cells array<struct<gx:long,gy:long>>")
+    assert sorted(r["corridor_id"] for r in co.without_overlap(shown, most=2, block=40).collect()) == [0, 100]

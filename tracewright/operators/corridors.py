@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections import defaultdict
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import MAP_REGION, haversine, in_box
+from ..plans.storage import stored
 from .graph import connected_components
 
 LEAST_WEIGHT, WEIGHT_BONUS, LEAST_COSINE, MOST_STEPS, LEAST_CELLS = 2, 0.35, -0.2, 5000, 8
@@ -118,25 +120,42 @@ def display_cells(coords: Column) -> Column:
     return F.array_distinct(F.transform(coords, lambda p: F.struct(F.bround(p["lat"], 3).alias("lat"), F.bround(p["lon"], 3).alias("lon"))))
 
 
-def without_overlap(shown: DataFrame, order: str = "corridor_id", cells: str = "cells", most_overlap: float = MOST_OVERLAP, most: int = MOST_SHOWN) -> DataFrame:
+def without_overlap(shown: DataFrame, order: str = "corridor_id", cells: str = "cells", most_overlap: float = MOST_OVERLAP, most: int = MOST_SHOWN, block: int = 20 * MOST_SHOWN) -> DataFrame:
     """Corridors in order, leaving out those that mostly lie on accepted ones; at most ``most``, and the first ones if none is.
 
-    A report of bounded length: only ids and cells of the corridors to show go
-    to the one task that decides, the best ``20 x most`` of them.
+    Only ids and cells go to the one task that decides, ``block`` corridors at a
+    time, until ``most`` are accepted or the corridors end. What is carried on
+    are the accepted ids and their cells, which ``most`` bounds.
     """
-    top = shown.where(F.size(cells) > 0).orderBy(order).limit(20 * most).select(order, cells, F.lit(0).alias("all_"))
-
-    def accept(frame: pd.DataFrame) -> pd.DataFrame:
-        taken: set[tuple] = set()
-        kept = []
-        for key, own in zip(*frame.sort_values(order)[[order, cells]].to_dict("list").values(), strict=True):
-            mine = {tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in own}
-            if len(mine & taken) / len(mine) <= most_overlap:
-                kept.append(key)
-                taken |= mine
-                if len(kept) == most:
-                    break
-        return pd.DataFrame({order: kept})
-
-    kept = top.groupBy("all_").applyInPandas(accept, f"{order} long")
-    return shown.join(F.broadcast(kept), order, "left_semi")
+    spark = shown.sparkSession
+    rows = stored(shown.where(F.size(cells) > 0).select(F.col(order).alias("key"), F.col(cells).alias("own")), "corridor-cells")
+    kept: list[int] = []
+    taken: set[tuple] = set()
+    last = None
+    while len(kept) < most:
+        rest = rows if last is None else rows.where(F.col("key") > last)
+        some = rest.orderBy("key").limit(block).select("key", "own", F.lit(0).alias("all_"))
+        room = most - len(kept)
+
+        def accept(frame: pd.DataFrame) -> pd.DataFrame:  # runs before the next block changes what it holds
+            occupied, found = set(taken), []
+            frame = frame.sort_values("key")
+            for key, own in zip(frame["key"], frame["own"], strict=True):
+                mine = {tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in own}
+                if len(mine & occupied) / len(mine) <= most_overlap:
+                    found.append((key, pickle.dumps(mine)))
+                    occupied |= mine
+                    if len(found) == room:
+                        break
+            return pd.DataFrame([*found, (frame["key"].iloc[-1], None)], columns=["key", "mine"])  # the last one: how far the block goes
+
+        ends = some.groupBy("all_").applyInPandas(accept, "key long, mine binary").collect()
+        if not ends:
+            break
+        for r in ends:
+            if r["mine"] is None:
+                last = r["key"]
+            else:
+                kept.append(r["key"])
+                taken |= pickle.loads(r["mine"])
+    return shown.join(F.broadcast(spark.createDataFrame([(k,) for k in kept], f"{order} long")), order, "left_semi")
