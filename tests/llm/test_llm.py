@@ -375,6 +375,31 @@ def test_near_vectors_equal_brute_force(spark):
     assert near_vectors(vectors(spark, []).limit(0)).count() == 0
 
 
+def families(seed):
+    """Two tight families, cosine 0.99 inside and 0.92 across, and rows far from both; with the links among them."""
+    r = np.random.default_rng(seed)
+    axis = np.eye(96)
+    rows = []
+    for centre in (axis[0], 0.929 * axis[0] + np.sqrt(1 - 0.929**2) * axis[1]):
+        for _ in range(70):
+            noise = np.concatenate([[0, 0], r.standard_normal(94)])
+            rows.append(np.sqrt(0.99) * centre + np.sqrt(0.01) * noise / np.linalg.norm(noise))
+    data = np.concatenate([rows, r.standard_normal((400, 96))]).astype(np.float32)
+    unit = data.astype(float) / np.linalg.norm(data.astype(float), axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    return data, near
+
+
+def test_tight_families_stay_linked(spark, monkeypatch):
+    monkeypatch.setattr("tracewright.llm.graph_dedup._found_share", lambda *_: 1.0)  # without the audit's help
+    data, near = families(8)
+    assert near[:70, 70:140].all()
+    found = {x["vec_id"]: x for x in near_vectors(vectors(spark, data), shard_rows=2000).collect()}
+    assert [found[k]["n_links"] for k in range(len(data))] == near.sum(1).tolist()
+    assert {found[k]["component_id"] for k in range(140)} == {0}
+
+
 def test_forest_search_recall_and_ties(spark):
     r = np.random.default_rng(4)
     data = np.concatenate([r.standard_normal((1500, 8)), np.repeat(r.standard_normal((1, 8)), 60, axis=0)]).astype(np.float32).astype(float)

@@ -154,6 +154,25 @@ def range_search(data: np.ndarray, graph: Neighbours, least: float) -> tuple[np.
     return np.concatenate(left), np.concatenate(right)
 
 
+def crowded_pairs(data: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows (a < b) with a cosine of at least ``least`` one of which has more near rows than a graph node candidates.
+
+    Where even the farthest candidate lies within the widened range, edges and
+    beam may stay in one tight family, so these rows are compared with all.
+    """
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at in range(0, len(data) if len(data) > CANDIDATES else 0, TOGETHER):
+        near = data[at : at + TOGETHER] @ data.T
+        near[np.arange(len(near)), at + np.arange(len(near))] = -np.inf
+        crowded = np.flatnonzero((near >= least - SLACK).sum(axis=1) >= CANDIDATES)
+        row, other = np.nonzero(near[crowded] >= least)
+        row = at + crowded[row]
+        left.append(np.minimum(row, other))
+        right.append(np.maximum(row, other))
+    code = np.unique(np.concatenate(left) * len(data) + np.concatenate(right)) if len(data) else left[0]
+    return code // max(1, len(data)), code % max(1, len(data))
+
+
 def near_vectors(table: DataFrame, least: float = 0.9, shard_rows: int = 2000, overlap: int = 4, sample_rows: int = 20000, recall: float = 0.95, audit_queries: int = 200, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``id_col, n_links, component_id, kept`` for every vector: links of cosine >= ``least`` and what they connect.
 
@@ -161,7 +180,8 @@ def near_vectors(table: DataFrame, least: float = 0.9, shard_rows: int = 2000, o
     nearest centres (k-means on at most ``sample_rows`` of them); each shard
     builds a robust-pruned graph, the adjacency lists of a node are united over
     its shards, and a range search from each shard's medoid follows the united
-    lists. All links found are computed in double precision. Recall is audited
+    lists; nodes with more near rows than candidates are compared with their
+    whole shard. All links found are computed in double precision. Recall is audited
     against an exact search of ``audit_queries`` nodes over all others; below
     ``recall`` the overlap doubles and the work is done again, up to all shards.
     component_id is the smallest id reachable. Vectors that are null, zero, of
@@ -238,6 +258,9 @@ def _links(nodes: DataFrame, centres: np.ndarray, overlap: int, least: float) ->
         b = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
         here = ids[b] == to  # lists also name nodes of other shards
         left, right = range_search(data, Neighbours(len(ids), a[here], b[here]), least)
+        more = crowded_pairs(data, least)
+        code = np.unique(np.concatenate([left, more[0]]) * len(ids) + np.concatenate([right, more[1]]))
+        left, right = code // len(ids), code % len(ids)
         label = np.arange(len(ids))
         while True:  # the least row that the links reach
             low = np.minimum(label[left], label[right])
