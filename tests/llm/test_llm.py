@@ -400,6 +400,16 @@ def test_tight_families_stay_linked(spark, monkeypatch):
     assert {found[k]["component_id"] for k in range(140)} == {0}
 
 
+def test_recall_is_audited_when_shards_end(spark, monkeypatch):
+    empty = lambda *_: (np.empty(0, np.int64), np.empty(0, np.int64))
+    monkeypatch.setattr("tracewright.llm.graph_dedup.range_search", empty)
+    monkeypatch.setattr("tracewright.llm.graph_dedup.crowded_pairs", empty, raising=False)
+    monkeypatch.setattr("tracewright.llm.graph_dedup.BLOCK_ROWS", 100, raising=False)
+    data, near = families(9)
+    found = {x["vec_id"]: x["n_links"] for x in near_vectors(vectors(spark, data), audit_queries=540).collect()}
+    assert [found[k] for k in range(len(data))] == near.sum(1).tolist()
+
+
 def test_forest_search_recall_and_ties(spark):
     r = np.random.default_rng(4)
     data = np.concatenate([r.standard_normal((1500, 8)), np.repeat(r.standard_normal((1, 8)), 60, axis=0)]).astype(np.float32).astype(float)

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..plans.storage import stored
-from .vectors import best_of_all, matrix, sample, valid_vectors
+from .vectors import matrix, sample, valid_vectors
 
 #: Nearest vectors considered for a node's edges, edges kept, and the pruning factor.
 CANDIDATES, DEGREE, ALPHA = 48, 24, 1.2
 #: Width of the beam that leads from the medoid to a query, and queries that walk together.
 BEAM, TOGETHER = 24, 256
+#: Nodes in a block of the exact comparison of all.
+BLOCK_ROWS = 4096
 #: How far below the wanted cosine the range still expands.
 SLACK = 0.1
 
@@ -180,10 +182,12 @@ def near_vectors(table: DataFrame, least: float = 0.9, shard_rows: int = 2000, o
     nearest centres (k-means on at most ``sample_rows`` of them); each shard
     builds a robust-pruned graph, the adjacency lists of a node are united over
     its shards, and a range search from each shard's medoid follows the united
-    lists; nodes with more near rows than candidates are compared with their
-    whole shard. All links found are computed in double precision. Recall is audited
-    against an exact search of ``audit_queries`` nodes over all others; below
-    ``recall`` the overlap doubles and the work is done again, up to all shards.
+    lists inside the shard; nodes with more near rows than candidates are
+    compared with their whole shard. Links between nodes that share no shard are
+    not found. All links found are computed in double precision. Recall is
+    always audited, on every link that an exact search of ``audit_queries``
+    nodes over all others finds; below ``recall`` the overlap doubles and the
+    work is done again, and where all shards do not do, all nodes are compared.
     component_id is the smallest id reachable. Vectors that are null, zero, of
     another length than most, or hold null or non-finite components link with
     nothing, not even with their like; rows that repeat an id and vector are
@@ -198,12 +202,14 @@ def near_vectors(table: DataFrame, least: float = 0.9, shard_rows: int = 2000, o
     some = sample(nodes, sample_rows)
     unit = some / np.linalg.norm(some, axis=1, keepdims=True) if len(some) else some
     centres = cluster_centres(unit, max(1, min(4096, len(some) // 4 or 1, math.ceil(count * overlap / shard_rows))))
-    audit = unit[:: max(1, len(unit) // audit_queries)][:audit_queries]
-    truth = best_of_all(nodes, audit, 256, normed=True) if count else None
+    truth = stored(_exact_of(nodes, least, audit_queries), "audit-links")
     while True:
         overlap = min(overlap, max(1, len(centres)))
         pairs, spans = _links(nodes, centres, overlap, least)
-        if truth is None or overlap >= len(centres) or _found_share(pairs, nodes, audit, truth, least) >= recall:
+        if _found_share(pairs, truth) >= recall:
+            break
+        if overlap >= len(centres):
+            pairs = spans = _all_links(nodes, count, least)
             break
         overlap *= 2
     ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(pairs.select("b", "a"))
@@ -280,14 +286,51 @@ def _links(nodes: DataFrame, centres: np.ndarray, overlap: int, least: float) ->
     return found.where("not span").select("a", "b"), found.where("span").select("a", "b")
 
 
-def _found_share(pairs: DataFrame, nodes: DataFrame, audit: np.ndarray, truth: tuple[np.ndarray, ...], least: float) -> float:
-    """Of the links of the audited nodes that an exact search finds (up to its length), the share among ``pairs``."""
-    q, ids, score = truth
-    own = {int(n): int(ids[q == n][np.argmax(score[q == n])]) for n in np.unique(q)}
-    wanted = {(own[int(n)], int(i)) for n, i, s in zip(q, ids, score, strict=True) if s >= least and own[int(n)] != int(i)}
-    if not wanted:
-        return 1.0
-    some = list(set(own.values()))
-    near = pairs.where(F.col("a").isin(some) | F.col("b").isin(some)).toArrow()
-    links = set(zip(near["a"].to_pylist(), near["b"].to_pylist(), strict=True))
-    return sum((min(x), max(x)) in links for x in wanted) / len(wanted)
+def _exact_of(nodes: DataFrame, least: float, audit: int) -> DataFrame:
+    """``a, b``: every link of ``audit`` nodes, those with the least hashes, by comparing them with all nodes."""
+    some = nodes.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(audit).select("id", "v").toArrow()
+    queries, own = matrix(some["v"]), some["id"].to_numpy()
+    queries = queries / np.linalg.norm(queries, axis=1, keepdims=True) if len(own) else queries
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(own):
+                continue
+            data, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
+            q, k = np.nonzero(queries @ (data / np.linalg.norm(data, axis=1, keepdims=True)).T >= least)
+            other = own[q] != ids[k]
+            a, b = own[q][other], ids[k][other]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return nodes.select("id", "v").mapInArrow(search, "a long, b long").distinct()
+
+
+def _found_share(pairs: DataFrame, truth: DataFrame) -> float:
+    """The share of the audited nodes' links that is among ``pairs``."""
+    wanted = truth.count()
+    return truth.join(pairs, ["a", "b"], "left_semi").count() / wanted if wanted else 1.0
+
+
+def _all_links(nodes: DataFrame, count: int, least: float) -> DataFrame:
+    """Stored ``a, b`` of all links, by comparing every two blocks of nodes: exact, and its work grows with the square."""
+    blocks = max(1, math.ceil(count / BLOCK_ROWS))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    met = nodes.select("id", "v", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"))
+    met = met.select("id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(both: pa.Table) -> pa.Table:
+        data, ids, own = matrix(both["v"]), both["id"].to_numpy(), both["own"].to_numpy()
+        data = data / np.linalg.norm(data, axis=1, keepdims=True)
+        first = own == both["i"][0].as_py()
+        second = own == both["j"][0].as_py()
+        other, others = data[second], ids[second]
+        found = [np.empty((2, 0), np.int64)]
+        rows, names = data[first], ids[first]
+        for at in range(0, len(rows), TOGETHER):
+            a, b = np.nonzero(rows[at : at + TOGETHER] @ other.T >= least)
+            pair = np.stack([names[at + a], others[b]])
+            found.append(pair[:, pair[0] != pair[1]])
+        pair = np.sort(np.concatenate(found, axis=1), axis=0)
+        return pa.table({"a": pa.array(pair[0], pa.int64()), "b": pa.array(pair[1], pa.int64())})
+
+    return stored(met.groupBy("i", "j").applyInArrow(compare, "a long, b long").distinct(), "all-links")
