@@ -433,6 +433,13 @@ def test_forest_search_recall_and_ties(spark):
     assert forest_search(vectors(spark, []).limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_forest_search_keeps_all_ties(spark):
+    r = np.random.default_rng(6)
+    data = np.concatenate([[[1.0, 0, 0]], np.c_[np.full(300, 0.5), r.permutation(300) - 150.0, np.ones(300)]])
+    found = forest_search(vectors(spark, data), F.col("vec_id") == 0, leaf_rows=4096).collect()
+    assert sorted(x["vec_id"] for x in found) == list(range(1, 21))
+
+
 # ---- pipeline ----
 
 def test_pipeline_drops_what_it_should(spark, tmp_path):

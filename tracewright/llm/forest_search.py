@@ -148,6 +148,7 @@ def forest_search(table: DataFrame, is_query: Column, k: int = 20, trees: int =
         data, points = matrix(members["v"]), matrix(asked["q"])
         leaf, ids = members["leaf"].to_numpy(), members["ids"].to_pylist()
         query, leaves = asked["query_id"].to_numpy(), asked["leaves"].combine_chunks()
+        longest_here = np.linalg.norm(data, axis=1).max()
         known, place = np.unique(leaf, return_inverse=True)
         block = max(1, SCORE_BLOCK // len(data))
         found: list[tuple[int, int, float]] = []
@@ -160,10 +161,11 @@ def forest_search(table: DataFrame, is_query: Column, k: int = 20, trees: int =
             there = known[slot] == asked_leaf
             wanted[np.repeat(np.arange(len(some)), size)[there], slot[there]] = True
             score = np.where(wanted[:, place], points[at : at + block] @ data.T, -np.inf)
-            m = min(len(data), k + 12)
-            top = np.argpartition(-score, m - 1, axis=1)[:, :m]
+            m = min(len(data), k + 1)  # one may be the query itself
+            cut = -np.partition(-score, m - 1, axis=1)[:, m - 1]
+            cut -= 1e-9 * longest_here * np.linalg.norm(points[at : at + block], axis=1)  # equal scores may differ by rounding
             for row in range(len(some)):
-                cand = top[row][score[row, top[row]] > -np.inf]
+                cand = np.flatnonzero((score[row] >= cut[row]) & (score[row] > -np.inf))
                 exact = (data[cand] * points[at + row]).sum(axis=1).tolist()  # one order of summation for all
                 q = int(query[at + row])
                 best = sorted((-s, i) for s, c in zip(exact, cand.tolist(), strict=True) for i in ids[c] if i != q)[:k]
