@@ -13,6 +13,7 @@ from tracewright.operators import selection as se
 from tracewright.operators import sequence as sq
 from tracewright.operators import similarity as si
 from tracewright.operators import trips as tr
+from tracewright.operators import graph
 from tracewright.operators.graph import connected_components
 from tracewright.sources import csv as src
 
@@ -99,6 +100,48 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in found.collect()} == label
 
 
+@pytest.mark.parametrize("thin", [4, 1 << 18])
+def test_components_with_a_hub_and_other_kinds_of_nodes(spark, monkeypatch, thin):
+    monkeypatch.setattr(graph, "THIN_ROWS", thin)
+    monkeypatch.setattr(graph, "HUB_EDGES", 20)
+    monkeypatch.setattr(graph, "MOST_HUBS", 4)
+    edges = [(0, k) for k in range(1, 200)] + [(300 + k, 301 + k) for k in range(40)] + [(199, 500)]
+    for kind, name in (("long", lambda k: k), ("string", lambda k: f"{k:04d}"), ("struct<g:string,k:long>", lambda k: (None if k < 300 else "g", k))):
+        rows = spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"src {kind}, dst {kind}")
+        found = {r["node"]: r["component"] for r in connected_components(rows).collect()}
+        assert len(found) == 242
+        want = {name(k): name(0) if k < 200 or k == 500 else name(300) for e in edges for k in e}
+        if kind == "struct<g:string,k:long>":
+            found = {tuple(k): tuple(v) for k, v in found.items()}
+        assert found == want
+
+
+def test_a_hub_is_dealt_to_many_tasks(spark):
+    rows = spark.range(1, 100_001).selectExpr("0L as u", "id as v")
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = graph._joined(rows, least, 20_000).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in parts) == 100_000 and max(r["count"] for r in parts) < 45_000  # of four tasks
+
+
+def test_spanning_edges_connect_at_every_weight(spark):
+    random.seed(2)
+    edges = [(random.randrange(30), random.randrange(30), float(random.randrange(10))) for _ in range(300)]
+    kept = [tuple(r) for r in graph.spanning_edges(spark.createDataFrame(edges, "l long, r long, w double").repartition(3), "l", "r", "w").collect()]
+    assert len(kept) <= 3 * 29 and set(kept) <= set(edges)
+    def parts(rows, least):
+        label = list(range(30))
+        for _ in range(30):
+            for a, b, w in rows:
+                if w >= least:
+                    label[a] = label[b] = min(label[a], label[b])
+        return label
+    assert all(parts(kept, w) == parts(edges, w) for w in range(10))
+
+
 def features(spark, sets):
     rows = [(u, u, sorted(c), len(c), len(c), sorted(c)[0], sorted(c)[-1]) for u, c in sets.items()]
     return spark.createDataFrame(rows, "TRAJECTORY_UID string, USER_ID string, CELL_SET array<string>, N_CELLS long, N_POINTS long, START_CELL string, END_CELL string")
