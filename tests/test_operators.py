@@ -15,6 +15,7 @@ from tracewright.operators import similarity as si
 from tracewright.operators import trips as tr
 from tracewright.operators import graph
 from tracewright.operators.graph import connected_components
+from tracewright.plans import spread
 from tracewright.sources import csv as src
 
 DEG = 1 / 111_194.9  # a metre of latitude
@@ -103,8 +104,8 @@ def test_components(spark):
 @pytest.mark.parametrize("thin", [4, 1 << 18])
 def test_components_with_a_hub_and_other_kinds_of_nodes(spark, monkeypatch, thin):
     monkeypatch.setattr(graph, "THIN_ROWS", thin)
-    monkeypatch.setattr(graph, "HUB_EDGES", 20)
-    monkeypatch.setattr(graph, "MOST_HUBS", 4)
+    monkeypatch.setattr(spread, "HOT_ROWS", 20)
+    monkeypatch.setattr(spread, "MOST_HOT", 4)
     edges = [(0, k) for k in range(1, 200)] + [(300 + k, 301 + k) for k in range(40)] + [(199, 500)]
     for kind, name in (("long", lambda k: k), ("string", lambda k: f"{k:04d}"), ("struct<g:string,k:long>", lambda k: (None if k < 300 else "g", k))):
         rows = spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"src {kind}, dst {kind}")
@@ -121,7 +122,7 @@ def test_a_hub_is_dealt_to_many_tasks(spark):
     least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        parts = graph._joined(rows, least, 20_000).groupBy(F.spark_partition_id()).count().collect()
+        parts = spread.join_each(rows, least, ["u"], F.col("v"), 20_000).groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(r["count"] for r in parts) == 100_000 and max(r["count"] for r in parts) < 45_000  # of four tasks

@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.spread import hot_from, join_each
 from ..plans.storage import discard, stored
 
 #: Edges that a task thins at a time.
 THIN_ROWS = 1 << 18
-#: A node with more edges than ``HUB_EDGES``, and than a ``MOST_HUBS``-th of all edge ends, is a hub: its rows are dealt to ``SALTS`` groups.
-HUB_EDGES, MOST_HUBS, SALTS = 1 << 14, 1024, 64
 
 
 def _codes(column: pa.Array) -> np.ndarray:
@@ -78,31 +77,17 @@ def spanning_edges(edges: DataFrame, src: str, dst: str, weight: str | None = No
     return edges.select(*names).mapInArrow(thin, T.StructType([fields[n] for n in names]))
 
 
-def _joined(rows: DataFrame, least: DataFrame, most: int | None) -> DataFrame:
-    """``rows`` (u, v) with ``m`` of ``least`` (u, m, n). A hub's rows, those of a u with n > ``most``, are spread over salts.
-
-    ``most`` leaves at most ``MOST_HUBS`` hubs, so their names are broadcast.
-    None stands for tables too small to have hubs.
-    """
-    if most is None:
-        return rows.join(least.select("u", "m"), "u")
-    hubs = least.where(F.col("n") > most).select("u", F.lit(True).alias("hub"))
-    salted = rows.join(F.broadcast(hubs), "u", "left").withColumn("salt", F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hub")
-    salts = F.when(F.col("n") > most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(least.select("u", "m", F.explode(salts).alias("salt")), ["u", "salt"]).drop("salt")
-
-
 def _large_star(edges: DataFrame, most: int | None) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour (or to the node)."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return _joined(both.where("v > u"), least, most).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return join_each(both.where("v > u"), least, ["u"], F.col("v"), most).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame, most: int | None) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the smallest of them. Edges have u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = _joined(edges, least, most).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = join_each(edges, least, ["u"], F.col("v"), most).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -125,7 +110,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if seen == before or not seen[0]:
             break
         before = seen
-        most = None if 2 * seen[0] <= HUB_EDGES else max(HUB_EDGES, -(-2 * seen[0] // MOST_HUBS))  # a large star never has more edges
+        most = hot_from(2 * seen[0])  # of edge ends; a large star has no more edges
         current, last = stored(_small_star(_large_star(current, most), most), "stars"), current
         discard(last)
     else:
