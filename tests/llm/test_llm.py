@@ -298,6 +298,19 @@ def test_ordinal_model_separates_and_orders(spark):
     assert text_features("Lowei lowei x") == {"lowei", "x", "^lowe"} and OrdinalModel({}, [0.0]).exceeding(None)[0] == 0.5
 
 
+@pytest.mark.parametrize("name", ["n_bytes_", "counted_text", "N_TOKENS", "scored_text", "scored_text_", "t_", "spans_", "rid", "a.b", "x`y", "Toxic"])
+def test_columns_of_any_name_stay(spark, name):
+    table = spark.createDataFrame([(1, "some text", 7), (None, None, None)], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField(name, T.LongType())]))
+    counted = count_tokens(table, WORD_BPE)
+    graded = score(table, OrdinalModel({"some": 1.0}, [0.5]))
+    cut = remove_repeats(table)
+    for found, own in ((counted, "n_tokens"), (graded, "toxic"), (cut, "n_removed")):
+        rows = [r.asDict() for r in found.collect()]
+        assert len(rows) == 2 and own in rows[0]
+        if name.lower() not in ("n_tokens", "toxic"):
+            assert sorted((r[name] for r in rows), key=str) == [7, None]
+
+
 # ---- urls ----
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "bad.org", "")]

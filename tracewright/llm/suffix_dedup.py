@@ -1,8 +1,8 @@
 """Repeated passages by longest-previous-factor arrays over a partitioned suffix order.
 
 Only factors of a fixed length L matter: byte s of a text starts a repeat if its
-L bytes also start elsewhere. The suffix order is therefore cut at L bytes, and
-it is partitioned so that equal factors always meet: every L-byte window goes to
+L bytes also start elsewhere. The suffix order, and with it the longest previous
+factors, is therefore cut at L bytes. It is partitioned so that equal factors always meet: every L-byte window goes to
 the partition of its minimizer, the least hash of its short grams, which depends
 on nothing but the window. Neighbouring windows with the same minimizer travel
 together as one *stretch* (about 77 windows), a few numbers and a hash; the text
@@ -20,8 +20,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..plans.spread import hot_from, join_each
 from ..plans.storage import stored
+from .columns import by_place, free_names, named, without
 
 GRAM = 48
 #: Bytes that one pass of the minimizer kernel works on.
@@ -68,7 +71,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(data: bytes, lengths: list[int], factor: int, hasher: _Hasher) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: for each stretch the text's number, its first and last window, its minimizer and hash.
+    """Of texts laid end to end: for each stretch the text's number, its first and last window, its minimizer and both halves of its hash.
 
     Where a text repeats a stretch right after itself, as periodic text does, the
     copies are one row: the last window of all and their number come behind.
@@ -93,15 +96,15 @@ def stretches(data: bytes, lengths: list[int], factor: int, hasher: _Hasher) ->
     before[1:] = ~valid[:-1]
     first, last = np.flatnonzero(valid & (new | before)), np.flatnonzero(valid & after)
     text = np.searchsorted(ends, first, side="right")
-    digest = xxhash.xxh3_64_intdigest
-    code = np.fromiter((digest(data[a : b + factor]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), dtype=np.uint64, count=len(first))
+    digest = xxhash.xxh3_128_digest
+    code = np.frombuffer(b"".join(digest(data[a : b + factor]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), dtype=np.int64).reshape(-1, 2)
     key = grams[where[first]]
     new = np.ones(len(first), dtype=bool)
-    new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (code[1:] != code[:-1]) | (first[1:] != last[:-1] + 1)
+    new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (code[1:] != code[:-1]).any(axis=1) | (first[1:] != last[:-1] + 1)
     head = np.flatnonzero(new)
     times = np.diff(np.concatenate([head, [len(first)]]))
     text, shift = text[head], begins[text[head]]
-    return text, first[head] - shift, last[head] - shift, key[head].view(np.int64), code[head].view(np.int64), last[head + times - 1] - shift, times
+    return text, first[head] - shift, last[head] - shift, key[head].view(np.int64), *code[head].T, last[head + times - 1] - shift, times
 
 
 def _utf8(text: str | None) -> bytes:
@@ -112,11 +115,11 @@ def _cut(batches: Iterator[pa.RecordBatch], factor: int) -> Iterator[pa.RecordBa
     hasher = _Hasher()
 
     def flush(batch: pa.RecordBatch, parts: list[bytes], owners: list[tuple[int, int]]) -> pa.RecordBatch:
-        text, lo, hi, mh, code, end, times = stretches(b"".join(parts), [len(p) for p in parts], factor, hasher)
+        text, lo, hi, mh, code, more, end, times = stretches(b"".join(parts), [len(p) for p in parts], factor, hasher)
         row, shift = (np.array(x, dtype=np.int64) for x in zip(*owners, strict=True))
         ids = [batch.column(c).take(pa.array(row[text])) for c in range(2)]
-        numbers = (lo + shift[text], hi + shift[text], mh, code, end + shift[text], times)
-        return pa.RecordBatch.from_arrays(ids + [pa.array(x) for x in numbers], names=["rid", "at", "lo", "hi", "mh", "code", "end", "times"])
+        numbers = (lo + shift[text], hi + shift[text], mh, code, more, end + shift[text], times)
+        return pa.RecordBatch.from_arrays(ids + [pa.array(x) for x in numbers], names=["rid", "at", "lo", "hi", "mh", "code", "more", "end", "times"])
 
     for batch in batches:
         parts: list[bytes] = []
@@ -138,36 +141,79 @@ def _cut(batches: Iterator[pa.RecordBatch], factor: int) -> Iterator[pa.RecordBa
             yield flush(batch, parts, owners)
 
 
-def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the ``length``-byte factors at ``starts`` in suffix order (equal factors, equal ranks), by prefix doubling."""
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    word = np.zeros(len(data), dtype=np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | padded[k : k + len(data)].astype(np.uint64)
-    rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
-    done = 8
-    while done * 2 <= length:
-        ahead = np.zeros_like(rank)
-        ahead[:-done] = rank[done:]
-        rank = np.unique(rank * (len(rank) + 1) + ahead, return_inverse=True)[1].astype(np.int64)
-        done *= 2
-    return np.unique(rank[starts] * (len(rank) + 1) + rank[starts + length - done], return_inverse=True)[1].astype(np.int64)
-
-
-def previous_factors(rank: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each factor has an equal one at a smaller position, and at a larger one.
-
-    In the suffix order (rank, position) the factors with a common prefix of the
-    full length are neighbours; among them the previous smaller position is the
-    neighbour before and the next larger one the neighbour after, so the longest
-    previous factor reaches the full length exactly if that neighbour exists.
+class SuffixOrder:
+    """The suffix order of the ``length``-byte factors at ``starts`` of ``data``, cut at that length, by prefix doubling.
+
+    ``rank`` is each factor's place among the distinct ones. The ranks of the
+    8, 16, 32 ... byte strings at every byte stay, for common prefixes.
+    """
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, length: int) -> None:
+        self.data, self.starts, self.length = data, starts, length
+        padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+        word = np.zeros(len(data), dtype=np.uint64)
+        for k in range(8):
+            word = (word << np.uint64(8)) | padded[k : k + len(data)].astype(np.uint64)
+        rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
+        self.levels = [(8, rank.astype(np.int32))]
+        done = 8
+        while done * 2 <= length:
+            ahead = np.zeros_like(rank)
+            ahead[:-done] = rank[done:]
+            rank = np.unique(rank * (len(rank) + 1) + ahead, return_inverse=True)[1].astype(np.int64)
+            done *= 2
+            self.levels.append((done, rank.astype(np.int32)))
+        self.rank = np.unique(rank[starts] * (len(rank) + 1) + rank[starts + length - done], return_inverse=True)[1].astype(np.int64)
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common prefixes of the factors i and j."""
+        a, b = self.starts[i], self.starts[j]
+        size = np.zeros(len(a), dtype=np.int64)
+        for step, rank in reversed(self.levels):
+            fits = np.flatnonzero(size + step <= self.length)
+            same = fits[rank[a[fits] + size[fits]] == rank[b[fits] + size[fits]]]
+            size[same] += step
+        open_ = np.flatnonzero(size < self.length)
+        while len(open_):  # fewer than eight bytes are left to compare
+            open_ = open_[self.data[a[open_] + size[open_]] == self.data[b[open_] + size[open_]]]
+            size[open_] += 1
+            open_ = open_[size[open_] < self.length]
+        return size
+
+
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place of an array the nearest place before it with a smaller value, or -1.
+
+    All places look back at once. A place that is passed has larger values only
+    between itself and the one it looked back to, so that one is next.
     """
-    order = np.lexsort((position, rank))
-    same = np.zeros(len(rank) + 1, dtype=bool)
-    same[1:-1] = rank[order][1:] == rank[order][:-1]
-    earlier, later = np.empty(len(rank), dtype=bool), np.empty(len(rank), dtype=bool)
-    earlier[order], later[order] = same[:-1], same[1:]
-    return earlier, later
+    before = np.arange(-1, len(values) - 1)
+    todo = np.arange(len(values))
+    while True:
+        todo = todo[before[todo] >= 0]
+        todo = todo[values[before[todo]] >= values[todo]]
+        if not len(todo):
+            return before
+        before[todo] = before[before[todo]]
+
+
+def previous_factors(order: SuffixOrder, position: np.ndarray) -> np.ndarray:
+    """The longest-previous-factor array, up to the order's length: how long a prefix of each factor starts at a smaller position.
+
+    In suffix order the smaller positions with the longest common prefix are the
+    nearest ones before and after (previous and next smaller positions). Factors
+    of one place in the order are taken by position.
+    """
+    place = np.lexsort((position, order.rank))
+    along = position[place]
+    best = np.zeros(len(along), dtype=np.int64)
+    back = len(along) - 1 - nearest_smaller(along[::-1])[::-1]  # the next smaller one; len(along) if none is
+    for near in (nearest_smaller(along), back):
+        there = np.flatnonzero((near >= 0) & (near < len(along)))
+        best[there] = np.maximum(best[there], order.common(place[there], place[near[there]]))
+    found = np.empty(len(along), dtype=np.int64)
+    found[place] = best
+    return found
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -175,7 +221,8 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-_FOUND = "mh long, code long, repeated array<struct<a:long,b:long>>, earlier array<struct<a:long,b:long>>"
+_KEY = ["mh", "code", "more"]
+_FOUND = "mh long, code long, more long, n long, repeated array<struct<a:long,b:long>>, earlier array<struct<a:long,b:long>>"
 
 
 def _sorted_repeats(frame: pd.DataFrame, factor: int) -> pd.DataFrame:
@@ -186,90 +233,90 @@ def _sorted_repeats(frame: pd.DataFrame, factor: int) -> pd.DataFrame:
     windows = size - factor + 1
     owner = np.repeat(np.arange(len(frame)), windows)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    rank = suffix_ranks(np.frombuffer(b"".join(frame["body"]), dtype=np.uint8), begin[owner] + offset, factor)
-    earlier, later = previous_factors(rank, np.arange(len(owner)))
-    repeated = earlier | later | (frame["n"].to_numpy()[owner] > 1)
+    order = SuffixOrder(np.frombuffer(b"".join(frame["body"]), dtype=np.uint8), begin[owner] + offset, factor)
+    position = np.arange(len(owner))
+    earlier = previous_factors(order, position) >= factor
+    repeated = earlier | (previous_factors(order, -position) >= factor) | (frame["n"].to_numpy()[owner] > 1)
     rows = []
     for k, (a, m) in enumerate(zip((np.cumsum(windows) - windows).tolist(), windows.tolist(), strict=True)):
         mine = slice(a, a + m)
-        rows.append((frame["mh"][k], frame["code"][k], _spans(repeated[mine]), _spans(earlier[mine])))
-    return pd.DataFrame(rows, columns=["mh", "code", "repeated", "earlier"])
+        rows.append((*(frame[c][k] for c in (*_KEY, "n")), _spans(repeated[mine]), _spans(earlier[mine])))
+    return pd.DataFrame(rows, columns=[*_KEY, "n", "repeated", "earlier"])
 
 
 def _hashed_repeats(stretch: DataFrame, factor: int) -> DataFrame:
-    """The same for minimizers with very many stretches: windows are counted by their own hash, partially summed."""
+    """The same for minimizers with very many stretches: windows are counted by 128 bits of their own hash, partially summed."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for mh, code, n, at, rid, lo, body in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            for row in range(batch.num_rows):
+                body = batch.column(7)[row].as_py()
                 m = len(body) - factor + 1
-                digest = [xxhash.xxh3_64_intdigest(body[k : k + factor]) for k in range(m)]
-                yield pa.RecordBatch.from_pydict({"mh": [mh] * m, "code": [code] * m, "n": [n] * m, "at": pa.array([at] * m, batch.schema.field(3).type), "rid": [rid] * m, "lo": [lo] * m, "k": list(range(m)), "w": pa.array(np.array(digest, dtype=np.uint64).view(np.int64))})
+                digest = b"".join(xxhash.xxh3_128_digest(body[k : k + factor]) for k in range(m))
+                same = [batch.column(c).take(pa.array([row] * m)) for c in range(7)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(range(m), pa.int64()), *(pa.array(h) for h in np.frombuffer(digest, dtype=np.int64).reshape(-1, 2).T)], names=[*_KEY, "n", "at", "rid", "lo", "k", "w", "x"])
 
     at = stretch.schema["at"].dataType.simpleString()
-    rows = stored(stretch.select("mh", "code", "n", "at", "rid", "lo", "body").mapInArrow(explode, f"mh long, code long, n long, at {at}, rid long, lo long, k long, w long"), "windows")
+    rows = stored(stretch.select(*_KEY, "n", "at", "rid", "lo", "body").mapInArrow(explode, f"mh long, code long, more long, n long, at {at}, rid long, lo long, k long, w long, x long"), "windows")
     place = F.struct(F.col("at").isNull().alias("z"), "at", "rid", "lo", "k")
-    seen = rows.groupBy("mh", "w").agg(F.sum("n").alias("total"), F.min(place).alias("least")).where("total > 1")
-    marked = rows.join(seen, ["mh", "w"]).withColumn("is_first", place == F.col("least"))
+    seen = rows.groupBy("mh", "w", "x").agg(F.sum("n").alias("total"), F.min(place).alias("least")).where("total > 1")
+    marked = rows.join(seen, ["mh", "w", "x"]).withColumn("is_first", place == F.col("least"))
     one = F.struct(F.col("k").alias("a"), F.col("k").alias("b"))
-    return marked.groupBy("mh", "code").agg(F.collect_list(one).alias("repeated"), F.collect_list(F.when(~F.col("is_first"), one)).alias("earlier"))
+    return marked.groupBy(*_KEY, "n").agg(F.collect_list(one).alias("repeated"), F.collect_list(F.when(~F.col("is_first"), one)).alias("earlier"))
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, factor: int, keep_first: bool) -> DataFrame:
-    """``rid, a, b``: runs of window starts to remove. ``docs`` has the row ids of ``with_row_id``."""
-    texts = docs.select("rid", F.col(id_col).alias("at"), F.col(text_col).cast("string").alias("t"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"rid long, at {kind}, lo long, hi long, mh long, code long, end long, times long"
-    rows = stored(texts.where(F.octet_length("t") >= factor).mapInArrow(lambda it: _cut(it, factor), schema), "stretches")
-    by_key = rows.groupBy("mh").agg(F.sum("times").alias("of_key"), F.min("code").alias("c0"), F.max("code").alias("c1"))
-    again = by_key.where("of_key > 1").select("mh", (F.col("c0") == F.col("c1")).alias("alike"))
-    rows = stored(rows.join(again, "mh"), "repeated-stretches")
+def repeated_windows(texts: DataFrame, factor: int, keep_first: bool) -> DataFrame:
+    """``rid, at, a, b``: runs of window starts to remove. ``texts`` has rid, at (the id) and t."""
+    kind = texts.schema["at"].dataType.simpleString()
+    schema = f"rid long, at {kind}, lo long, hi long, mh long, code long, more long, end long, times long"
+    rows = stored(texts.select("rid", "at", "t").where(F.octet_length("t") >= factor).mapInArrow(lambda it: _cut(it, factor), schema), "stretches")
+    most = hot_from(rows.agg(F.sum("times")).first()[0] or 0)
+    where = F.struct("rid", "lo")
+    ends = [f(c).alias(f"{c}{k}") for c in ("code", "more") for k, f in enumerate((F.min, F.max))]
+    by_key = rows.groupBy("mh").agg(F.sum("times").alias("n"), *ends)
+    again = by_key.where("n > 1").select("mh", ((F.col("code0") == F.col("code1")) & (F.col("more0") == F.col("more1"))).alias("alike"), "n")
+    rows = stored(join_each(rows, again, ["mh"], where, most), "repeated-stretches")
 
     place = F.struct(F.col("at").isNull().alias("z"), "at", "rid", "lo", "hi")
-    classes = rows.groupBy("mh", "code", "alike").agg(F.sum("times").alias("n"), F.min(place).alias("one"))
-    classes = stored(classes.select("mh", "code", "alike", "n", "one.rid", "one.lo", "one.hi"), "classes")
+    classes = rows.groupBy(*_KEY, "alike").agg(F.sum("times").alias("n"), F.min(place).alias("one"))
+    classes = stored(classes.select(*_KEY, "alike", "n", "one.at", "one.rid", "one.lo", "one.hi"), "classes")
     mixed = classes.where("not alike")
-    needed = mixed.groupBy("rid").agg(F.collect_list(F.struct("mh", "code", "n", "lo", "hi")).alias("cuts"))
+    needed = mixed.groupBy(F.col("rid").alias("rid0"), F.col("at").alias("at0")).agg(F.collect_list(F.struct(*_KEY, "n", "lo", "hi")).alias("cuts"))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 data, cuts = _utf8(batch.column(2)[k].as_py()), batch.column(3)[k].as_py()
-                fields = {x: [c[x] for c in cuts] for x in ("mh", "code", "n")}
+                fields = {x: [c[x] for c in cuts] for x in (*_KEY, "n")}
                 fields["at"] = batch.column(1).take(pa.array([k] * len(cuts)))
                 fields["rid"] = [batch.column(0)[k].as_py()] * len(cuts)
                 fields["lo"] = [c["lo"] for c in cuts]
                 fields["body"] = [data[c["lo"] : c["hi"] + factor] for c in cuts]
                 yield pa.RecordBatch.from_pydict(fields)
 
-    bodies = texts.join(needed, "rid").select("rid", "at", "t", "cuts")
-    bodies = bodies.mapInArrow(slices, f"mh long, code long, n long, at {kind}, rid long, lo long, body binary").dropDuplicates(["mh", "code"])
+    bodies = texts.join(needed, (F.col("rid") == F.col("rid0")) & F.col("at").eqNullSafe(F.col("at0"))).select("rid", "at", "t", "cuts")
+    bodies = bodies.mapInArrow(slices, f"mh long, code long, more long, n long, at {kind}, rid long, lo long, body binary").dropDuplicates(_KEY)
     crowds = mixed.groupBy("mh").agg(F.count(F.lit(1)).alias("m"))
     bodies = stored(bodies.join(crowds, "mh"), "bodies")
     few, many = bodies.where(F.col("m") <= CROWD), bodies.where(F.col("m") > CROWD)
     parts = int((few.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // SORT_BYTES) + 1
     found = few.withColumn("part", F.pmod("mh", F.lit(parts))).groupBy("part").applyInPandas(lambda f: _sorted_repeats(f, factor), _FOUND)
-    found = found.unionAll(_hashed_repeats(many, factor).select("mh", "code", "repeated", "earlier"))
+    found = found.unionAll(_hashed_repeats(many, factor).select(*_KEY, "n", "repeated", "earlier"))
 
     # stretches that are alike repeat as wholes; of the others the found windows do; copies right behind a stretch always do
     begin = F.lit(False)  # whether a row is the first place of its stretch, which stays
     if keep_first:
-        head = classes.select("mh", "code", F.col("rid").alias("rid0"), F.col("lo").alias("lo0"))
-        rows = rows.join(head, ["mh", "code"])
-        begin = (F.col("rid") == F.col("rid0")) & (F.col("lo") == F.col("lo0"))
-    whole = rows.where("alike").where(~begin).select("rid", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    behind = rows.where("times > 1").select("rid", (F.col("hi") + 1).alias("a"), F.col("end").alias("b"))
-    part = rows.where("not alike").join(found, ["mh", "code"])
-    part = part.select("rid", "lo", F.explode(F.when(begin, F.col("earlier")).otherwise(F.col("repeated"))).alias("x"))
-    part = part.select("rid", (F.col("lo") + F.col("x.a")).alias("a"), (F.col("lo") + F.col("x.b")).alias("b"))
+        head = classes.select(*_KEY, "n", F.col("at").alias("at0"), F.col("rid").alias("rid0"), F.col("lo").alias("lo0"))
+        rows = join_each(rows, head, _KEY, where, most)
+        begin = (F.col("rid") == F.col("rid0")) & F.col("at").eqNullSafe(F.col("at0")) & (F.col("lo") == F.col("lo0"))
+    whole = rows.where("alike").where(~begin).select("rid", "at", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    behind = rows.where("times > 1").select("rid", "at", (F.col("hi") + 1).alias("a"), F.col("end").alias("b"))
+    part = join_each(rows.where("not alike"), found, _KEY, where, most)
+    part = part.select("rid", "at", "lo", F.explode(F.when(begin, F.col("earlier")).otherwise(F.col("repeated"))).alias("x"))
+    part = part.select("rid", "at", (F.col("lo") + F.col("x.a")).alias("a"), (F.col("lo") + F.col("x.b")).alias("b"))
     return whole.unionAll(behind).unionAll(part)
 
 
-def with_row_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``rid``: a hash of id and text. Rows with the same id and text share it."""
-    return docs.withColumn("rid", F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)))
-
-
 def cut_spans(size: int, starts: list[tuple[int, int]], factor: int) -> list[tuple[int, int]]:
     """Maximal byte spans [begin, end) covered by the factors at runs of window starts."""
     spans: list[tuple[int, int]] = []
@@ -313,40 +360,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the same text included; with ``keep_first=False``, at any other place.
     Strings are judged on the input and never span two texts. ``whole_chars``
     shrinks removed spans to whole characters, so that the bytes left are UTF-8. Null texts count
-    as empty and keep null ids last in the order; rows that repeat both id and
-    text count as one place for ``keep_first``, and as two otherwise. Shorter
-    texts come out whole. Extra columns stay; columns named like those of the
-    result are replaced. No rows, no result.
+    as empty, and their ``kept`` is null; null ids come last in the order; rows
+    that repeat both id and text count as one place for ``keep_first``, and as
+    two otherwise. Shorter texts come out whole. The text column gives way to
+    ``kept``; all others stay, whatever their names, but for those named like a
+    column of the result. No rows, no result.
     """
     if factor < GRAM:
         raise ValueError(f"factor is at least {GRAM}")
-    for name in ("rid", "spans_", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"):
-        if name in docs.columns and name not in (id_col, text_col):
-            docs = docs.drop(name)
-    docs = with_row_id(docs, id_col, text_col)
-    runs = repeated_windows(docs, id_col, text_col, factor, keep_first)
-    spans = runs.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans_"))
-    joined = docs.join(spans, "rid", "left")
-    others = [c for c in docs.columns if c not in ("rid", text_col)]
+    out = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    kept_columns, fields = without(docs.drop(text_col) if text_col != id_col else docs, out, keep=(id_col,))
+    others = [f.name for f in fields]
+    rid, at, t, rid0, at0, spans_ = free_names([*others, *out], "rid", "at", "t", "rid0", "at0", "spans")
+    text = named(text_col).cast("string")
+    # rows with the same id and text share the id and this hash; without an id only the hash tells texts apart
+    docs = docs.select(*kept_columns, F.xxhash64(F.lit(1), text).alias(rid), named(id_col).alias(at), text.alias(t))
+    runs = repeated_windows(docs.select(F.col(rid).alias("rid"), F.col(at).alias("at"), F.col(t).alias("t")), factor, keep_first)
+    spans = runs.groupBy(F.col("rid").alias(rid0), F.col("at").alias(at0)).agg(F.collect_list(F.struct("a", "b")).alias(spans_))
+    joined = docs.join(spans, (F.col(rid) == F.col(rid0)) & F.col(at).eqNullSafe(F.col(at0)), "left")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-            for text, starts in zip(batch.column("t_"), batch.column("spans_"), strict=True):
+            found: dict[str, list] = {c: [] for c in out}
+            for text, starts in zip(batch.column(len(others)), batch.column(len(others) + 1), strict=True):
                 data = _utf8(text.as_py())
                 cut = cut_spans(len(data), [(x["a"], x["b"]) for x in starts.as_py() or ()], factor)
                 if whole_chars:
                     cut = _on_characters(data, cut)
                 kept = _kept(data, cut)
-                out["n_bytes"].append(len(data))
-                out["n_removed"].append(len(data) - len(kept))
-                out["n_spans"].append(len(cut))
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["kept"].append(kept if keep_text else None)
-            arrays = [batch.column(c) for c in others] + [pa.array(out[c], pa.binary() if c == "kept" else None) for c in out]
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays(arrays, names=[*others, *out])
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    result = joined.select(*others, F.col(text_col).cast("string").alias("t_"), "spans_").mapInArrow(digest, f"{fields}, {_RESULT}")
+                found["n_bytes"].append(len(data))
+                found["n_removed"].append(len(data) - len(kept))
+                found["n_spans"].append(len(cut))
+                found["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                found["kept"].append(kept if keep_text and text.is_valid else None)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *(pa.array(found[c], k) for c, k in zip(out, kinds, strict=True))], names=[*others, *out])
+
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BinaryType())
+    result = by_place(joined.select(*map(named, others), F.col(t), F.col(spans_))).mapInArrow(digest, T.StructType([*fields, *map(T.StructField, out, kinds)]))
     return result if keep_text else result.drop("kept")

@@ -11,6 +11,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .columns import by_place, named, without
 
 #: Distinct pre-tokens merged at a time, and their characters at most.
 BATCH_WORDS, BATCH_SYMBOLS = 1 << 16, 1 << 20
@@ -204,22 +207,21 @@ def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", limit:
     """``docs`` with ``n_bytes``, ``n_tokens`` and ``over_limit`` (n_tokens > limit) of each whole text.
 
     Null and empty texts count as 0. Special strings within a text count as one
-    token each. Rows that repeat are counted each; columns of these names are
-    replaced, all others stay. No rows, no result.
+    token each. Rows that repeat are counted each; columns of these names (in any
+    case) are replaced, all others stay, whatever their names. No rows, no result.
     """
     out = ("n_bytes", "n_tokens", "over_limit")
-    docs = docs.drop(*out)
-    names = docs.columns
+    kept, fields = without(docs, out)
+    text = named(text_col).cast("string")
+    size = F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))
+    names = [f.name for f in fields] + ["n_bytes", "n_tokens"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(tokenizer)
         for batch in batches:
             n = bpe.counts(t.as_py() for t in batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*names, "n_tokens"])
-
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")).cast("long"), F.lit(0).cast("long"))
-    rows = docs.select("*", size.alias("n_bytes_"), F.col(text_col).cast("string").alias("counted_text_"))
-    names = [*names, "n_bytes_"]
-    counted = rows.mapInArrow(count, f"{fields}n_bytes_ long, n_tokens long")
-    return counted.withColumnRenamed("n_bytes_", "n_bytes").withColumn("over_limit", F.col("n_tokens") > limit)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=names)
+
+    rows = by_place(docs.select(*kept, size, text))
+    counted = rows.mapInArrow(count, T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -3,31 +3,37 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.storage import stored
+from .columns import by_place, named, without
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside whole words.
 STEMS = (4, 5)
 BLOCK = 1 << 20
+#: Words whose features a worker remembers, and texts scored at a time.
+KNOWN_WORDS, SCORED_ROWS = 500_000, 1000
+
+
+def word_features(word: str) -> list[str]:
+    """The word, and its beginnings (marked ``^``) if it is longer than they are."""
+    return [word, *("^" + word[:n] for n in STEMS if len(word) > n)]
 
 
 def text_features(text: str | None) -> set[str]:
-    """The distinct lower-case words of a whole text, and beginnings of the longer ones (marked ``^``)."""
+    """The distinct features of the lower-case words of a whole text."""
     words: set[str] = set()
     for block in _blocks(text or ""):
         words.update(_WORD.findall(block.lower()))
-    found = set(words)
-    for n in STEMS:
-        found.update("^" + w[:n] for w in words if len(w) > n)
-    return found
+    return {f for w in words for f in word_features(w)}
 
 
 def _blocks(text: str) -> Iterator[str]:
@@ -47,13 +53,36 @@ class OrdinalModel:
     weights: dict[str, float]
     cuts: list[float]
 
+    def encoder(self) -> Callable[[str | None], list[int]]:
+        """Gives the sorted numbers of a text's features among the weights; a word is looked up once a worker."""
+        number = {f: k for k, f in enumerate(self.weights)}
+        known: dict[str, tuple[int, ...]] = {}
+
+        def encode(text: str | None) -> list[int]:
+            found: set[int] = set()
+            for block in _blocks(text or ""):
+                for word in set(_WORD.findall(block.lower())):
+                    hit = known.get(word)
+                    if hit is None:
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
+                        hit = known[word] = tuple(number[f] for f in word_features(word) if f in number)
+                    found.update(hit)
+            return sorted(found)
+
+        return encode
+
     def exceeding(self, text: str | None) -> np.ndarray:
         """For each cut the probability of a grade above it."""
-        if not self.weights:
-            score = 0.0
-        else:
-            score = sum(self.weights[f] for f in sorted(text_features(text) & self.weights.keys()))
-        return 1.0 / (1.0 + np.exp(-np.clip(score - np.array(self.cuts), -40, 40)))
+        return self.all_exceeding([self.encoder()(text)])[0]
+
+    def all_exceeding(self, rows: list[list[int]]) -> np.ndarray:
+        """The same for many texts, each given as its features' numbers: (texts, cuts)."""
+        weight = np.array(list(self.weights.values()), dtype=np.float64)
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        col = np.fromiter((k for r in rows for k in r), dtype=np.int64, count=len(row))
+        score = np.bincount(row, weights=weight[col] if len(col) else None, minlength=len(rows)).astype(np.float64)
+        return 1.0 / (1.0 + np.exp(-np.clip(score[:, None] - np.array(self.cuts), -40, 40)))
 
 
 def severity(toxic: Column, quality: Column) -> Column:
@@ -74,8 +103,10 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, most: int = 8000, max
     """Fit on a bounded sample: at most ``most`` labelled texts and ``max_features`` features reach the driver.
 
     Kept are the features in at least ``min_texts`` sampled texts whose share
-    differs most between grade 0 and the others (ties by name). Without rows of
-    two grades the model grades everything 0.
+    differs most between grade 0 and the others (ties by name). Labels without id
+    or grade, and ids without a text, are left out; of repeated labels, and of
+    equal texts, the highest grade counts, once. Without rows of two grades the
+    model grades everything 0.
     """
     sample = stored(training_rows(docs, labels, grade, most, id_col, text_col), "labelled")
 
@@ -142,25 +173,25 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", evidence
     toxic: the text's features lead at least ``evidence`` of the way, in log-odds of
     a grade above 0, from a text without features to even odds. On held-out labels
     0.4 found 98 % of the toxic texts and rejected no other. Whole texts count; null and
-    empty texts have no features and get the base rate. Columns of these names
-    are replaced; all others stay. No rows, no result.
+    empty texts have no features and get the base rate. Equal texts get equal
+    results; equal shares go to the lower grade. Columns of these names (in any
+    case) are replaced, all others stay, whatever their names. No rows, no result.
     """
     out = ("expected_severity", "grade", "toxic")
-    docs = docs.drop(*out)
-    names = docs.columns
+    kept, fields = without(docs, out)
+    names = [f.name for f in fields]
     reject_from = 1 / (1 + np.exp((1 - evidence) * max(0.0, model.cuts[0])))
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = model.encoder()
         for batch in batches:
-            mean, best, bad = [], [], []
-            for text in batch.column(batch.num_columns - 1):
-                p = model.exceeding(text.as_py())
-                share = -np.diff(np.concatenate([[1.0], p, [0.0]]))
-                mean.append(float(p.sum()))
-                best.append(int(np.argmax(share)))
-                bad.append(bool(p[0] >= reject_from))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(mean, pa.float64()), pa.array(best, pa.int32()), pa.array(bad, pa.bool_())], names=[*names, *out])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.select("*", F.col(text_col).cast("string").alias("scored_text_"))
-    return rows.mapInArrow(grade, f"{fields}{', ' if fields else ''}expected_severity double, grade int, toxic boolean")
+            for at in range(0, batch.num_rows, SCORED_ROWS):
+                piece = batch.slice(at, SCORED_ROWS)
+                p = model.all_exceeding([encode(t.as_py()) for t in piece.column(piece.num_columns - 1)])
+                ends = np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1)
+                found = [pa.array(p.sum(axis=1)), pa.array(np.argmax(-np.diff(ends, axis=1), axis=1).astype(np.int32)), pa.array(p[:, 0] >= reject_from)]
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *found], names=[*names, *out])
+
+    rows = by_place(docs.select(*kept, named(text_col).cast("string")))
+    kinds = (T.DoubleType(), T.IntegerType(), T.BooleanType())
+    return rows.mapInArrow(grade, T.StructType([*fields, *map(T.StructField, out, kinds)]))
