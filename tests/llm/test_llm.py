@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and their defined results for odd input."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
@@ -215,6 +216,58 @@ def test_round_robin_serves_every_id_once():
     assert weighted.served(np.array([100, 400])).tolist() == [[50, 50], [100, 300]]
 
 
+def served_one_by_one(sizes, weights, window):
+    """Deficit round-robin id by id: quanta grow until the next id of some queue is due; counts at the end of every window."""
+    given, counts = [0] * len(sizes), []
+    for k in range(1, sum(sizes) + 1):
+        left = [s for s, n in enumerate(sizes) if given[s] < n]
+        given[min(left, key=lambda s: ((given[s] + 0.5) / weights[s], s))] += 1
+        if k % window == 0 or k == sum(sizes):
+            counts.append(list(given))
+    return counts
+
+
+def test_round_robin_equals_serving_one_by_one():
+    for sizes, weights in (([300, 40, 0, 7], [3.0, 1.0, 2.0, 1.0]), ([50, 50, 50], [1.0, 1.0, 1.0]), ([1, 500], [5.0, 1.0]), ([97, 31, 64, 12, 205], [0.3, 0.1, 0.2, 0.15, 0.25])):
+        robin = RoundRobin(sizes, weights)
+        counts = np.array(served_one_by_one(sizes, weights, 16))
+        at = np.minimum(np.arange(1, len(counts) + 1) * 16, sum(sizes))
+        assert robin.served(at).tolist() == counts.tolist()
+        assert np.abs(robin.deficits(at, counts)).max() <= len(sizes)
+
+
+def test_pack_follows_the_weights(spark):
+    rows = [(k, prose(k, 60), f"s{k % 3}") for k in range(90)] + [(900 + k, prose(k, 3), f"t{k:02d}") for k in range(30)]
+    weights = spark.createDataFrame([("s0", 3.0), ("s1", 1.0), ("s2", 2.0), ("nobody", 9.0)], "source string, weight double")
+    pieces = pack(docs(spark, rows), BYTE_BPE, window=128, weights=weights, most_queues=4).collect()
+    encode, total, share = byte_bpe(BYTE_BPE), Counter(), {}
+    for i, t, s in rows:
+        total[s] += len(encode(t)) // 4 + 1
+    by_window = {}
+    for p in pieces:
+        by_window.setdefault(p["sequence_id"], Counter())[p["source"]] += p["length"]
+        assert abs(p["deficit"]) <= 5
+    whole = Counter()
+    for own in by_window.values():
+        whole.update(own)
+    assert whole == total and all(sum(c.values()) == 128 for w, c in by_window.items() if w != max(by_window))
+    first = sum((by_window[w] for w in range(5)), Counter())
+    assert abs(first["s0"] - 3 * first["s1"]) <= 6 and abs(first["s2"] - 2 * first["s1"]) <= 6
+
+
+def test_byte_bpe_is_the_library_on_odd_and_real_texts():
+    from tokenizers import Tokenizer
+
+    whole, encode, pick = Tokenizer.from_file(BYTE_BPE), byte_bpe(BYTE_BPE), random.Random(12)
+    texts = ["".join(chr(pick.choice((pick.randrange(32, 127), pick.randrange(0xA0, 0x2FFF), pick.randrange(0x3000, 0xD7FF), pick.randrange(0xE000, 0x10FFFF), 10, 32, 0x0301, 0x200D))) for _ in range(pick.randint(1, 300))) for _ in range(400)]
+    if os.path.exists("/root/testdata/sf0.001/documents.parquet"):
+        import pyarrow.parquet as pq
+
+        texts += [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    for text, e in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encode(text), "<u4").tolist() == e.ids
+
+
 def test_byte_bpe_is_the_library():
     from tokenizers import Tokenizer
 
@@ -478,3 +531,53 @@ def test_pipeline_drops_what_it_should(spark, tmp_path):
     assert all(cut[i]["text"] == t for i, t, _ in fine)
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert final.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(final.columns)
+
+
+CLASHES = "doc_id long, text string, lang string, source string, n_chars int, toxic string, grade string, size string, target string, times string, rid string, spans string, kept string, h1 string, component_id string, copy string, c0 string"
+
+
+def test_pipeline_rows_ids_and_columns(spark, tmp_path):
+    """Repeated ids, repeated rows, null ids, texts and sources, clashing columns: rows are judged, not ids."""
+    import corpus_pipeline
+
+    copied, alone = prose(1, 90), prose(2, 90)
+    rows = [(5, copied, "a"), (7, copied, "a"), (7, alone, "b"), (8, alone + " more", None), (None, copied, "a"), (None, prose(3, 90), None), (9, prose(4, 90), "b"), (9, prose(4, 90), "b"), (10, None, "a"), (11, "", "b"), (12, "é" * 60 + prose(5, 30), None)]
+    table = spark.createDataFrame([(i, t, "en", s, len(t or ""), *"tgstmrskhccz") for i, t, s in rows], CLASHES)
+    spark.createDataFrame([(5, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stage = dict(corpus_pipeline.STAGES)
+
+    def texts(df):
+        assert df.columns == table.columns and df.dtypes == table.dtypes
+        return sorted(((r["doc_id"], r["text"], r["source"]) for r in df.collect()), key=str)
+
+    kept = stage["toxicity"](spark, table, str(tmp_path))
+    assert texts(kept) == sorted(rows, key=str)  # no labels of two grades
+    single = stage["simhash"](spark, kept, str(tmp_path))
+    assert texts(single) == sorted([rows[0], rows[2], rows[5], rows[6], rows[8], rows[10]], key=str)
+    clean = stage["suffix_array"](spark, single, str(tmp_path))
+    assert texts(clean) == texts(single)
+    mixed = stage["mixing"](spark, clean, str(tmp_path))
+    assert set(texts(mixed)) <= set(texts(clean)) and all(r["toxic"] == "t" and r["copy"] == "c" for r in mixed.collect())
+    packed = stage["packing"](spark, clean, str(tmp_path))
+    assert packed.select("doc_id", "source").distinct().count() == 6
+    for name, function in corpus_pipeline.STAGES:
+        assert function(spark, table.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_cuts_later_copies_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    passage = prose(21, 60)
+    rows = [(3, prose(22, 40) + " " + passage, "a"), (3, prose(23, 40) + " " + passage, "a"), (None, passage + " " + prose(24, 40), "a"), (4, None, "a")]
+    table = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.drop_repeated_passages(spark, table, "").collect()
+    held = [r for r in found if r["text"] and passage in r["text"]]
+    assert len(found) == 4 and len(held) == 1 and held[0]["doc_id"] == 3
+    assert all(r["n_chars"] == len(r["text"]) for r in found if r["text"] is not None) and [r["doc_id"] for r in found if r["text"] is None] == [4]
+
+
+def test_near_copies_tell_rows_apart(spark):
+    text = prose(31, 80)
+    rows = [(7, text, "a"), (6, text, "a"), (7, prose(32, 80), "a"), (None, text, "a"), (6, text, "a")]
+    found = near_copies(docs(spark, rows)).collect()
+    assert {(r["doc_id"], r["rows"], r["component_id"], r["kept"]) for r in found} == {(6, 2, 6, True), (7, 1, 6, False), (None, 1, 6, False)}

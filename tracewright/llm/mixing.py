@@ -18,6 +18,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def word_totals(docs: DataFrame, source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """``source, weight``: the words of each source."""
+    words = word_count(F.col(text_col).cast("string"))
+    return docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum(words).alias("weight"))
+
+
+def turn_weights(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), source_col: str = "source") -> DataFrame:
+    """``source, weight``: ``weights`` in turn for the sources by code point, null last."""
+    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
+    sources = docs.select(F.col(source_col).cast("string").alias("source")).distinct()
+    return sources.select("source", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")).alias("weight"))
+
+
 def id_hash(id_column: Column) -> Column:
     """60 bits of the MD5 of the id as text; null as the empty text."""
     digest = F.md5(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary"))

@@ -83,16 +83,18 @@ def token_queues(docs: DataFrame, id_col: str, source_col: str, text_col: str, t
 
 
 class RoundRobin:
-    """How many ids each queue has given after any number of ids, in closed form.
-
-    Each round serves every queue its quantum, the target share of the window; a
-    queue whose credit does not reach the next whole id carries the deficit on.
-    That serves the i-th id of queue s when its credit i + 1/2 is due, at time
-    (i + 1/2) / weight[s], so the order of service is the order of these times
-    (ties: the earlier queue), and the state at the start of any window, on any
-    partition, follows from its number alone. Empty queues drop out and the
-    others share their part. Weights default to the queues' sizes, for which all
-    of them end together.
+    """Deficit round-robin over queues: how many ids each has given after any number of ids, in closed form.
+
+    A round gives every queue a quantum, its target share of one id; an id costs
+    a credit of 1, and what a queue has been given but not yet served is its
+    deficit, carried into the next window, and the next partition. A queue's
+    i-th id is due when its quanta reach i + 1/2, in round (i + 1/2) / weight;
+    ids are served in the order in which they are due (ties: the earlier queue).
+    Without ends, all queues' quanta up to any id are a multiple of their
+    weights, so the counts and deficits at the start of any window follow from
+    its number alone, and no partition waits for another. A queue that has ended
+    drops out and the others share its quantum. Weights default to the queues'
+    sizes, for which all of them end together.
     """
 
     def __init__(self, sizes: list[int], weights: list[float] | None = None) -> None:
@@ -124,13 +126,18 @@ class RoundRobin:
             over[early] += 1
         return n
 
+    def deficits(self, count: np.ndarray, served: np.ndarray) -> np.ndarray:
+        """For each total ``count`` what the queues' quanta come to, less what they have ``served``: within an id or so of 0."""
+        time = np.interp(np.minimum(count, self.total), self.at_stops, self.stops)[:, None]
+        return np.minimum(self.size, self.weight * time) - served
+
     def around(self, queue: np.ndarray, place: np.ndarray) -> np.ndarray:
         """About how many ids are served when the one at ``place`` of ``queue`` is; off by at most the number of queues."""
         return np.interp((place + 0.5) / self.weight[queue], self.stops, self.at_stops)
 
 
-def _pieces(robin: RoundRobin, window: int, queue: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, begin within the text, length, window, offset in the window) for texts at ``start`` of their queues."""
+def _pieces(robin: RoundRobin, window: int, queue: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, int, int, float]]:
+    """(row, begin within the text, length, window, offset in the window, its queue's deficit after it) for texts at ``start`` of their queues."""
     slack = len(robin.size) + 2
     low = np.maximum(0, np.floor((robin.around(queue, start) - slack) / window)).astype(np.int64)
     high = np.floor((robin.around(queue, start + n - 1) + slack) / window).astype(np.int64) + 2
@@ -140,13 +147,14 @@ def _pieces(robin: RoundRobin, window: int, queue: np.ndarray, start: np.ndarray
         j = np.unique(np.concatenate([np.arange(low[k], high[k] + 1) for k in range(a, b)]))
         counts = np.concatenate([robin.served(j[c : c + step] * window) for c in range(0, len(j), step)])
         ahead = np.cumsum(counts, axis=1) - counts  # of earlier queues
+        carried = np.concatenate([robin.deficits(j[c : c + step] * window, counts[c : c + step]) for c in range(0, len(j), step)])
         for k in range(a, b):
             s, rows = queue[k], np.searchsorted(j, np.arange(low[k], high[k] + 1))
             own, before = counts[rows, s], ahead[rows, s]
             begin, end = np.maximum(own[:-1], start[k]), np.minimum(own[1:], start[k] + n[k])
             for q in np.flatnonzero(end > begin):
                 offset = before[q + 1] - before[q] + begin[q] - own[q]
-                yield k, int(begin[q] - start[k]), int(end[q] - begin[q]), int(low[k] + q), int(offset)
+                yield k, int(begin[q] - start[k]), int(end[q] - begin[q]), int(low[k] + q), int(offset), float(carried[rows[q + 1], s])
 
 
 def _blocks(span: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -160,42 +168,68 @@ def _blocks(span: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(span)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", window: int = 2048, end_id: int = 1, weights: dict[str | None, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", window: int = 2048, end_id: int = 1, weights: DataFrame | None = None, most_queues: int = 1000) -> DataFrame:
     """Pieces of the token sequence of each row of ``docs``, laid into windows of ``window`` ids.
 
     One row a piece: ``id_col, source, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset, ids`` (little-endian unsigned 32-bit). Every window is
-    full but the last, and holds each source's target share to within an id
-    until a source is used up. ``weights`` by source give the shares; by default
-    they are the sources' own sizes. Null and empty texts are the end id alone;
-    null sources are a queue of their own; rows that repeat are packed again;
-    extra columns are ignored; no rows, no pieces. The totals by source go to
-    the driver: a row a source.
+    sequence_id, offset, deficit, ids`` (little-endian unsigned 32-bit). Every
+    window is full but the last, and holds each source's target share to within
+    an id until a source is used up; ``deficit`` is what of its share the source
+    carries on after the window. ``weights`` (source, weight) gives the shares;
+    by default they are the sources' own sizes, and a source without a positive
+    weight gets its size's part of them. Sources beyond the ``most_queues``
+    largest are served as one queue with the sum of their weights, so the driver
+    and every task hold that many numbers at most; no row is left out. Null and
+    empty texts are the end id alone; null sources are a source; rows that
+    repeat are packed again; extra columns are ignored, whatever their names; no
+    rows, no pieces.
     """
     rows = token_queues(docs, id_col, source_col, text_col, tokenizer, end_id)
-    sums = rows.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = stored(sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "queue-parts")
-    totals = sorted(((r["source"], r["n"]) for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
-    names, sizes = [t[0] for t in totals], [t[1] for t in totals]
-    share = None if weights is None else [weights[s] for s in names]
+    sums = stored(rows.groupBy("source", "part").agg(F.sum("n").alias("n")), "source-parts")
+    totals = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    if weights is None:
+        totals = totals.withColumn("weight", F.col("n").cast("double"))
+    else:
+        given = weights.groupBy(F.col("source").cast("string").alias("source0")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+        totals = totals.join(given, F.col("source").eqNullSafe(F.col("source0")), "left").drop("source0")
+        known = F.when(F.col("weight") > 0, F.col("weight"))
+        each = totals.agg((F.sum(known) / F.sum(F.when(F.col("weight") > 0, F.col("n")))).alias("each"))
+        totals = totals.crossJoin(F.broadcast(each)).withColumn("weight", F.coalesce(known, F.col("n") * F.coalesce("each", F.lit(1.0)))).drop("each")  # one row
+    totals = stored(totals, "sources")
+    everything = totals.agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
+    largest = totals.orderBy(F.desc("n"), F.col("source").asc_nulls_last()).limit(most_queues).collect()
+    largest.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+    sizes, share = [r["n"] for r in largest], [r["weight"] for r in largest]
+    if everything["count"] > most_queues:
+        sizes.append(everything["n"] - sum(sizes))
+        share.append(everything["weight"] - sum(share))
+
+    # a queue runs over the parts in order, and within a part over its sources
+    queues = docs.sparkSession.createDataFrame([(r["source"], k) for k, r in enumerate(largest)], "source0 string, queue0 int")
+    sums = sums.join(F.broadcast(queues), F.col("source").eqNullSafe(F.col("source0")), "left")  # at most most_queues rows
+    sums = stored(sums.select("source", "part", "n", F.coalesce("queue0", F.lit(len(largest))).alias("queue")), "queue-parts")
+    earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sums.groupBy("queue", "part").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    inside = Window.partitionBy("queue", "part").orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts, ["queue", "part"])
+    sums = stored(sums.select("source", "part", "queue", (F.col("base") + F.col("before")).alias("base")), "queue-starts")
     rows = rows.alias("t").join(sums.alias("p"), F.col("t.source").eqNullSafe(F.col("p.source")) & (F.col("t.part") == F.col("p.part")))
-    rows = rows.select("id", "t.source", (F.col("base") + F.col("local")).alias("start"), "t.n", "ids")
+    rows = rows.select("id", "t.source", "queue", (F.col("base") + F.col("local")).alias("start"), "t.n", "ids")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        robin, number = RoundRobin(sizes, share), {s: k for k, s in enumerate(names)}
+        robin = RoundRobin(sizes, share)
         for whole in batches:
             for at in range(0, whole.num_rows, LAYOUT_ROWS):
                 batch = whole.slice(at, LAYOUT_ROWS)
-                queue = np.array([number[s] for s in batch.column(1).to_pylist()], dtype=np.int64)
-                start, n = (batch.column(c).to_numpy() for c in (2, 3))
-                ids = [memoryview(x.as_buffer()) for x in batch.column(4)]
+                queue, start, n = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3, 4))
+                ids = [memoryview(x.as_buffer()) for x in batch.column(5)]
                 found = list(_pieces(robin, window, queue, start, n))
-                row, begin, length, place, offset = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
-                body = [bytes(ids[k][4 * a : 4 * (a + m)]) for k, a, m, _, _ in found]
-                arrays = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), begin, length, [zlib.crc32(x) for x in body], n[row], place, offset, pa.array(body, pa.binary())]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in arrays], names=["id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+                row, begin, length, place, offset = (np.array(x, dtype=np.int64) for x in list(zip(*found, strict=True))[:5])
+                carried = pa.array([x[5] for x in found], pa.float64())
+                body = [bytes(ids[k][4 * a : 4 * (a + m)]) for k, a, m, *_ in found]
+                arrays = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), begin, length, [zlib.crc32(x) for x in body], n[row], place, offset, carried, pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in arrays], names=["id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "deficit", "ids"])
 
-    laid = rows.mapInArrow(lay, f"id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    laid = rows.mapInArrow(lay, f"id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, deficit double, ids binary")
     return laid.withColumnRenamed("id", id_col)
