@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import stored
-from .vectors import SALTS, best_of_all, lists, matrix, sample, valid_vectors
+from .vectors import SALTS, best_of_all, matrix, sample, valid_vectors
 
-#: Vectors in a part, which one task holds at a time, and scores it computes at a time.
-PART_ROWS, SCORE_BLOCK = 8192, 1 << 21
+#: Vectors in a part and queries that ask it, which one task holds at a time, and scores it computes at a time.
+PART_ROWS, ASKED_ROWS, SCORE_BLOCK = 8192, 8192, 1 << 21
 
 
 class Forest:
@@ -91,28 +91,70 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
     return found.select(F.element_at("ids", 1).alias("id"), "v", "ids")
 
 
+def _ranked(data: np.ndarray, leaf: np.ndarray, ids: pa.ListArray, points: np.ndarray, own: np.ndarray, row: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score): the k best of the leaves that each query wants, and all that tie with the last class needed.
+
+    ``leaf`` and ``wanted`` are sorted; point ``row[n]`` wants leaf ``wanted[n]``.
+    Only a leaf's rows and the queries that want it are multiplied.
+    """
+    slack = 1e-9 * np.linalg.norm(data, axis=1).max() * np.linalg.norm(points, axis=1)  # equal scores may differ by rounding
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for one in np.unique(leaf):
+        a, b = np.searchsorted(leaf, [one, one + 1])
+        i, j = np.searchsorted(wanted, [one, one + 1])
+        step = max(1, SCORE_BLOCK // (b - a))
+        for at in range(i, j, step):
+            q = row[at : min(j, at + step)]
+            score = points[q] @ data[a:b].T
+            m = min(b - a, k + 1)  # one may be the query itself
+            cut = -np.partition(-score, m - 1, axis=1)[:, m - 1] - slack[q]
+            x, c = np.nonzero(score >= cut[:, None])
+            q, c = q[x], a + c
+            found.append((q, c, (data[c] * points[q]).sum(axis=1)))  # one order of summation for all
+    if not found:
+        return own[:0], own[:0], np.empty(0)
+    q, c, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((c, -score, q))
+    q, c, score = q[order], c[order], score[order]
+    begin = np.searchsorted(q, q)
+    last = np.minimum(begin + k, np.searchsorted(q, q, side="right") - 1)
+    kept = score >= score[last]
+    q, c, score = q[kept], c[kept], score[kept]
+    size = np.diff(ids.offsets.to_numpy())[c]
+    at = np.repeat(ids.offsets.to_numpy()[c] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    q, score, name = np.repeat(q, size), np.repeat(score, size), ids.values.to_numpy()[at]
+    other = name != own[q]
+    q, score, name = q[other], score[other], name[other]
+    order = np.lexsort((name, -score, q))
+    q, score, name = q[order], score[order], name[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return own[q[best]], name[best], score[best]
+
+
 def forest_search(table: DataFrame, is_query: Column, k: int = 20, trees: int = 3, leaf_rows: int = 256, recall: float = 0.93, sample_rows: int = 20000, audit_queries: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each query row the ``k`` largest inner products found among the others.
+    """``query_id, rank, vec_id, score, audit_recall``: for each query row the ``k`` largest inner products found among the others.
 
     The forest is fitted on at most ``sample_rows`` vectors, every vector is
     indexed. A queue over all trees orders leaves; how many of them a query
-    visits is read from ``audit_queries`` queries searched exactly over all rows,
-    as the number that reaches ``recall`` of their neighbours. Leaf candidates
-    are scored on the original vectors in double precision. Equal scores are
-    ordered by id. Vectors that are null, zero, of another length than most, or
-    hold null or non-finite components take no part, nor do rows without id;
-    rows that repeat id and vector count once; copies of a vector are indexed
-    once, with the k + 1 smallest of their ids. No rows, no result.
+    visits is read from ``audit_queries`` queries searched exactly over all
+    rows, as the number that reaches ``recall`` of their neighbours, themselves
+    and their copies aside; ``audit_recall`` is the share it reaches. Leaf
+    candidates, and only these, are scored on the original vectors in double
+    precision. Equal scores are ordered by id. Vectors that are null, zero, of
+    another length than most, or hold null or non-finite components take no
+    part, nor do rows without id; rows that repeat id and vector count once;
+    copies of a vector are indexed once, with the k + 1 smallest of their ids.
+    Extra columns are ignored, whatever their names. No rows, no result.
     """
     rows = valid_vectors(table, id_col, vector_col)
     classes = stored(_classes(rows, k), "distinct-vectors")
     queries = valid_vectors(table.where(is_query), id_col, vector_col).distinct()
     count = classes.count()
-    fitted = sample(classes, sample_rows)
+    _, fitted = sample(classes, sample_rows)
     longest = float(classes.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()[0] or 1.0)
     depth = max(0, round(math.log2(max(1, count) / leaf_rows)))
     forest = Forest(fitted if len(fitted) else np.zeros((0, 1)), longest, trees, depth)
-    visits = _audited_visits(forest, classes, queries, k, recall, audit_queries)
+    visits, reached = _audited_visits(forest, classes, queries, k, recall, audit_queries)
     across = max(1, min(1 << depth, round(count / PART_ROWS)))  # parts of a tree, runs of neighbouring leaves
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,57 +181,45 @@ def forest_search(table: DataFrame, is_query: Column, k: int = 20, trees: int =
 
     vector = classes.schema["v"].dataType.simpleString()
     indexed = classes.mapInArrow(index, f"part long, leaf long, v {vector}, ids array<long>")
-    routed = queries.repartition(64, "id").mapInArrow(route, f"part long, query_id long, q {vector}, leaves array<long>")
+    tasks = max(64, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    routed = stored(queries.repartition(tasks, "id").mapInArrow(route, f"part long, query_id long, q {vector}, leaves array<long>"), "routes")
+    loads = routed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / ASKED_ROWS).cast("long").alias("pieces"))  # a part that many queries ask works in pieces
+    indexed = indexed.join(loads, "part").select("part", "leaf", "v", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+    routed = routed.join(loads, "part").select("part", "query_id", "q", "leaves", F.pmod(F.xxhash64("query_id"), F.col("pieces")).alias("piece"))
 
     def rank(members: pa.Table, asked: pa.Table) -> pa.Table:
-        kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        names = ["query_id", "vec_id", "score"]
         if not members.num_rows or not asked.num_rows:
-            return kinds.empty_table()
-        data, points = matrix(members["v"]), matrix(asked["q"])
-        leaf, ids = members["leaf"].to_numpy(), members["ids"].to_pylist()
-        query, leaves = asked["query_id"].to_numpy(), asked["leaves"].combine_chunks()
-        longest_here = np.linalg.norm(data, axis=1).max()
-        known, place = np.unique(leaf, return_inverse=True)
-        block = max(1, SCORE_BLOCK // len(data))
-        found: list[tuple[int, int, float]] = []
-        for at in range(0, len(points), block):
-            some = leaves.slice(at, block)
-            size = np.diff(some.offsets.to_numpy())
-            wanted = np.zeros((len(some), len(known)), dtype=bool)
-            asked_leaf = some.flatten().to_numpy()
-            slot = np.minimum(np.searchsorted(known, asked_leaf), len(known) - 1)
-            there = known[slot] == asked_leaf
-            wanted[np.repeat(np.arange(len(some)), size)[there], slot[there]] = True
-            score = np.where(wanted[:, place], points[at : at + block] @ data.T, -np.inf)
-            m = min(len(data), k + 1)  # one may be the query itself
-            cut = -np.partition(-score, m - 1, axis=1)[:, m - 1]
-            cut -= 1e-9 * longest_here * np.linalg.norm(points[at : at + block], axis=1)  # equal scores may differ by rounding
-            for row in range(len(some)):
-                cand = np.flatnonzero((score[row] >= cut[row]) & (score[row] > -np.inf))
-                exact = (data[cand] * points[at + row]).sum(axis=1).tolist()  # one order of summation for all
-                q = int(query[at + row])
-                best = sorted((-s, i) for s, c in zip(exact, cand.tolist(), strict=True) for i in ids[c] if i != q)[:k]
-                found += [(q, i, -s) for s, i in best]
-        return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*found, strict=True), kinds, strict=True)], schema=kinds) if found else kinds.empty_table()
-
-    ranked = indexed.groupBy("part").cogroup(routed.groupBy("part")).applyInArrow(rank, "query_id long, vec_id long, score double")
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        members = members.sort_by("leaf")
+        leaves = asked["leaves"].combine_chunks()
+        row, wanted = np.repeat(np.arange(len(leaves)), np.diff(leaves.offsets.to_numpy())), leaves.flatten().to_numpy()
+        order = np.argsort(wanted, kind="stable")
+        ids = pa.concat_arrays(members["ids"].chunks)  # offsets from 0
+        found = _ranked(matrix(members["v"]), members["leaf"].to_numpy(), ids, matrix(asked["q"]), asked["query_id"].to_numpy(), row[order], wanted[order], k)
+        return pa.table([pa.array(x) for x in found], names=names)
+
+    ranked = indexed.groupBy("part", "piece").cogroup(routed.groupBy("part", "piece")).applyInArrow(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = ranked.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("vec_id"), "score")
+    ranked = ranked.repartition("query_id").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.col("vec_id"), "score", F.lit(reached).alias("audit_recall"))
 
 
-def _audited_visits(forest: Forest, classes: DataFrame, queries: DataFrame, k: int, recall: float, audit: int) -> int:
-    """The least number of visits with which the audit queries' exact neighbours are found to ``recall``, and some more."""
+def _audited_visits(forest: Forest, classes: DataFrame, queries: DataFrame, k: int, recall: float, audit: int) -> tuple[int, float]:
+    """The least number of visits with which the audit queries' exact neighbours are found to ``recall``, and some more; and the share found."""
     leaves = len(forest.axes) << forest.depth
-    points = sample(queries, audit)
+    own, points = sample(classes.join(queries.select("v").distinct(), "v", "left_semi"), audit)
     if not len(points) or forest.depth == 0:
-        return leaves
-    q, ids, _ = best_of_all(classes, points, k + 1, normed=False)
+        return leaves, 1.0
+    q, ids, _ = best_of_all(classes, own, points, k)
     wanted = classes.where(F.col("id").isin([int(i) for i in set(ids.tolist())])).select("id", "v").toArrow()
     leaf_of = dict(zip(wanted["id"].to_pylist(), forest.leaves(matrix(wanted["v"])).tolist(), strict=True))
     turns = []
     for number, point in enumerate(points):
         at = {visit: turn for turn, visit in enumerate(forest.visits(point, leaves), 1)}
         turns += [min(at[(tree, leaf)] for tree, leaf in enumerate(leaf_of[i])) for i in ids[q == number].tolist()]
+    if not turns:
+        return leaves, 1.0
     turns.sort()
-    return min(leaves, math.ceil(turns[min(len(turns) - 1, math.ceil(recall * len(turns)))] * 1.02))
+    visits = min(leaves, math.ceil(turns[min(len(turns) - 1, math.ceil(recall * len(turns)))] * 1.02))
+    return visits, sum(t <= visits for t in turns) / len(turns)

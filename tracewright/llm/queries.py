@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .forest_search import forest_search
 from .graph_dedup import near_vectors
-from .mixing import mix_oracle, mix_sources
+from .mixing import mix_oracle, mix_sources, turn_weights
 from .packing import pack
 from .sharding import kd_shards
 from .simhash import simhash_components
@@ -62,9 +62,10 @@ def op3_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as pieces of full windows of 2048 ids, each with every source's share."""
-    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
-    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    """All documents as pieces of full windows of 2048 ids, sources in the proportions of the mix (3, 1, 2 in turn) while they last."""
+    docs = table(spark, sf_dir, "documents")
+    pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1, weights=turn_weights(docs))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "deficit")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest inner products of every twentieth embedding with all others."""
     found = forest_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
-    return found.select("query_id", "rank", "vec_id", "score")
+    return found.select("query_id", "rank", "vec_id", "score", "audit_recall")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

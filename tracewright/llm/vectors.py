@@ -33,33 +33,27 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def lists(values: np.ndarray) -> pa.ListArray:
-    values = np.ascontiguousarray(values)
-    offsets = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
+def sample(rows: DataFrame, most: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of at most ``most`` rows, those with the least hashes: a bounded sample on the driver."""
+    found = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most).select("id", "v").toArrow()
+    return found["id"].to_numpy(), matrix(found["v"])
 
 
-def sample(rows: DataFrame, most: int) -> np.ndarray:
-    """At most ``most`` vectors, those with the least hashes: a bounded sample on the driver."""
-    found = rows.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(most).select("v").toArrow()
-    return matrix(found["v"])
-
-
-def best_of_all(rows: DataFrame, queries: np.ndarray, most: int, normed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact search of a bounded number of queries, in blocks over all rows: (query number, id, score), ``most`` a query."""
+def best_of_all(rows: DataFrame, own: np.ndarray, queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact search of a bounded number of queries, in blocks over all rows but their own: (query number, id, score), ``most`` a query."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
             if not len(ids):
                 continue
-            if normed:
-                data = data / np.linalg.norm(data, axis=1, keepdims=True)
             score = queries @ data.T
+            score[own[:, None] == ids[None, :]] = -np.inf
             k = min(most, score.shape[1])
             top = np.argpartition(-score, k - 1, axis=1)[:, :k]
-            q = np.repeat(np.arange(len(queries)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[top.ravel()]), pa.array(score[q, top.ravel()])], names=["q", "id", "score"])
+            q, found = np.repeat(np.arange(len(queries)), k), score[np.arange(len(queries))[:, None], top].ravel()
+            real = np.isfinite(found)
+            yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(ids[top.ravel()[real]]), pa.array(found[real])], names=["q", "id", "score"])
 
     from pyspark.sql import Window
 
