@@ -466,6 +466,25 @@ def test_tight_families_stay_linked(spark, monkeypatch):
     assert {found[k]["component_id"] for k in range(140)} == {0}
 
 
+def test_links_across_shards_and_levels(spark, monkeypatch):
+    """One long chain, cut into shards of a few rows: near nodes of other shards are met, and each link counts once."""
+    r = np.random.default_rng(11)
+    turn = np.linspace(0, 6, 160)
+    base = np.stack([np.cos(turn), np.sin(turn), np.zeros(160), np.zeros(160)], axis=1) + 0.02 * r.standard_normal((160, 4))
+    data = np.concatenate([base, base[::16]]).astype(np.float32)  # and some copies
+    unit = data.astype(float) / np.linalg.norm(data.astype(float), axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    for level in (4096, 3):
+        monkeypatch.setattr("tracewright.llm.graph_dedup.LEVEL", level)
+        found = {x["vec_id"]: x for x in near_vectors(vectors(spark, data), least=0.95, shard_rows=24, overlap=2, recall=0.0).collect()}
+        got = np.array([found[k]["n_links"] for k in range(len(data))])
+        assert (got <= near.sum(1)).all() and got.sum() >= 0.9 * near.sum()
+        assert {found[k]["component_id"] for k in range(len(data))} == {0} and 0.9 <= found[0]["audit_recall"] <= 1
+        twice = {x["vec_id"]: x["n_links"] for x in near_vectors(vectors(spark, data), least=0.95, shard_rows=40, overlap=3).collect()}
+        assert [twice[k] for k in range(len(data))] == near.sum(1).tolist()
+
+
 def test_recall_is_audited_when_shards_end(spark, monkeypatch):
     empty = lambda *_: (np.empty(0, np.int64), np.empty(0, np.int64))
     monkeypatch.setattr("tracewright.llm.graph_dedup.range_search", empty)
