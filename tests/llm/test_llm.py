@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -25,7 +26,7 @@ from tracewright.llm.simhash import simhash_components, text_fingerprint
 from tracewright.llm.suffix_dedup import remove_repeats
 from tracewright.llm.token_counts import WordBpe, count_tokens
 from tracewright.llm.toxicity import OrdinalModel, fit, score, severity, text_features
-from tracewright.llm.url_filter import judge_urls
+from tracewright.llm.url_filter import judge_oracle, judge_urls
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, rid string, times string, shard string"
@@ -387,6 +388,37 @@ def test_aliases_share_blocks_and_allows_win(spark):
     assert judge_urls(pages, RULES, links=more).where("page_id = 10").first()["verdict"] == "block"
 
 
+def test_all_links_of_a_page_count(spark):
+    link = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://x.org/a/b/p.html", link.format("../q.html") + link.format("http://bad.org/?a=1&amp;b=2") + '<meta http-equiv="refresh" content="5; url=./r.html">'),
+        (2, "http://x.org/a/q.html", None), (3, "http://x.org/a/b/r.html", None), (4, "http://x.org/a/./b/../q.html", None),
+        (5, "http://y.org/s", "<base href='http://z.org/dir/index.html'>" + link.format("t.html")), (6, "http://z.org/dir/t.html", "<META HTTP-EQUIV=refresh CONTENT='0;URL=http://bad.org/'>"),
+        (7, "http://w.org/" + "long/" * 20000, "<link rel=canonical href=" + "x" * 100_000), (8, "http://v.org/<", "<<<link <link rel='canonical'><base><meta http-equiv=refresh>" * 2000),
+        (9, "http://only.org/../../up", link.format("http://x.org/up")), (None, "http://x.org/a/q.html", None), (10, "http://x.org/../up", None),
+    ]
+    pages = spark.createDataFrame([(*r, "n") for r in rows], "page_id long, url string, html string, n string")
+    found = {r["page_id"]: r["verdict"] for r in judge_urls(pages, [("block", "bad.org", "")]).collect()}
+    assert found == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "allow", None: "block", 10: "allow"}
+    frame = pages.drop("n").toPandas()
+    connection = duckdb.connect()
+    connection.register("frame", frame)
+    connection.execute("create view pages as select page_id::bigint as page_id, url, html from frame where page_id is not null")
+    rules = [("block", "bad.org", "")]
+    theirs = connection.sql(judge_oracle(rules)).fetchall()
+    mine = [tuple(r) for r in judge_urls(pages.where("page_id is not null"), rules).select("page_id", "host", "path", "rule", "verdict").collect()]
+    assert sorted(mine, key=str) == sorted(theirs, key=str)
+
+
+def test_pages_of_one_url_and_component_are_spread(spark, monkeypatch):
+    monkeypatch.setattr("tracewright.plans.spread.HOT_ROWS", 10)
+    rows = [(k, "http://hub.org/") for k in range(100)] + [(200 + k, f"http://a{k}.org/") for k in range(50)] + [(300 + k, None) for k in range(50)]
+    pages = spark.createDataFrame([(i, u, "<link rel=canonical href='http://hub.org/'>") for i, u in rows], "page_id long, url string, html string")
+    links = spark.createDataFrame([("http://hub.org/", "http://bad.org/")], "src_url string, dst_url string")
+    found = judge_urls(pages, [("block", "bad.org", "")], links=links).collect()
+    assert len(found) == 200 and {r["verdict"] for r in found if r["page_id"] < 300} == {"block"} and {r["verdict"] for r in found if r["page_id"] >= 300} == {"allow"}
+
+
 # ---- sharding ----
 
 def test_leaves_are_even_and_copies_stay_together(spark):
