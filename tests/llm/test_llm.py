@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm import golay, histograms
+from tracewright.llm import golay, histograms, toxicity
 from tracewright.llm.forest_search import forest_search
 from tracewright.llm.graph_dedup import near_vectors
 from tracewright.llm.mixing import mix_sources
@@ -352,6 +352,47 @@ def test_ordinal_model_separates_and_orders(spark):
     assert text_features("Lowei lowei x") == {"lowei", "x", "^lowe"} and OrdinalModel({}, [0.0]).exceeding(None)[0] == 0.5
 
 
+def test_ordinal_fit_is_at_the_least_loss_of_plain_loops(spark):
+    """The fitted weights and cuts against the likelihood written as a loop: no small step makes it better."""
+    pick = random.Random(6)
+    names = ["w0", "w1", "w2", "w3"]
+    rows, grades = [], []
+    for _ in range(300):
+        own = [k for k in range(4) if pick.random() < 0.4]
+        score_ = 2.0 * (0 in own) + 1.0 * (1 in own) - 1.0 * (2 in own) + pick.gauss(0, 1)
+        rows.append(own)
+        grades.append(0 if score_ < 0.5 else 1 if score_ < 2.0 else 2)
+    row, col = np.array([(r, c) for r, own in enumerate(rows) for c in own]).T
+    model = toxicity._descend(names, np.array(grades), row, col, 3000, 0.02, 5e-4)
+
+    def loss(weights, cuts):
+        total = 0.0
+        for own, grade in zip(rows, grades, strict=True):
+            s = sum(weights[c] for c in own)
+            above = [1.0] + [1 / (1 + np.exp(c - s)) for c in cuts] + [0.0]
+            total -= np.log(above[grade] - above[grade + 1])
+        return total / len(rows) + 5e-4 / 2 * sum(w * w for w in weights)
+
+    weights = [model.weights.get(n, 0.0) for n in names]
+    best = loss(weights, model.cuts)
+    for k in range(4):
+        for step in (-0.1, 0.1):
+            assert loss([w + step * (j == k) for j, w in enumerate(weights)], model.cuts) > best
+    for k in range(2):
+        for step in (-0.1, 0.1):
+            assert loss(weights, [c + step * (j == k) for j, c in enumerate(model.cuts)]) > best
+    assert weights[0] > weights[1] > 0 > weights[2] and model.cuts[0] < model.cuts[1]
+
+
+def test_toxicity_of_long_and_repeated_texts(spark):
+    model = OrdinalModel({"vile": 3.0, "^vile": 1.0}, [1.0, 2.0])
+    rows = [(1, "vile " * 300_000, "a"), (1, "vile", "a"), (1, "vile", "a"), (None, "fine", None), (2, "vilest", "a")]
+    found = sorted((str(r["doc_id"]), r["expected_severity"], r["grade"], r["toxic"]) for r in score(docs(spark, rows), model).collect())
+    p = [1 / (1 + np.exp(c - 3.0)) for c in (1.0, 2.0)]
+    assert len(found) == 5 and [f[1] for f in found if f[0] == "1"] == [pytest.approx(sum(p))] * 3 and {f[2] for f in found if f[0] == "1"} == {2}
+    assert [f[2:] for f in found if f[0] == "None"] == [(0, False)]
+
+
 @pytest.mark.parametrize("name", ["n_bytes_", "counted_text", "N_TOKENS", "scored_text", "scored_text_", "t_", "spans_", "rid", "a.b", "x`y", "Toxic"])
 def test_columns_of_any_name_stay(spark, name):
     table = spark.createDataFrame([(1, "some text", 7), (None, None, None)], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField(name, T.LongType())]))
@@ -441,6 +482,69 @@ def test_leaves_are_even_and_copies_stay_together(spark):
     assert len(hot) == 4 and all(150 < r["count"] < 250 for r in hot)
 
 
+def brute_kd(rows, dims, shards, whole_share=0.005):
+    """The same tree by sorting: rows of (id, text), dims of functions of a text; {(id, text): shard}."""
+    def hashed(i):
+        return int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)
+
+    values = [[float(d(t)) if d(t) is not None else None for d in dims] for _, t in rows]
+    spans = [(min(x), max(x)) if (x := [v[k] for v in values if v[k] is not None]) else (0.0, 0.0) for k in range(len(dims))]
+    def cell(v, k):
+        lo, hi = spans[k]
+        return 0 if v is None else 1 if hi <= lo else int((v - lo) / (hi - lo) * ((1 << 20) - 2)) + 1
+    points = [dict(row=r, size=len((r[1] or "").encode()) + 1, crc=zlib.crc32(r[1].encode()) if r[1] is not None else 0, tie=hashed(r[0]), cells=[cell(v, k) for k, v in enumerate(vs)]) for r, vs in zip(rows, values, strict=True)]
+    whole = whole_share * sum(p["size"] for p in points) / shards
+    out = {}
+
+    def cut(some, key, goal, heavy):
+        """(last key on the left, whether the boundary key goes left) of rows ordered by key."""
+        under = 0
+        for k in sorted({p[key] for p in some}):
+            v = sum(p["size"] for p in some if p[key] == k)
+            if under + v >= goal:
+                if heavy and v > whole:
+                    at, _ = cut([p for p in some if p[key] == k], "tie", goal - under, False)
+                    return k, at
+                left = 2 * (goal - under) >= v
+                return (k, (1 << 60) - 1 if left else -1) if heavy else (k if left else k - 1, None)
+            under += v
+
+    def split(some, first, k):
+        if k <= 1 or not some:
+            out.update({p["row"]: first for p in some})
+            return
+        half = k // 2
+        wide = [max(p["cells"][d] for p in some) - min(p["cells"][d] for p in some) for d in range(len(dims))]
+        axis = wide.index(max(wide))
+        for p in some:
+            p["key"] = (p["cells"][axis] << 32) + p["crc"]
+        at, tie = cut(some, "key", sum(p["size"] for p in some) * half / k, True)
+        right = [p for p in some if p["key"] > at or p["key"] == at and p["tie"] > tie]
+        split([p for p in some if p not in right], first, half)
+        split(right, first + half, k - half)
+
+    split(points, 0, shards)
+    return out
+
+
+def test_shards_equal_a_tree_by_sorting(spark):
+    rows = [(k, prose(k % 150, 1 + (k * k) % 60)) for k in range(220)] + [(1000 + k, "a hot copy") for k in range(80)] + [(None, "no id"), (2000, None), (2001, "")]
+    frame = docs(spark, [(i, t, "a") for i, t in rows])
+    dims = {"length": F.octet_length("text"), "vowels": F.length(F.regexp_replace("text", "[^aeiou]", ""))}
+    found = {(r["doc_id"], r["text"]): r["shard"] for r in kd_shards(frame.withColumn("text_crc32", F.lit("x")), dims, shards=6).join(frame.select(F.col("doc_id").alias("i"), "text"), F.col("doc_id").eqNullSafe(F.col("i"))).collect()}
+    want = brute_kd(rows, [lambda t: None if t is None else len(t.encode()), lambda t: None if t is None else sum(c in "aeiou" for c in t)], 6)
+    assert found == want and len(set(want.values())) == 6
+
+
+def test_shards_with_equal_values_everywhere(spark):
+    same = docs(spark, [(k, "x" * 20, "a") for k in range(64)])
+    flat = {"a": F.lit(1), "b": F.lit(None).cast("double")}
+    sizes = Counter(r["shard"] for r in kd_shards(same, flat, shards=4).collect())
+    assert set(sizes) == {0, 1, 2, 3} and max(sizes.values()) - min(sizes.values()) <= 4
+    whole = Counter(r["shard"] for r in kd_shards(same, flat, shards=4, whole_share=10.0).collect())
+    assert len(whole) == 1  # a group of copies that may stay whole does
+
+
 # ---- vectors ----
 
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()), T.StructField("score", T.StringType())])

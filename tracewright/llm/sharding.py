@@ -8,16 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import stored
+from .columns import named
 from .histograms import boundary_keys
 
 #: Cells of a dimension's range, and bits of the key that orders rows: cell, then text checksum.
 CELL_BITS, SUM_BITS, TIE_BITS = 20, 32, 60
-#: A group of copies up to this share of a leaf stays whole at a cut.
-WHOLE_SHARE = 0.005
 ROWS_A_SLOT_PART = 100_000
 
 
-def kd_shards(docs: DataFrame, dimensions: dict[str, Column], shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kd_shards(docs: DataFrame, dimensions: dict[str, Column], shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", whole_share: float = 0.005) -> DataFrame:
     """``id_col, size, text_crc32, shard, slot`` for every row: a k-d tree over metadata, leaves of near equal bytes.
 
     size is the text's UTF-8 bytes plus 1 (null text: 1) and text_crc32 its
@@ -27,7 +26,7 @@ def kd_shards(docs: DataFrame, dimensions: dict[str, Column], shards: int | None
     counts as the least value) at the weighted median, or for an odd number of
     leaves at the share of bytes its smaller side needs. Ties in the dimension
     are ordered by checksum, so copies stay together at a cut unless they hold
-    over 0.5 % of a leaf; then their ids' hashes split them. All nodes of a level
+    over ``whole_share`` of a leaf; then their ids' hashes split them. All nodes of a level
     are split in one pass over a slim table, and medians come from nested
     histograms; only the tree (a row a node) is small. slot numbers a shard's
     rows from 0 without gaps. Rows that repeat are placed each, extra columns
@@ -36,12 +35,12 @@ def kd_shards(docs: DataFrame, dimensions: dict[str, Column], shards: int | None
     if (shards is None) == (target_bytes is None):
         raise ValueError("give shards or target_bytes")
     names = sorted(dimensions)
-    text = F.col(text_col).cast("string")
+    text = named(text_col).cast("string")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     crc = F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long")
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    digest = F.md5(F.coalesce(named(id_col).cast("string"), F.lit("")).cast("binary"))
     tie = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
-    slim = docs.select(F.col(id_col).alias("id"), size.alias("size"), crc.alias("crc"), tie.alias("tie"), *[dimensions[n].cast("double").alias(f"d{k}") for k, n in enumerate(names)])
+    slim = docs.select(named(id_col).alias("id"), size.alias("size"), crc.alias("crc"), tie.alias("tie"), *[dimensions[n].cast("double").alias(f"d{k}") for k, n in enumerate(names)])
     slim = stored(slim, "slim")
 
     ranges = slim.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), *[f(f"d{k}").alias(f"{n}{k}") for k in range(len(names)) for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
@@ -56,11 +55,11 @@ def kd_shards(docs: DataFrame, dimensions: dict[str, Column], shards: int | None
     rows = slim.select("id", "size", "crc", "tie", *cells, F.lit(0).cast("long").alias("first"), F.lit(leaves).cast("long").alias("k"))
     width = F.array(*[F.struct((F.max(f"c{k}") - F.min(f"c{k}")).alias("w"), F.lit(-k).alias("i")) for k in range(len(names))])
     for _ in range(max(0, (leaves - 1).bit_length())):
-        rows = _split(rows, width, len(names), total / leaves)
+        rows = _split(rows, width, len(names), whole_share * total / leaves)
     return _slots(rows.select("id", "size", "crc", F.col("first").cast("int").alias("shard")), leaves, ranges["rows"]).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
 
-def _split(rows: DataFrame, width: Column, dims: int, leaf_bytes: float) -> DataFrame:
+def _split(rows: DataFrame, width: Column, dims: int, whole_bytes: float) -> DataFrame:
     """All nodes with more than one leaf are cut in two. A node is known by its first leaf."""
     rows = stored(rows, "nodes")
     half = F.floor(F.col("k") / 2)
@@ -70,7 +69,7 @@ def _split(rows: DataFrame, width: Column, dims: int, leaf_bytes: float) -> Data
     keyed = rows.join(nodes.select("first", "axis"), "first").select(F.col("first").alias("g"), F.col("size"), "tie", (F.shiftleft(cell, SUM_BITS) + F.col("crc")).alias("h"))
     edge = stored(boundary_keys(keyed, nodes.select(F.col("first").alias("g"), "goal"), CELL_BITS + SUM_BITS), "medians")
     # copies that weigh too much to stay whole are cut by their ids
-    heavy = edge.where(F.col("v") > F.lit(WHOLE_SHARE * leaf_bytes)).select("g", F.col("h").alias("at"), (F.col("goal") - F.col("under")).alias("goal"))
+    heavy = edge.where(F.col("v") > F.lit(whole_bytes)).select("g", F.col("h").alias("at"), (F.col("goal") - F.col("under")).alias("goal"))
     copies = keyed.join(heavy, "g").where("h = at").select("g", F.col("tie").alias("h"), "size")
     within = boundary_keys(copies, heavy.select("g", "goal"), TIE_BITS)
     nearer = 2 * (F.col("goal") - F.col("under")) >= F.col("v")

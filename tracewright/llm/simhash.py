@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
+from ..plans.spread import hot_from, join_each
 from ..plans.storage import stored
+from .columns import named
 from .golay import codeword_indices
 
 #: First bit and width of the segments of a fingerprint.
@@ -50,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(compute, f"id {kind}, fp bigint")
+    return docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("t")).mapInArrow(compute, f"id {kind}, fp bigint")
 
 
 def fuzzy_keys(fps: DataFrame) -> DataFrame:
@@ -78,15 +80,19 @@ def fingerprint_links(fps: DataFrame, max_distance: int = 2) -> DataFrame:
     """``src, dst`` links (a spanning set of them) between distinct fingerprints at most ``max_distance`` (0 to 2) bits apart.
 
     Small buckets of a shared key are compared member by member and verified.
-    In larger ones, which near copies fill, each fingerprint is instead linked
-    to the smallest one that shares a word at most one bit away from both: that
-    is the case exactly for distances up to two, and the links grow linearly.
+    In larger ones, which near copies fill, comparing all members would cost the
+    square, so each fingerprint is instead linked to the smallest one that shares
+    a word at most one bit away from both. Two fingerprints share such a word
+    exactly if they are at most two bits apart, so these links are verified by
+    what they are; the others of a word are linked through its smallest, so the
+    components are those of all pairs, and the links grow linearly.
     """
     if not 0 <= max_distance <= 2:
         raise ValueError("max_distance is 0, 1 or 2")
     keys = fuzzy_keys(fps)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keys = stored(keys.join(shared, "key"), "buckets")
+    shared = shared.withColumn("rows", F.col("n"))
+    keys = stored(join_each(keys, shared, ["key"], F.col("fp"), hot_from(6 * 3 * fps.count()), "rows"), "buckets")  # up to six keys a segment
     small = keys.where(F.col("n") <= PAIRWISE_UP_TO)
     a, b = small.alias("a"), small.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance
@@ -113,13 +119,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component_id is the smallest id reachable. Equal fingerprints (copies, and
     all texts without words, null ones included) are one node, so a group of
     copies costs one row. Null ids never name a component unless there is no
-    other; repeated rows stay; extra columns are ignored; no rows, no result.
+    other; repeated rows stay; extra columns are ignored, whatever
+    their names; no rows, no result.
     """
     rows = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct-fingerprints")
+    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     found = connected_components(fingerprint_links(nodes, max_distance))
     joined = nodes.join(found, nodes["fp"] == found["node"], "left")
-    grouped = joined.select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    named = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of = stored(grouped.join(named, "component").select("fp", "component_id"), "components")
-    return rows.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    grouped = joined.select("fp", "n", "least_id", F.coalesce("component", "fp").alias("component"))
+    ids = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    most = hot_from(rows.count())
+    of = stored(join_each(grouped, ids, ["component"], F.col("fp"), most, "rows").select("fp", "n", "component_id"), "components")
+    return join_each(rows, of, ["fp"], F.col("id"), most).select(F.col("id").alias(id_col), "fp", "component_id")
