@@ -20,7 +20,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5)
 BLOCK = 1 << 20
 #: Words whose features a worker remembers, and texts scored at a time.
-KNOWN_WORDS, SCORED_ROWS = 500_000, 1000
+KNOWN_WORDS, SCORED_ROWS = 200_000, 1000
 
 
 def word_features(word: str) -> list[str]:
