@@ -32,7 +32,7 @@ BLOCK = 1 << 20
 #: A minimizer with more differing stretches than this is split by the windows' own hashes.
 CROWD = 4000
 #: Bytes of stretches whose suffixes one task sorts at a time.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 2 << 20
 _INDEX_BITS = np.uint64(21)
 
 
