@@ -57,5 +57,10 @@ def edge_key(a: Column, b: Column) -> Column:
     return F.when(a <= b, F.struct(a.alias("a"), b.alias("b"))).otherwise(F.struct(b.alias("a"), a.alias("b")))
 
 
+def mean_degrees(column: Column) -> Column:
+    """Mean of coordinates to the billionth of a degree (a tenth of a millimetre), summed exactly: the same in any order of rows."""
+    return F.sum(column.cast("decimal(18,9)")).cast("double") / F.count(column)
+
+
 def in_box(lat: Column, lon: Column, box: tuple[float, float, float, float]) -> Column:
     return lat.between(box[0], box[1]) & lon.between(box[2], box[3])

@@ -7,10 +7,11 @@ import pickle
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import MAP_REGION, haversine, in_box
+from ..plans.numbering import numbered
 from ..plans.storage import stored
 from .graph import connected_components
 
@@ -85,8 +86,8 @@ def corridors(edges: DataFrame, least_weight: int = LEAST_WEIGHT, least_cells: i
         return pd.DataFrame(found, columns=["cells", "weight_mean", "weight_max", "weight_min", "length_cells", "display_score"])
 
     traced = rows.groupBy("component").applyInPandas(trace, "cells array<struct<gx:long,gy:long>>, weight_mean double, weight_max long, weight_min long, length_cells long, display_score double")
-    order = Window.orderBy(F.desc("display_score"), F.desc("weight_mean"), F.desc("length_cells"), "cells")
-    return traced.withColumn("corridor_id", F.row_number().over(order).cast("long"))
+    order = [F.desc("display_score"), F.desc("weight_mean"), F.desc("length_cells"), F.col("cells")]
+    return numbered(traced, order, "place_").withColumn("corridor_id", F.col("place_") + 1).drop("place_")
 
 
 def parse_coordinates(latitudes: Column, longitudes: Column) -> Column:

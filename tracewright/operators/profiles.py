@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import cell_id
+from ..functions.geo import cell_id, mean_degrees
 from ..functions.labels import UNKNOWN, age_group, bool_label, nb_car_group
-from .similarity import cluster_summary, jaccard_pairs, number_clusters
+from ..plans.storage import stored
+from .selection import top_within
+from .similarity import cluster_summary, medoids, number_clusters, similar_components
 
 CRITERIA = ["SEX", "AGE_GROUP", "NAVIGO_SUB", "DRIVING_LICENCE", "NB_CAR_GROUP", "DOMINANT_MODE"]
 BOOLEANS = ["NAVIGO_SUB", "DRIVING_LICENCE", "BIKE", "TWO_WHEELER"]
@@ -65,8 +67,8 @@ def profile_clusters(features: DataFrame, individuals: DataFrame, criteria: list
     keys = ["CRITERION", "CRITERION_VALUE"]
     enough = rows.groupBy(*keys).agg(F.count_distinct("TRAJECTORY_UID").alias("n")).where(F.col("n") >= least).select(*keys)
     rows = rows.join(enough, keys, "left_semi")
-    similar = jaccard_pairs(rows, threshold, min_shared, [*keys, *(["START_CELL", "END_CELL"] if same_ends else [])])
-    found = number_clusters(rows, similar.select(*keys, "l", "r"), keys)
+    bucket = ["START_CELL", "END_CELL"] if same_ends else []
+    found = number_clusters(stored(similar_components(rows, threshold, min_shared, keys, bucket), "profile-components"), keys)
     label = F.concat(F.col("CRITERION"), F.lit("="), F.col("CRITERION_VALUE"), F.lit("::"), F.col("CLUSTER_ID"))
     return found.withColumn("PROFILE_CLUSTER_ID", label)
 
@@ -76,11 +78,42 @@ def profile_cluster_summary(clusters: DataFrame) -> DataFrame:
     return cluster_summary(clusters.where("CRITERION_VALUE <> 'nan'"), ["CRITERION", "CRITERION_VALUE"])
 
 
+def profile_representatives(features: DataFrame, profiles: DataFrame, shown: DataFrame, threshold: float = 0.42, min_shared: int = 5, min_users: int = 2, min_trajectories: int = 4, most: int = 2) -> DataFrame:
+    """``CRITERION, VALUE, CLUSTER_ID, N_USERS, N_TRAJECTORIES, REPRESENTATIVE``: the best clusters of each value shown, with their medoids.
+
+    ``shown`` (CRITERION, VALUE) are the values of a profile summary; a null
+    value is the text ``nan``. Clusters are those of the value's own
+    trajectories: one pair join and one components run for all values.
+    """
+    keys = ["CRITERION", "VALUE"]
+    wanted = shown.select("CRITERION", F.coalesce("VALUE", F.lit("nan")).alias("VALUE")).distinct()
+    stacked = by_criterion(profiles).select("CRITERION", F.coalesce("VALUE", F.lit("nan")).alias("VALUE"), "USER_ID").distinct().join(wanted, keys)
+    rows = features.join(stacked, "USER_ID").select(*keys, *features.columns)
+    clusters = stored(number_clusters(stored(similar_components(rows, threshold, min_shared, keys), "profile-components"), keys), "profile-clusters")
+    summary = cluster_summary(clusters, keys).where((F.col("N_USERS") >= min_users) & (F.col("N_TRAJECTORIES") >= min_trajectories))
+    best = top_within(summary, keys, [F.desc("N_USERS"), F.desc("N_TRAJECTORIES"), F.desc("AVG_CELLS"), F.col("CLUSTER_ID")], most)
+    best = stored(best.select(*keys, "CLUSTER_ID", "N_USERS", "N_TRAJECTORIES"), "profile-best")
+    medoid = medoids(clusters.join(best.select(*keys, "CLUSTER_ID"), [*keys, "CLUSTER_ID"], "left_semi"), keys)
+    return best.join(medoid.select(*keys, "CLUSTER_ID", F.col("TRAJECTORY_UID").alias("REPRESENTATIVE")), [*keys, "CLUSTER_ID"])
+
+
+def profile_views(records: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked..., SHOWN, lines, trips, most_users``: what a map of profiles shows for each (CRITERION, VALUE) asked for.
+
+    A value without records gives way to the criterion's first; zeros if it has none either.
+    """
+    values = records.groupBy("CRITERION", F.col("VALUE").alias("SHOWN")).agg(F.count(F.lit(1)).alias("lines"), F.sum("N_TRAJECTORIES").alias("trips"), F.max("N_USERS").alias("most_users"))
+    met = asked.alias("a").join(values.alias("v"), "CRITERION", "left")
+    found = met.groupBy("CRITERION", F.col("a.VALUE").alias("VALUE")).agg(F.min_by(F.struct("SHOWN", "lines", "trips", "most_users"), F.struct((F.col("SHOWN") != F.col("a.VALUE")).alias("other"), "SHOWN")).alias("x"))
+    zero = F.lit(0).cast("long")
+    return found.select("CRITERION", "VALUE", F.col("x.SHOWN").alias("SHOWN"), *[F.coalesce(f"x.{c}", zero).alias(c) for c in ("lines", "trips", "most_users")])
+
+
 def user_summary(points: DataFrame) -> DataFrame:
-    """One row a user: points, distinct trajectories, bounds and means."""
+    """One row a user: points, distinct trajectories, bounds and means; the means do not depend on the order of rows."""
     measures = [F.count(F.lit(1)).alias("N_POINTS"), F.count_distinct("TRAJECTORY_UID").alias("N_TRAJECTORIES")]
     for axis, name in (("LATITUDE", "LAT"), ("LONGITUDE", "LON")):
-        measures += [F.min(axis).alias(f"MIN_{name}"), F.max(axis).alias(f"MAX_{name}"), F.avg(axis).alias(f"MEAN_{name}")]
+        measures += [F.min(axis).alias(f"MIN_{name}"), F.max(axis).alias(f"MAX_{name}"), mean_degrees(F.col(axis)).alias(f"MEAN_{name}")]
     return points.where("USER_ID is not null").groupBy("USER_ID").agg(*measures)
 
 
@@ -92,8 +125,8 @@ def zone_selection(users: DataFrame, target: int, min_points: int = 500, sizes:
     smaller id.
     """
     sizes = sizes or ZONE_SIZES
-    enough = F.count_if(F.col("N_POINTS") >= min_points).over(Window.partitionBy()) >= target
-    rows = users.withColumn("enough_", enough).where((~F.col("enough_")) | (F.col("N_POINTS") >= min_points)).drop("enough_")
+    enough = users.agg((F.count_if(F.col("N_POINTS") >= min_points) >= target).alias("enough_"))  # one row
+    rows = users.crossJoin(F.broadcast(enough)).where((~F.col("enough_")) | (F.col("N_POINTS") >= min_points)).drop("enough_")
     tried = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("ZONE_CELL_SIZE_M"), cell_id(F.col("MEAN_LAT"), F.col("MEAN_LON"), s).alias("ZONE_CELL")) for k, s in enumerate(sizes)])
     rows = rows.withColumn("x", F.explode(tried)).select(*users.columns, "x.*")
     zones = rows.groupBy("k", "ZONE_CELL").agg(F.count_distinct("USER_ID").alias("u"), F.sum("N_TRAJECTORIES").alias("t"), F.sum("N_POINTS").alias("p"))

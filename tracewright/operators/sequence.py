@@ -72,6 +72,12 @@ def adaptive_sample(points: DataFrame, by: list[str], at: str, target: int = 80)
     return every_kth(rows, by, at, F.greatest(F.lit(1), F.floor(F.col("n_") / target))).drop("n_")
 
 
+def thin_long(points: DataFrame, by: list[str], at: str, most: int = 10_000) -> DataFrame:
+    """Every ceil(n / most)-th row of sequences of more than ``most`` rows; shorter ones stay whole."""
+    rows = points.withColumn("n_", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    return every_kth(rows, by, at, F.ceil(F.col("n_") / most)).drop("n_")
+
+
 def gap_split(points: DataFrame, by: list[str], at: str, time_s: str, max_s: float = 60.0, max_m: float = 200.0, least: int = 2) -> DataFrame:
     """``points`` with ``piece`` (1-based): a new one after a gap in time or space; pieces under ``least`` rows go."""
     rows = step_metrics(points, by, at, time_s)

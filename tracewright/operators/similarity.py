@@ -2,60 +2,122 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from ..plans.numbering import numbered
+from ..plans.spread import hot_from, join_each
+from ..plans.storage import stored
+from .graph import connected_components, spanning_edges
 
 UID, USER = "TRAJECTORY_UID", "USER_ID"
 
 
-def jaccard_pairs(features: DataFrame, threshold: float, min_shared: int, within: list[str] | None = None) -> DataFrame:
-    """``within..., l, r, shared, score`` (l < r): pairs with enough shared cells and similarity, by an inverted index of cells.
+def cell_classes(features: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """``within..., CELL_SET, rep, m, n``: trajectories of one cell set are one class, known by its first one; their number, and that of the cells."""
+    classes = features.groupBy(*(within or []), "CELL_SET").agg(F.min(UID).alias("rep"), F.count(F.lit(1)).alias("m"))
+    return classes.withColumn("n", F.size("CELL_SET").cast("long"))
+
+
+def class_pairs(classes: DataFrame, threshold: float, min_shared: int, within: list[str] | None = None) -> DataFrame:
+    """``within..., l, r, ml, mr, shared, score`` (l < r): classes with enough shared cells and similarity.
 
-    Pairs whose sizes alone rule the threshold out never meet the aggregation.
-    ``within`` are further columns that both sides share, such as both ends.
+    Cells are ordered from the rarest on. Two similar sets share one of the first
+    cells of both, as many as the threshold leaves to miss, and from the first
+    shared one on both have enough cells left; so a cell that most trajectories
+    pass brings hardly any pairs together. What meets is verified on the sets.
     """
     if min_shared < 1:
         raise ValueError("min_shared is at least 1")
     within = within or []
-    cells = features.select(*within, UID, F.size("CELL_SET").alias("n"), F.explode("CELL_SET").alias("cell"))
-    a = cells.select(*within, "cell", F.col(UID).alias("l"), F.col("n").alias("nl"))
-    b = cells.select(*within, "cell", F.col(UID).alias("r"), F.col("n").alias("nr"))
-    size = F.least("nl", "nr") / F.greatest("nl", "nr") >= threshold
-    pairs = a.join(b, [*within, "cell"]).where((F.col("l") < F.col("r")) & size)
-    pairs = pairs.groupBy(*within, "l", "r", "nl", "nr").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)
+    share = Fraction(str(threshold))
+    num, den = F.lit(share.numerator).cast("long"), F.lit(share.denominator).cast("long")
+
+    def rounded_up(a: Column, b: Column) -> Column:
+        return F.floor((a + b - 1) / b).cast("long")
+
+    needed = F.greatest(F.lit(min_shared).cast("long"), rounded_up(F.col("n") * num, den))  # of cells shared with any other set
+    each = classes.where(F.col("n") >= min_shared).select(*within, "rep", "n", F.explode("CELL_SET").alias("cell"))
+    often = each.groupBy(*within, "cell").agg(F.count(F.lit(1)).alias("df")).withColumn("rows", F.col("df"))
+    most = hot_from(each.count())
+    ranked = join_each(each, often, [*within, "cell"], F.col("rep"), most, "rows")
+    ranked = ranked.groupBy(*within, "rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "cell"))).alias("c"))
+    first = (F.col("n") - needed + 1).cast("int")
+    prefix = ranked.where(first > 0).select(*within, "rep", "n", F.posexplode(F.slice("c", F.lit(1), first)).alias("at", "c"))
+    prefix = stored(prefix.select(*within, "rep", "n", "c.cell", (F.col("n") - F.col("at")).alias("rem")), "prefixes")
+    other = prefix.select(*within, "cell", *[F.col(c).alias(f"{c}0") for c in ("rep", "n", "rem")])
+    left = F.least("rem", "rem0")
+    fits = (left >= min_shared) & (left * (num + den) >= num * (F.col("n") + F.col("n0")))
+    met = prefix.join(other, [*within, "cell"]).where((F.col("rep") < F.col("rep0")) & fits)
+    pairs = stored(met.select(*within, F.col("rep").alias("l"), F.col("rep0").alias("r")).distinct(), "candidate-pairs")
+    most = hot_from(pairs.count())
+    for side, across in (("l", "r"), ("r", "l")):
+        own = pairs.groupBy(*within, side).agg(F.count(F.lit(1)).alias("rows"))
+        sets = classes.select(*within, F.col("rep").alias(side), F.col("CELL_SET").alias(f"s{side}"), F.col("m").alias(f"m{side}"), F.col("n").alias(f"n{side}"))
+        pairs = join_each(pairs, sets.join(own, [*within, side]), [*within, side], F.col(across), most, "rows")
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("sl", "sr")).cast("long")).where(F.col("shared") >= min_shared)
     score = F.col("shared") / (F.col("nl") + F.col("nr") - F.col("shared"))
-    return pairs.withColumn("score", score).where(F.col("score") >= threshold).select(*within, "l", "r", "shared", "score")
+    return pairs.withColumn("score", score).where(F.col("score") >= threshold).select(*within, "l", "r", "ml", "mr", "shared", "score")
+
+
+def jaccard_pairs(features: DataFrame, threshold: float, min_shared: int, within: list[str] | None = None) -> DataFrame:
+    """``within..., l, r, shared, score`` (l < r): pairs of trajectories with enough shared cells and similarity.
+
+    Classes of one cell set are compared, and then written out. ``within`` are
+    further columns that both sides share, such as both ends; their nulls match
+    nothing. No features give no pairs.
+    """
+    within = within or []
+    classes = stored(cell_classes(features, within), "cell-classes")
+    pairs = class_pairs(classes, threshold, min_shared, within)
+    most = hot_from(features.count())
+    members = stored(join_each(features.select(*within, "CELL_SET", UID), classes.select(*within, "CELL_SET", "rep", "m", "n", F.col("m").alias("rows")), [*within, "CELL_SET"], F.col(UID), most, "rows").drop("CELL_SET"), "members")
+    a, b = (members.select(*within, F.col("rep").alias(side), F.col(UID).alias(f"u{side}")) for side in "lr")
+    across = pairs.join(a, [*within, "l"]).join(b, [*within, "r"])
+    across = across.select(*within, F.least("ul", "ur").alias("l"), F.greatest("ul", "ur").alias("r"), "shared", "score")
+    alike = members.where((F.col("n") >= min_shared) & (F.col("m") > 1) & F.lit(threshold <= 1))
+    own = alike.join(a.withColumnsRenamed({"l": "rep", "ul": "u"}), [*within, "rep"]).where(F.col(UID) < F.col("u"))
+    return across.unionAll(own.select(*within, F.col(UID).alias("l"), F.col("u").alias("r"), F.col("n").alias("shared"), F.lit(1.0).alias("score")))
+
+
+def _node(within: list[str], uid: Column) -> Column:
+    return F.struct(*[F.col(c).cast("string").alias(c) for c in within], uid.alias("uid"))
 
 
-def number_clusters(nodes: DataFrame, pairs: DataFrame, within: list[str] | None = None, name: str = "CLUSTER_ID") -> DataFrame:
-    """``nodes`` with a 0-based cluster number by the order of each component's first trajectory, within ``within``.
+def similar_components(features: DataFrame, threshold: float, min_shared: int, within: list[str] | None = None, bucket: list[str] | None = None) -> DataFrame:
+    """``features`` with ``first_``: the first trajectory of those that similar pairs connect, within ``within``.
 
-    One components run serves all values of ``within``: nodes carry them.
+    Only trajectories of one ``bucket`` are compared. One components run over
+    classes of one cell set serves all values of ``within``.
     """
+    within, bucket = within or [], bucket or []
+    keys = [*within, *bucket]
+    classes = stored(cell_classes(features, keys), "cell-classes")
+    pairs = class_pairs(classes, threshold, min_shared, keys)
+    found = connected_components(pairs.select(_node(within, F.col("l")).alias("src"), _node(within, F.col("r")).alias("dst")))
+    own = classes.withColumn("node", _node(within, F.col("rep"))).join(found, "node", "left")
+    # sets too small to be similar to any stay alone
+    own = own.select(*keys, "CELL_SET", F.when(F.col("n") >= min_shared, F.coalesce(F.col("component")["uid"], F.col("rep"))).alias("first_"), F.col("m").alias("rows"))
+    rows = join_each(features, own, [*keys, "CELL_SET"], F.col(UID), hot_from(features.count()), "rows")
+    return rows.select(*features.columns, F.coalesce("first_", UID).alias("first_"))
+
+
+def number_clusters(rows: DataFrame, within: list[str] | None = None, name: str = "CLUSTER_ID") -> DataFrame:
+    """``rows`` with a 0-based cluster number in place of ``first_``, by its order within ``within``."""
     within = within or []
-    def node(uid: str) -> Column:
-        return F.struct(*[F.col(c).cast("string").alias(c) for c in within], F.col(uid).alias("uid"))
-
-    found = connected_components(pairs.select(node("l").alias("src"), node("r").alias("dst")))
-    rows = nodes.withColumn("node", node(UID)).join(found, "node", "left")
-    first = F.coalesce(F.col("component"), F.col("node"))["uid"]
-    rows = rows.withColumn("first_", first).drop("node", "component")
-    order = Window.partitionBy(*within).orderBy("first_")
-    firsts = rows.select(*within, "first_").distinct().withColumn(name, (F.row_number().over(order) - 1).cast("long"))
-    on = F.col("a.first_") == F.col("b.first_")
-    for c in within:
-        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    joined = rows.alias("a").join(firsts.alias("b"), on)
-    return joined.select("a.*", f"b.{name}").drop("first_")
+    firsts = numbered(rows.groupBy(*within, "first_").agg(F.count(F.lit(1)).alias("rows_")), [F.col(c) for c in (*within, "first_")], "place_")
+    if within:  # a group's numbers start at its first place
+        firsts = firsts.join(firsts.groupBy(*within).agg(F.min("place_").alias("start_")), within).withColumn("place_", F.col("place_") - F.col("start_")).drop("start_")
+    firsts = firsts.select(*within, "first_", F.col("place_").alias(name), "rows_")
+    return join_each(rows, firsts, [*within, "first_"], F.col(UID), hot_from(rows.count()), "rows_").select(*[c for c in rows.columns if c != "first_"], name)
 
 
 def cluster_trajectories(features: DataFrame, threshold: float = 0.42, min_shared: int = 5, same_ends: bool = False) -> DataFrame:
     """Features with CLUSTER_ID: connected components of similar pairs; alone, a trajectory is its own cluster."""
-    within = ["START_CELL", "END_CELL"] if same_ends else []
-    pairs = jaccard_pairs(features, threshold, min_shared, within)
-    return number_clusters(features, pairs.select("l", "r"))
+    bucket = ["START_CELL", "END_CELL"] if same_ends else []
+    return number_clusters(stored(similar_components(features, threshold, min_shared, bucket=bucket), "components"))
 
 
 def cluster_summary(clusters: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -65,14 +127,24 @@ def cluster_summary(clusters: DataFrame, keys: list[str] | None = None) -> DataF
     return rows.agg(F.count_distinct(UID).alias("N_TRAJECTORIES"), F.count_distinct(USER).alias("N_USERS"), F.avg("N_POINTS").alias("AVG_POINTS"), F.avg("N_CELLS").alias("AVG_CELLS"), F.min_by("START_CELL", UID).alias("START_CELL"), F.min_by("END_CELL", UID).alias("END_CELL"))
 
 
+def with_summary(clusters: DataFrame, summary: DataFrame) -> DataFrame:
+    """Each trajectory's cluster and what the summary says of it."""
+    each = summary.withColumn("rows_", F.col("N_TRAJECTORIES"))
+    return join_each(clusters.select(UID, "CLUSTER_ID"), each, ["CLUSTER_ID"], F.col(UID), hot_from(clusters.count()), "rows_")
+
+
 def medoids(clusters: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The trajectory of each cluster with the largest sum of similarities to all members, and a little for its cells."""
+    """The trajectory of each cluster with the largest sum of similarities to all members, and a little for its cells; of equals the first.
+
+    Members of one cell set have one sum, so sets are compared, and counted as often as they occur.
+    """
     keys = [*(keys or []), "CLUSTER_ID"]
-    cells = clusters.select(*keys, UID, F.size("CELL_SET").alias("n"), F.explode("CELL_SET").alias("cell"))
-    a = cells.select(*keys, "cell", F.col(UID).alias("l"), F.col("n").alias("nl"))
-    b = cells.select(*keys, "cell", F.col(UID).alias("r"), F.col("n").alias("nr"))
-    shared = a.join(b, [*keys, "cell"]).groupBy(*keys, "l", "r", "nl", "nr").agg(F.count(F.lit(1)).alias("s"))
-    total = shared.groupBy(*keys, "l", "nl").agg(F.sum(F.col("s") / (F.col("nl") + F.col("nr") - F.col("s"))).alias("t"))
+    classes = cell_classes(clusters, keys)
+    cells = classes.select(*keys, "rep", "m", "n", F.explode("CELL_SET").alias("cell"))
+    a = cells.select(*keys, "cell", F.col("rep").alias("l"), F.col("n").alias("nl"))
+    b = cells.select(*keys, "cell", F.col("rep").alias("r"), F.col("n").alias("nr"), F.col("m").alias("mr"))
+    shared = a.join(b, [*keys, "cell"]).groupBy(*keys, "l", "r", "nl", "nr", "mr").agg(F.count(F.lit(1)).alias("s"))
+    total = shared.groupBy(*keys, "l", "nl").agg(F.sum(F.col("mr") * F.col("s") / (F.col("nl") + F.col("nr") - F.col("s"))).alias("t"))
     score = F.round(F.col("t") + 0.001 * F.col("nl"), 9)
     order = Window.partitionBy(*keys).orderBy(F.desc("SCORE"), "l")
     ranked = total.withColumn("SCORE", score).withColumn("k", F.row_number().over(order)).where("k = 1")
@@ -82,24 +154,31 @@ def medoids(clusters: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def threshold_sweep(features: DataFrame, thresholds: list[float], min_shared: int = 5, collective: tuple[int, int] = (2, 3)) -> DataFrame:
     """One row a threshold: pairs kept, clusters, singletons, collective clusters and coverage, from one pair table.
 
-    Pairs are found once at the lowest threshold; every threshold's graph is part
-    of one components run, its nodes marked with the threshold.
+    Classes of one cell set are compared once, at the lowest threshold. Of their
+    pairs only those that connect something at some threshold, about one a
+    class, go into the components run, once for every threshold.
     """
     spark = features.sparkSession
-    steps = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    pairs = jaccard_pairs(features, min(thresholds), min_shared)
-    kept = pairs.join(F.broadcast(steps), F.col("score") >= F.col("threshold")).select("threshold", "l", "r")
-    nodes = features.select(UID, USER).crossJoin(F.broadcast(steps))
-    rows = number_clusters(nodes, kept, ["threshold"])
-    groups = rows.groupBy("threshold", "CLUSTER_ID").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(USER).alias("u"))
+    steps = F.broadcast(spark.createDataFrame([(float(t),) for t in thresholds], "threshold double"))
+    classes = stored(cell_classes(features), "cell-classes")
+    pairs = stored(class_pairs(classes, min(thresholds), min_shared), "class-pairs")
+    alike = classes.where(F.col("n") >= min_shared).select(F.lit(1.0).alias("score"), (F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("w"))
+    weights = pairs.select("score", (F.col("ml") * F.col("mr")).alias("w")).unionAll(alike).groupBy("score").agg(F.sum("w").alias("w"))
+    edges = steps.join(weights, F.col("score") >= F.col("threshold")).groupBy("threshold").agg(F.sum("w").alias("candidate_edges"))
+    kept = stored(spanning_edges(pairs, "l", "r", "score"), "spanning-pairs").join(steps, F.col("score") >= F.col("threshold"))
+    found = connected_components(kept.select(_node(["threshold"], F.col("l")).alias("src"), _node(["threshold"], F.col("r")).alias("dst")))
+    of = classes.select("CELL_SET", F.when(F.col("n") >= min_shared, F.col("rep")).alias("rep"), F.col("m").alias("rows"))
+    members = join_each(features.select("CELL_SET", UID, USER), of, ["CELL_SET"], F.col(UID), hot_from(features.count()), "rows")
+    members = members.groupBy(F.coalesce("rep", UID).alias("uid"), USER).agg(F.count(F.lit(1)).alias("k"))
+    placed = members.crossJoin(steps).withColumn("node", _node(["threshold"], F.col("uid"))).join(found, "node", "left")
+    groups = placed.groupBy("threshold", F.coalesce(F.col("component")["uid"], F.col("uid")).alias("first")).agg(F.sum("k").alias("n"), F.count_distinct(USER).alias("u"))
     wide = (F.col("u") >= collective[0]) & (F.col("n") >= collective[1])
-    size = F.struct("n", -F.col("CLUSTER_ID"))  # the first of the largest
+    size = F.struct((-F.col("n")).alias("n"), "first")  # the first of the largest
     pick = F.struct("n", "u")
     counts = [F.count(F.lit(1)).alias("clusters_total"), F.count_if(F.col("n") == 1).alias("singletons"), F.count_if(wide).alias("collective_clusters")]
     inside = F.coalesce(F.sum(F.when(wide, F.col("n"))), F.lit(0)).alias("trajectories_in_collective")
-    tops = [F.max_by(pick, size).alias("a"), F.max_by(F.when(wide, pick), F.when(wide, size)).alias("b")]
+    tops = [F.min_by(pick, size).alias("a"), F.min_by(F.when(wide, pick), F.when(wide, size)).alias("b")]
     found = groups.groupBy("threshold").agg(*counts, inside, F.sum("n").alias("n"), *tops, F.round(F.avg(F.when(wide, F.col("u"))), 2).alias("avg_collective_users"))
-    edges = kept.groupBy("threshold").agg(F.count(F.lit(1)).alias("candidate_edges"))
     found = found.join(edges, "threshold", "left").na.fill(0, ["candidate_edges"]).na.fill(0.0, ["avg_collective_users"])
     share = F.round(100 * F.col("trajectories_in_collective") / F.col("n"), 2).alias("collective_coverage_pct")
     zero = F.lit(0).cast("long")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M
+from ..plans.numbering import numbered
 from .sequence import every_kth, presample, trim_zones
 
 STAY_M, STAY_S, TRIP_ROWS, MERGE_M = 50.0, 600.0, 10, 100.0
@@ -19,27 +22,35 @@ def _metres(lat1, lon1, lat2, lon2):
     return 2 * EARTH_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
 
 
-def stay_spans(lat: np.ndarray, lon: np.ndarray, time_s: np.ndarray, radius_m: float, least_s: float) -> list[tuple[int, int]]:
-    """(anchor, end) of each staypoint, first come first served.
+def stay_ends(lat: np.ndarray, lon: np.ndarray, time_s: np.ndarray, radius_m: float, least_s: float) -> np.ndarray:
+    """For each row the end of the stay that it would begin, or -1.
 
-    From an anchor the rows after it are followed until one is out of the radius
-    (no stay) or late enough (a stay, and the next anchor follows its end). The
-    rows to look at are found by time, so each anchor costs one block.
+    The rows after a row are followed until one is out of the radius (no stay)
+    or late enough (a stay). All rows look one row further at once, and drop
+    out when they are decided, so times may go back and gaps may be any.
     """
-    spans, i, n = [], 0, len(lat)
-    late = np.searchsorted(time_s, time_s + least_s, side="left")
-    while i < n:
-        j = int(late[i])
-        if j >= n:
-            i += 1
-            continue
-        block = slice(i + 1, max(j, i + 1) + 1)
-        j = max(j, i + 1)
-        if j < n and (_metres(lat[i], lon[i], lat[block], lon[block]) <= radius_m).all():
-            spans.append((i, j))
-            i = j + 1
-        else:
-            i += 1
+    ends = np.full(len(lat), -1, dtype=np.int64)
+    open_ = np.arange(len(lat) - 1)
+    step = 1
+    while len(open_):
+        then = open_ + step
+        near = _metres(lat[open_], lon[open_], lat[then], lon[then]) <= radius_m
+        late = near & (time_s[then] - time_s[open_] >= least_s)
+        ends[open_[late]] = then[late]
+        step += 1
+        open_ = open_[near & ~late]
+        open_ = open_[open_ + step < len(lat)]
+    return ends
+
+
+def stay_spans(lat: np.ndarray, lon: np.ndarray, time_s: np.ndarray, radius_m: float, least_s: float) -> list[tuple[int, int]]:
+    """(anchor, end) of each staypoint, first come first served: the next anchor follows a stay's end."""
+    ends = stay_ends(lat, lon, time_s, radius_m, least_s)
+    spans, free = [], 0
+    for i in np.flatnonzero(ends >= 0).tolist():  # only rows that begin a stay
+        if i >= free:
+            spans.append((i, int(ends[i])))
+            free = int(ends[i]) + 1
     return spans
 
 
@@ -55,22 +66,24 @@ def segment_trips(points: DataFrame, user: str, at: str, time_s: str, radius_m:
     those. A row of equal times keeps the order of ``at``.
     """
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(at, kind="stable").reset_index(drop=True)
-        spans = stay_spans(frame["LATITUDE"].to_numpy(), frame["LONGITUDE"].to_numpy(), frame[time_s].to_numpy().astype(float), radius_m, least_s)
-        trip, stay = np.zeros(len(frame), dtype=np.int64), np.zeros(len(frame), dtype=np.int64)
+    names, place = points.columns, [points.columns.index(c) for c in (at, "LATITUDE", "LONGITUDE", time_s)]
+
+    def kernel(rows: pa.Table) -> pa.Table:  # the other columns pass by as they are
+        order = pc.sort_indices(rows.column(place[0]))
+        rows = rows.take(order)
+        lat, lon, time = (rows.column(k).to_numpy().astype(np.float64) for k in place[1:])
+        spans = stay_spans(lat, lon, time, radius_m, least_s)
+        trip, stay = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
         begin = 0
         for k, (i, j) in enumerate(spans, 1):
             trip[begin : i + 1] = k
             stay[i : j + 1] = k
             begin = j + 1
         trip[begin:] = len(spans) + 1
-        frame["TRIP_NO"] = pd.arrays.IntegerArray(trip, trip == 0)
-        frame["STAY_NO"] = pd.arrays.IntegerArray(stay, stay == 0)
-        return frame
+        return pa.table([*rows.columns, pa.array(trip, mask=trip == 0), pa.array(stay, mask=stay == 0)], names=[*names, "TRIP_NO", "STAY_NO"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
-    return points.groupBy(user).applyInPandas(kernel, f"{fields}, {_TRIP}")
+    return points.groupBy(user).applyInArrow(kernel, f"{fields}, {_TRIP}")
 
 
 def staypoints(segmented: DataFrame, user: str, time_s: str) -> DataFrame:
@@ -112,25 +125,34 @@ def refine(segmented: DataFrame, user: str, at: str, radius_m: float = 100.0, st
 
 
 def global_ids(refined: DataFrame, source: str, trip: str = "TRAJECTORY_ID") -> DataFrame:
-    """``refined`` with ``GLOBAL_TRAJECTORY_ID``: trips numbered by source file, then trip. Ids are counted per file first."""
-    files = refined.select(source, trip).distinct().groupBy(source).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = files.select(source, before.alias("before_"))
-    rank = F.dense_rank().over(Window.partitionBy(source).orderBy(trip))
-    return refined.withColumn("rank_", rank).join(offsets, source).withColumn("GLOBAL_TRAJECTORY_ID", (F.col("before_") + F.col("rank_")).cast("long")).drop("rank_", "before_")
+    """``refined`` with ``GLOBAL_TRAJECTORY_ID``: trips numbered from 1 by source file, then trip."""
+    trips = refined.groupBy(source, trip).agg(F.count(F.lit(1)).alias("rows_"))
+    ids = numbered(trips, [F.col(source), F.col(trip)], "place_").withColumn("GLOBAL_TRAJECTORY_ID", F.col("place_") + 1)
+    return refined.join(ids.drop("place_", "rows_"), [source, trip]).select(*refined.columns, "GLOBAL_TRAJECTORY_ID")
 
 
-def file_stats(points: DataFrame, thinned: DataFrame, segmented: DataFrame, refined: DataFrame, places: DataFrame, user: str) -> DataFrame:
-    """One row a user: how many rows, stays and trips each step leaves; zeros where nothing is left."""
+COUNTS = ["valid_points", "points_after_presampling", "presampling_removed_points", "trajectory_segments", "trajectories_kept", "staypoints", "merged_staypoints", "refined_points"]
+
+
+def file_stats(points: DataFrame, thinned: DataFrame, segmented: DataFrame, refined: DataFrame, places: DataFrame, user: str, bad_files: DataFrame | None = None) -> DataFrame:
+    """``user, source_file``, how many rows, stays and trips each step leaves (zeros where nothing is left), and ``error``, empty for files that could be read.
+
+    ``bad_files`` (user, source_file, error) are added with zeros. A user's file
+    is called as the user if the points do not name it.
+    """
     def count(rows: DataFrame, name: str, what: str = "*") -> DataFrame:
         return rows.groupBy(user).agg((F.count(F.lit(1)) if what == "*" else F.count_distinct(what)).alias(name))
 
     trips = segmented.where("TRIP_NO is not null").groupBy(user, "TRIP_NO").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TRIP_ROWS)
-    found = count(points, "valid_points")
+    file = F.min("SOURCE_FILE") if "SOURCE_FILE" in points.columns else F.concat(F.first(user), F.lit(".csv"))
+    found = points.groupBy(user).agg(file.alias("source_file"), F.count(F.lit(1)).alias("valid_points"))
     for part in (count(thinned, "points_after_presampling"), count(trips, "trajectory_segments"), count(refined, "trajectories_kept", "TRAJECTORY_ID"), count(segmented, "staypoints", "STAY_NO"), count(places, "merged_staypoints"), count(refined, "refined_points")):
         found = found.join(part, user, "left")
-    found = found.na.fill(0)
-    return found.withColumn("presampling_removed_points", F.col("valid_points") - F.col("points_after_presampling"))
+    found = found.na.fill(0).withColumn("presampling_removed_points", F.col("valid_points") - F.col("points_after_presampling"))
+    found = found.select(user, "source_file", *COUNTS, F.lit("").alias("error"))
+    if bad_files is None:
+        return found
+    return found.unionAll(bad_files.select(user, "source_file", *[F.lit(0).cast("long").alias(c) for c in COUNTS], "error"))
 
 
 def refine_users(points: DataFrame, user: str = "USER_ID", at: str = "SEQ", time_s: str = "EPOCH_S", step: int = 1) -> DataFrame:

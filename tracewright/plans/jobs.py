@@ -11,7 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, labels
 from ..operators import corridors as co
 from ..operators import features as fe
 from ..operators import profiles as pr
@@ -30,8 +30,9 @@ STUDY = [0.25, 0.30, 0.35, 0.38, 0.40, 0.42, 0.45, 0.48, 0.50, 0.55, 0.60]
 
 
 def refine_files(spark: SparkSession, path: str, step: int = 5, first_files: int | None = None) -> dict[str, DataFrame]:
-    """Raw per-user files to refined points and per-file statistics."""
-    raw = src.clean_points(src.read_raw_points(spark, src.input_paths(spark, path), first_files))
+    """Raw per-user files to refined points and per-file statistics; files that cannot be used are named there."""
+    raw, bad = src.read_points_of_good_files(spark, src.input_paths(spark, path), first_files=first_files)
+    raw = src.clean_points(raw)
     order = F.struct("DATETIME", "LATITUDE", "LONGITUDE")
     numbered = raw.withColumn("SEQ", F.row_number().over(sq.Window.partitionBy("USER_ID").orderBy(order)).cast("long"))
     points = numbered.withColumn("EPOCH_S", F.unix_micros(F.col("DATETIME").cast("timestamp")) / 1e6)
@@ -40,7 +41,7 @@ def refine_files(spark: SparkSession, path: str, step: int = 5, first_files: int
     segmented = stored(tr.segment_trips(thin, "USER_ID", "SEQ", "EPOCH_S"), "segmented")
     places = tr.merge_staypoints(tr.staypoints(segmented, "USER_ID", "EPOCH_S"), "USER_ID")
     refined = stored(tr.refine(segmented, "USER_ID", "SEQ", step=step), "refined")
-    stats = tr.file_stats(points, thin, segmented, refined, places, "USER_ID")
+    stats = tr.file_stats(points, thin, segmented, refined, places, "USER_ID", bad)
     return {"refined": tr.global_ids(refined, "SOURCE_FILE").drop("SEQ", "EPOCH_S"), "file_stats": stats, "places": places}
 
 
@@ -69,6 +70,8 @@ def focused_clustering(spark: SparkSession, path: str, individuals: str | None =
     points = stored(everything.join(F.broadcast(users.select("USER_ID")), "USER_ID", "left_semi"), "zone-points")  # target_users rows
     out = {"selected_users": users} | cluster_points(points, **FOCUSED)
     out |= {"weighted_segments": fe.weighted_segments(points, out["clusters"], FOCUSED_SEGMENT_M), "medoids": si.medoids(out["clusters"])}
+    shown = points.join(out["medoids"].select("TRAJECTORY_UID"), "TRAJECTORY_UID", "left_semi")
+    out["medoid_lines"] = src.layer(se.render_points(shown, ["TRAJECTORY_UID"], "POINT_INDEX", 5), "TRAJECTORY_UID", "POINT_INDEX")
     if individuals:
         profiles = pr.user_profiles(users, src.read_individuals(spark, individuals).drop("AGE_GROUP"), None)
         out["profile_summary"] = pr.profile_summary(points, profiles)
@@ -94,12 +97,24 @@ def common_corridors(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"corridors": rows.select("*", *packed).drop("coords"), "map_corridors": shown.select("corridor_id")}
 
 
+def corridor_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Corridors read back from a table, with the measures that it lacks and the intensities of the map."""
+    rows = src.read_corridors(spark, path)
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("weight_mean").alias("m"))))  # one row
+    return {"corridor_report": rows.withColumn("intensity", labels.corridor_intensity(F.col("weight_mean"), F.col("m"))).drop("m", "coords")}
+
+
+def segment_corridors(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Edges of legacy segment files."""
+    return {"segment_edges": src.read_segment_edges(spark, path).select("edge.a.lat", "edge.a.lon", F.col("edge.b.lat").alias("lat2"), F.col("edge.b.lon").alias("lon2"), "weight")}
+
+
 def threshold_study(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """How clusters depend on the similarity threshold, from a table of trajectory features."""
     return {"threshold_study": si.threshold_sweep(stored(src.read_features(spark, path), "features"), STUDY, FOCUSED["min_shared"])}
 
 
-JOBS = {"refine": refine_files, "general": general_clustering, "focused": focused_clustering, "flow": shared_flow, "corridors": common_corridors, "study": threshold_study}
+JOBS = {"refine": refine_files, "general": general_clustering, "focused": focused_clustering, "flow": shared_flow, "corridors": common_corridors, "report": corridor_report, "segments": segment_corridors, "study": threshold_study}
 
 
 def main(args: list[str] | None = None) -> None:

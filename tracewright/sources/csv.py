@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from concurrent.futures import ThreadPoolExecutor
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geo import REGION, in_box
 from ..functions.labels import age_group
+from ..operators.corridors import corridor_metrics, parse_coordinates
+from ..operators.features import segment_edges
+from ..operators.sequence import adaptive_sample
 
 POINT_COLUMNS = {"USER_ID": "string", "SOURCE_FILE": "string", "TRAJECTORY_ID": "bigint", "TRAJECTORY_UID": "string", "POINT_INDEX": "bigint", "LATITUDE": "double", "LONGITUDE": "double", "DATETIME": "timestamp_ntz"}
 NEEDED = ("USER_ID", "TRAJECTORY_UID", "LATITUDE", "LONGITUDE")
 INDIVIDUAL_COLUMNS = {"ID": "string", "SEX": "string", "AGE": "double", "NAVIGO_SUB": "string", "DRIVING_LICENCE": "string", "NB_CAR": "double", "AREA_NAME": "string", "BIKE": "string", "TWO_WHEELER": "string"}
-SEGMENT_COLUMNS = {"lat1": "double", "lon1": "double", "lat2": "double", "lon2": "double", "weight": "bigint"}
+SEGMENT_COLUMNS = {"lat1": "double", "lon1": "double", "lat2": "double", "lon2": "double", "weight": "double"}
+CORRIDOR_COLUMNS = {"corridor_id": "bigint", "weight_mean": "double", "weight_max": "bigint", "weight_min": "bigint", "length_cells": "bigint", "display_score": "double", "length_km": "double", "direct_distance_km": "double", "sinuosity": "double", "latitudes": "string", "longitudes": "string"}
 FEATURE_COLUMNS = {"TRAJECTORY_UID": "string", "USER_ID": "string", "N_POINTS": "bigint", "N_CELLS": "bigint", "START_CELL": "string", "END_CELL": "string", "CELL_SEQUENCE": "string", "CELL_SET": "string"}
 
 
@@ -39,14 +49,92 @@ def read_columns(spark: SparkSession, paths: str | list[str], wanted: dict[str,
     return raw.select(*[F.col(f"`{names[c]}`").try_cast(kind).alias(c) for c, kind in wanted.items() if c in names])
 
 
+def _files(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """All files of paths, folders and patterns, sorted."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hadoop.getFileSystem(conf)
+        for status in fs.globStatus(hadoop) or []:
+            inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+            found += [s.getPath().toString() for s in inner if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    if not found:
+        raise FileNotFoundError(str(paths))
+    return sorted(found)
+
+
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The names in a CSV's first line; none if it is empty. A byte order mark is dropped."""
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(hadoop)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return tuple(next(csv.reader([line.lstrip("\ufeff")]), ())) if line else ()
+
+
+def scan_files(spark: SparkSession, paths: str | list[str], needed: tuple[str, ...], first_files: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Text rows of CSVs with ``USER_ID`` (the file's stem) and ``SOURCE_FILE``, and ``USER_ID, source_file, error`` of those that cannot be used.
+
+    Only headers, one line a file, are read on the driver. Files of one header
+    are read together, so each value lands in the column that its file names;
+    columns that a file lacks are null. Files without the ``needed`` columns, or
+    whose header cannot be read, are left out and named, not fatal. Optionally
+    only the first files by name.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    bad: list[tuple[str, str, str]] = []
+    files = _files(spark, paths)[:first_files]
+    with ThreadPoolExecutor(16) as pool:
+        for path, header in zip(files, pool.map(lambda p: _tried(spark, p), files), strict=True):
+            name = path.rsplit("/", 1)[-1]
+            lacks = [c for c in needed if c not in header] if isinstance(header, tuple) else []
+            if isinstance(header, str) or lacks or len(set(header)) < len(header):
+                bad.append((re.sub(r"\.csv$", "", name), name, header if isinstance(header, str) else f"missing columns: {', '.join(lacks)}" if lacks else "repeated columns"))
+            else:
+                groups.setdefault(header, []).append(path)
+    rows = None
+    for header, own in sorted(groups.items()):
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        part = spark.read.schema(schema).option("header", True).csv(own).select("*", F.col("_metadata.file_name").alias("SOURCE_FILE"))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    if rows is None:
+        rows = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in (*needed, "SOURCE_FILE")]))
+    rows = rows.withColumn("SOURCE_FILE", F.replace(F.col("SOURCE_FILE"), F.lit("%20"), F.lit(" ")))
+    rows = rows.withColumn("USER_ID", F.regexp_extract("SOURCE_FILE", r"^(.*)\.csv$", 1))
+    return rows, spark.createDataFrame(bad, "USER_ID string, source_file string, error string")
+
+
+def _tried(spark: SparkSession, path: str) -> tuple[str, ...] | str:
+    try:
+        return _header(spark, path)
+    except (Py4JJavaError, csv.Error) as error:
+        return str(error).splitlines()[0]
+
+
+def _coordinates(raw: DataFrame) -> DataFrame:
+    return raw.withColumns({c: F.col(c).try_cast("double") for c in ("LATITUDE", "LONGITUDE")})
+
+
 def read_raw_points(spark: SparkSession, paths: str | list[str], first_files: int | None = None) -> DataFrame:
-    """Raw points of per-user files with ``USER_ID`` (the file's stem) and ``SOURCE_FILE``; optionally of the first files by name."""
-    raw = spark.read.option("header", True).csv(paths).select("*", F.col("_metadata.file_path").alias("path_"), F.col("_metadata.file_name").alias("SOURCE_FILE"))
-    if first_files is not None:
-        chosen = raw.select("path_").distinct().orderBy("path_").limit(first_files)
-        raw = raw.join(F.broadcast(chosen), "path_", "left_semi")
-    raw = raw.withColumn("USER_ID", F.regexp_extract("SOURCE_FILE", r"^(.*)\.csv$", 1))
-    return raw.withColumn("LATITUDE", F.col("LATITUDE").try_cast("double")).withColumn("LONGITUDE", F.col("LONGITUDE").try_cast("double")).drop("path_")
+    """Raw points of per-user files with ``USER_ID`` (the file's stem) and ``SOURCE_FILE``; optionally of the first files by name.
+
+    Every file has to name its coordinates: others raise an error that names them.
+    """
+    raw, bad = scan_files(spark, paths, ("LATITUDE", "LONGITUDE"), first_files)
+    if wrong := bad.collect():
+        raise ValueError("; ".join(f"{r['source_file']}: {r['error']}" for r in wrong))
+    return _coordinates(raw)
+
+
+def read_points_of_good_files(spark: SparkSession, paths: str | list[str], needed: tuple[str, ...] = ("LATITUDE", "LONGITUDE"), first_files: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same, and a table of the files that were skipped for want of ``needed`` columns."""
+    raw, bad = scan_files(spark, paths, needed, first_files)
+    return _coordinates(raw), bad
 
 
 def clean_points(raw: DataFrame, box: tuple[float, float, float, float] = REGION) -> DataFrame:
@@ -56,7 +144,7 @@ def clean_points(raw: DataFrame, box: tuple[float, float, float, float] = REGION
         raise ValueError("neither UTC_DATE and UTC_TIME nor LOCAL_DATE and LOCAL_TIME are there")
     lat, lon = F.col("LATITUDE"), F.col("LONGITUDE")
     good = lat.isNotNull() & lon.isNotNull() & in_box(lat, lon, (-90.0, 90.0, -180.0, 180.0)) & in_box(lat, lon, box)
-    when = F.try_to_timestamp(F.concat_ws(" ", f"{kind}_DATE", f"{kind}_TIME")).cast("timestamp_ntz")
+    when = F.concat(f"{kind}_DATE", F.lit(" "), f"{kind}_TIME").try_cast("timestamp_ntz")  # local times have no gaps
     return raw.where(good).withColumn("DATETIME", when).where("DATETIME is not null")
 
 
@@ -74,6 +162,27 @@ def read_individuals(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return people.withColumn("AGE_GROUP", age_group(F.col("AGE"))) if "AGE" in people.columns else people
 
 
+def read_segment_edges(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``edge, weight`` of legacy segment files; rows with an end or weight that is no number are left out."""
+    rows = read_columns(spark, paths, SEGMENT_COLUMNS, tuple(SEGMENT_COLUMNS)).dropna()
+    return segment_edges(rows.withColumn("weight", F.col("weight").cast("bigint")))
+
+
+def read_corridors(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Corridors as the corridor job writes them, with ``coords``; measures that a file lacks are computed."""
+    rows = read_columns(spark, paths, CORRIDOR_COLUMNS, ("corridor_id", "latitudes", "longitudes", "weight_mean"))
+    rows = rows.withColumn("coords", parse_coordinates(F.col("latitudes"), F.col("longitudes"))).drop("latitudes", "longitudes")
+    measures = {"length_km", "direct_distance_km", "sinuosity"}
+    return rows if measures <= set(rows.columns) else corridor_metrics(rows.drop(*measures))
+
+
+def read_numbers(spark: SparkSession, paths: str | list[str], kinds: dict[str, str], most: int | None = None) -> DataFrame:
+    """Columns of a report table: ``kinds`` as numbers, 0 where the text is none, all others as text; optionally the first rows."""
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(paths)
+    rows = raw.select(*[(number_or_zero(F.col(f"`{c}`"), kinds[n]) if (n := c.lstrip("\ufeff")) in kinds else F.col(f"`{c}`")).alias(n) for c in raw.columns])
+    return rows if most is None else rows.withColumn("row_", F.monotonically_increasing_id()).orderBy("row_").limit(most).drop("row_")
+
+
 def read_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Trajectory features with the packed cell columns as arrays."""
     rows = read_columns(spark, paths, FEATURE_COLUMNS, ("TRAJECTORY_UID", "CELL_SET"))
@@ -113,12 +222,4 @@ def layer(points: DataFrame, key: str, at: str) -> DataFrame:
 
 def demo_points(points: DataFrame, users: DataFrame, target: int = 80) -> DataFrame:
     """Points of selected users thinned to about ``target`` a trajectory."""
-    from ..operators.sequence import adaptive_sample
-
     return adaptive_sample(points.join(users.select("USER_ID"), "USER_ID", "left_semi"), ["TRAJECTORY_UID"], "POINT_INDEX", target)
-
-
-def first_rows(df: DataFrame, most: int | None, order: list[str]) -> DataFrame:
-    return df if most is None else df.orderBy(*order).limit(most)
-
-
