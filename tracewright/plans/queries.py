@@ -138,7 +138,7 @@ def presample(spark, sf):
 STAYS = f"""thin AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY USER_ID ORDER BY SEQ) AS i, count(*) OVER (PARTITION BY USER_ID) AS n FROM ({THIN})),
 ends AS MATERIALIZED (
   SELECT a.USER_ID, a.i, min(CASE WHEN {hav("a.LATITUDE", "a.LONGITUDE", "b.LATITUDE", "b.LONGITUDE")} > 50 THEN b.i END) AS far, min(CASE WHEN b.EPOCH_S - a.EPOCH_S >= 600 THEN b.i END) AS late
-  FROM thin a JOIN thin b ON a.USER_ID = b.USER_ID AND b.i > a.i AND b.i <= a.i + 40 GROUP BY ALL),
+  FROM thin a JOIN thin b ON a.USER_ID = b.USER_ID AND b.i > a.i GROUP BY ALL),
 nxt AS MATERIALIZED (SELECT t.USER_ID, t.i, t.n, CASE WHEN late IS NOT NULL AND (far IS NULL OR late < far) THEN late END AS j FROM thin t LEFT JOIN ends USING (USER_ID, i)),
 walk AS (
   SELECT USER_ID, i, j, n FROM nxt WHERE i = 1
@@ -165,7 +165,17 @@ def trip_segments(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("n_points"), F.min("SEQ").alias("first_seq"), F.max("SEQ").alias("last_seq")).where("n_points >= 10")
 
 
-@query()
+PLACES = f"""{STAYS},
+st AS MATERIALIZED (SELECT USER_ID, stay_no, avg(LATITUDE) AS lat, avg(LONGITUDE) AS lon FROM tagged WHERE stay_no IS NOT NULL GROUP BY ALL),
+fold AS (
+  SELECT USER_ID, 1::BIGINT AS k, [{{'lat': lat, 'lon': lon, 'n': 1::BIGINT}}] AS places FROM st WHERE stay_no = 1
+  UNION ALL SELECT USER_ID, k + 1, CASE WHEN spot = 0 THEN list_append(places, {{'lat': lat, 'lon': lon, 'n': 1::BIGINT}})
+    ELSE list_transform(places, lambda p, i: CASE WHEN i = spot THEN {{'lat': (p.lat * p.n + lat) / (p.n + 1), 'lon': (p.lon * p.n + lon) / (p.n + 1), 'n': p.n + 1}} ELSE p END) END
+  FROM (SELECT f.*, s.lat, s.lon, coalesce(list_position(list_transform(f.places, lambda p: {hav("p.lat", "p.lon", "s.lat", "s.lon")} <= 100), true), 0) AS spot FROM fold f JOIN st s ON s.USER_ID = f.USER_ID AND s.stay_no = f.k + 1)),
+places AS MATERIALIZED (SELECT USER_ID, unnest(list_transform(arg_max(places, k), lambda p, i: {{'place': i, 'p': p}})) AS x FROM fold GROUP BY USER_ID)"""
+
+
+@query(f"WITH RECURSIVE {PLACES} SELECT USER_ID, x.place::BIGINT AS place, round(x.p.lat, 9) AS latitude, round(x.p.lon, 9) AS longitude, x.p.n AS count FROM places")
 def merge_staypoints(spark, sf):
     return rounded(tr.merge_staypoints(tr.staypoints(segmented(spark, sf), "USER_ID", SEC), "USER_ID"), "latitude", "longitude")
 
@@ -183,29 +193,30 @@ def refine(spark, sf):
     return rounded(rows.select("USER_ID", "SEQ", "TRAJECTORY_ID", "TRAJECTORY_UID", "POINT_INDEX", "LATITUDE", "LONGITUDE"), "LATITUDE", "LONGITUDE")
 
 
-@query(f"""WITH RECURSIVE {REFINED},
+@query(f"""WITH RECURSIVE {REFINED}, {PLACES.removeprefix(STAYS + ",")},
 s AS (SELECT USER_ID, count(DISTINCT stay_no) AS staypoints FROM tagged GROUP BY 1),
+m AS (SELECT USER_ID, count(*) AS k FROM places GROUP BY 1),
 tt AS (SELECT USER_ID, count(*) AS k FROM (SELECT USER_ID, trip_no FROM tagged WHERE trip_no IS NOT NULL GROUP BY ALL HAVING count(*) >= 10) GROUP BY 1),
-f AS (SELECT USER_ID, count(DISTINCT TRAJECTORY_ID) AS k, count(*) AS p FROM fine GROUP BY 1)
-SELECT g.USER_ID, count(*) AS valid_points, (SELECT count(*) FROM thin WHERE thin.USER_ID = g.USER_ID) AS points_after_presampling, coalesce(max(tt.k), 0) AS trajectory_segments,
-  coalesce(max(f.k), 0) AS trajectories_kept, coalesce(max(s.staypoints), 0) AS staypoints, coalesce(max(f.p), 0) AS refined_points
-FROM {GPS} g LEFT JOIN s USING (USER_ID) LEFT JOIN tt USING (USER_ID) LEFT JOIN f USING (USER_ID) GROUP BY g.USER_ID""")
+f AS (SELECT USER_ID, count(DISTINCT TRAJECTORY_ID) AS k, count(*) AS p FROM fine GROUP BY 1),
+h AS (SELECT USER_ID, count(*) AS k FROM thin GROUP BY 1)
+SELECT g.USER_ID, g.USER_ID || '.csv' AS source_file, count(*) AS valid_points, max(h.k) AS points_after_presampling, count(*) - max(h.k) AS presampling_removed_points, coalesce(max(tt.k), 0) AS trajectory_segments,
+  coalesce(max(f.k), 0) AS trajectories_kept, coalesce(max(s.staypoints), 0) AS staypoints, coalesce(max(m.k), 0) AS merged_staypoints, coalesce(max(f.p), 0) AS refined_points, '' AS error
+FROM {GPS} g LEFT JOIN h USING (USER_ID) LEFT JOIN s USING (USER_ID) LEFT JOIN m USING (USER_ID) LEFT JOIN tt USING (USER_ID) LEFT JOIN f USING (USER_ID) GROUP BY g.USER_ID""")
 def file_stats(spark, sf):
     points = fx.gps_points(spark, sf)
     thin = sq.presample(points, BY, AT, SEC)
     seg = stored(tr.segment_trips(thin, "USER_ID", AT, SEC), "segmented")
     places = tr.merge_staypoints(tr.staypoints(seg, "USER_ID", SEC), "USER_ID")
-    rows = tr.file_stats(points, thin, seg, tr.refine(seg, "USER_ID", AT), places, "USER_ID")
-    return rows.select("USER_ID", "valid_points", "points_after_presampling", "trajectory_segments", "trajectories_kept", "staypoints", "refined_points")
+    return tr.file_stats(points, thin, seg, tr.refine(seg, "USER_ID", AT), places, "USER_ID")
 
 
 ENDS = f"SELECT *, first(LATITUDE) OVER w AS a, first(LONGITUDE) OVER w AS b, last(LATITUDE) OVER w AS c, last(LONGITUDE) OVER w AS d, first(EPOCH_S) OVER w AS t0, last(EPOCH_S) OVER w AS t1 FROM {TRIPS} WINDOW w AS (PARTITION BY TRAJECTORY_UID ORDER BY POINT_INDEX ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 FROM_START, FROM_END = hav("a", "b", "LATITUDE", "LONGITUDE"), hav("c", "d", "LATITUDE", "LONGITUDE")
 
 
-@query(f"SELECT TRAJECTORY_UID, POINT_INDEX, round({FROM_START}, 3) AS distance_from_start, round({FROM_END}, 3) AS distance_from_end FROM ({ENDS}) WHERE ({FROM_START} > 100 AND {FROM_END} > 100) OR (SELECT count(*) FROM {TRIPS} t WHERE t.TRAJECTORY_UID = TRAJECTORY_UID) < 2")
+@query(f"SELECT TRAJECTORY_UID, POINT_INDEX, round({FROM_START}, 3) AS distance_from_start, round({FROM_END}, 3) AS distance_from_end FROM (SELECT *, count(*) OVER (PARTITION BY TRAJECTORY_UID) AS n FROM ({ENDS})) WHERE n < 2 OR ({FROM_START} > 100 AND {FROM_END} > 100)")
 def trim_zones(spark, sf):
-    rows = sq.trim_zones(fx.trips(spark, sf), TRIP, IDX, 100.0).where("distance_from_start > 0")
+    rows = sq.trim_zones(fx.trips(spark, sf), TRIP, IDX, 100.0)
     return rounded(rows.select("TRAJECTORY_UID", "POINT_INDEX", "distance_from_start", "distance_from_end"), "distance_from_start", "distance_from_end", places=3)
 
 
@@ -241,6 +252,9 @@ def stop_runs(spark, sf):
     return rounded(sq.stop_runs(fx.gps_points(spark, sf), BY, AT, SEC), "duration_min")
 
 
+#: Radii (m) and minutes of the trim study, steps of the sampling study, speeds (m/s) and length shares of the edge study.
+RADII, MINUTES, STEP_SIZES = [50, 80, 120, 150, 200], [0, 1, 2, 3, 5], [1, 5, 10, 20, 50, 100]
+SPEEDS, SHARES = [0.5, 1.0, 1.5, 2.0], [0.02, 0.05, 0.1]
 EARLY, LATE = "(m > 0 AND EPOCH_S <= t0 + m * 60)", "(m > 0 AND EPOCH_S >= t1 - m * 60)"
 
 
@@ -250,18 +264,18 @@ def local_zone_trim(spark, sf):
 
 
 @query(f"""SELECT r AS radius_m, m AS minutes, count(*) AS before, count(*) FILTER (WHERE x) AS removed, count(*) - count(*) FILTER (WHERE x) AS kept, round(100 * count(*) FILTER (WHERE x) / count(*), 4) AS pct
-FROM (SELECT r, m, ({FROM_START} <= r OR {EARLY} OR {FROM_END} <= r OR {LATE}) AS x FROM ({ENDS}) CROSS JOIN (SELECT unnest([50, 75, 100, 150, 200]) AS r) CROSS JOIN (SELECT unnest([0, 2, 5, 8, 10]) AS m)) GROUP BY ALL""")
+FROM (SELECT r, m, ({FROM_START} <= r OR {EARLY} OR {FROM_END} <= r OR {LATE}) AS x FROM ({ENDS}) CROSS JOIN (SELECT unnest({RADII}) AS r) CROSS JOIN (SELECT unnest({MINUTES}) AS m)) GROUP BY ALL""")
 def trim_compare(spark, sf):
-    grid = F.array(*[F.struct(F.lit(r).alias("radius_m"), F.lit(m).alias("minutes")) for r in (50, 75, 100, 150, 200) for m in (0, 2, 5, 8, 10)])
+    grid = F.array(*[F.struct(F.lit(r).alias("radius_m"), F.lit(m).alias("minutes")) for r in RADII for m in MINUTES])
     points = fx.trips(spark, sf).withColumn("params", F.explode(grid)).select("*", "params.*")
     rows = sq.local_zone_trim(points, [*TRIP, "radius_m", "minutes"], IDX, SEC, F.col("radius_m"), F.col("minutes"))
     found = rows.groupBy("radius_m", "minutes").agg(F.count(F.lit(1)).alias("before"), F.count_if("removed").alias("removed"))
     return found.withColumn("kept", F.col("before") - F.col("removed")).withColumn("pct", F.round(100 * F.col("removed") / F.col("before"), 4))
 
 
-@query(f"SELECT step, count(*) AS before, count(*) FILTER (WHERE SEQ % step = 0) AS after, count(*) FILTER (WHERE SEQ % step <> 0) AS removed, round(100 * count(*) FILTER (WHERE SEQ % step = 0) / count(*), 4) AS kept_pct FROM {GPS} CROSS JOIN (SELECT unnest([1, 2, 5, 10, 20, 50, 100]) AS step) GROUP BY step")
+@query(f"SELECT step, count(*) AS before, count(*) FILTER (WHERE SEQ % step = 0) AS after, count(*) FILTER (WHERE SEQ % step <> 0) AS removed, round(100 * count(*) FILTER (WHERE SEQ % step = 0) / count(*), 4) AS kept_pct FROM {GPS} CROSS JOIN (SELECT unnest({STEP_SIZES}) AS step) GROUP BY step")
 def sampling_compare(spark, sf):
-    steps = F.array(*[F.lit(k) for k in (1, 2, 5, 10, 20, 50, 100)])
+    steps = F.array(*[F.lit(k) for k in STEP_SIZES])
     rows = fx.gps_points(spark, sf).withColumn("row", F.row_number().over(sq.ordered(BY, AT)) - 1).withColumn("step", F.explode(steps))
     found = rows.groupBy("step").agg(F.count(F.lit(1)).alias("before"), F.count_if(F.col("row") % F.col("step") == 0).alias("after"))
     return found.withColumn("removed", F.col("before") - F.col("after")).withColumn("kept_pct", F.round(100 * F.col("after") / F.col("before"), 4))
@@ -292,10 +306,24 @@ def edge_trim(spark, sf):
     return rounded(rows.select("TRAJECTORY_UID", "radius_m", "total_points", "start_removed_points", "end_removed_points", "kept_points", "total_removed_distance_m"), "radius_m", "total_removed_distance_m", places=3)
 
 
-@query(f"WITH {edge_sql('[0.5::DOUBLE, 0.8::DOUBLE, 1.2::DOUBLE, 1.5::DOUBLE]', '[0.02::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE]')} SELECT s AS speed, f AS factor, round(avg(radius_m), 4) AS radius_m, round(avg((h + t) / n), 4) AS removed_ratio, round(avg(greatest(0, n - h - t)), 4) AS kept_points, round(avg(CASE WHEN total_m > 0 THEN gone / total_m ELSE 0 END), 4) AS removed_distance_ratio FROM trim WHERE total_m IS NOT NULL GROUP BY ALL")
+def doubles(values: list[float]) -> str:
+    return "[" + ", ".join(f"{v!r}::DOUBLE" for v in values) + "]"
+
+
+@query(f"WITH {edge_sql(doubles(SPEEDS), doubles(SHARES))} SELECT s AS speed, f AS factor, round(avg((h + t) / n), 4) AS removed_ratio, round(avg(CASE WHEN total_m > 0 THEN gone / total_m ELSE 0 END), 4) AS removed_distance_ratio, round(avg(gone), 4) AS total_removed_distance_m, round(avg(radius_m), 4) AS radius_m FROM trim WHERE total_m IS NOT NULL GROUP BY ALL")
 def trim_grid_means(spark, sf):
-    rows = trimmed_edges(spark, sf, [0.5, 0.8, 1.2, 1.5], [0.02, 0.05, 0.1]).where("total_distance_m is not null").groupBy(F.col("s").alias("speed"), F.col("f").alias("factor"))
-    return rows.agg(*[F.round(F.avg(c), 4).alias(c) for c in ("radius_m", "removed_ratio", "kept_points", "removed_distance_ratio")])
+    rows = trimmed_edges(spark, sf, SPEEDS, SHARES).where("total_distance_m is not null").groupBy(F.col("s").alias("speed"), F.col("f").alias("factor"))
+    return rows.agg(*[F.round(F.avg(c), 4).alias(c) for c in ("removed_ratio", "removed_distance_ratio", "total_removed_distance_m", "radius_m")])
+
+
+@query(f"SELECT USER_ID, SEQ FROM (SELECT *, count(*) OVER (PARTITION BY USER_ID) AS n FROM {GPS}) WHERE SEQ % ceil(n / 30)::BIGINT = 0")
+def thin_long(spark, sf):
+    return sq.thin_long(fx.gps_points(spark, sf), BY, AT, 30).select("USER_ID", "SEQ")
+
+
+@query(f"SELECT TRAJECTORY_UID, POINT_INDEX FROM (SELECT *, count(*) OVER (PARTITION BY TRAJECTORY_UID) AS n FROM {TRIPS}) WHERE n >= 2 AND (n <= 25 OR POINT_INDEX % 25 = 0)")
+def render_points(spark, sf):
+    return se.render_points(fx.trips(spark, sf), TRIP, IDX, 25).select("TRAJECTORY_UID", "POINT_INDEX")
 
 
 # ---- features, segments, similarity ----
@@ -446,10 +474,10 @@ c AS (SELECT t, x, min(y) AS first FROM reach GROUP BY t, x),
 g AS (SELECT c.t, first, count(*) AS n, count(DISTINCT USER_ID) AS u FROM c JOIN f ON f.TRAJECTORY_UID = c.x GROUP BY ALL)
 SELECT t AS threshold, (SELECT count(*) FROM k WHERE k.t = g.t) AS candidate_edges, count(*) AS clusters_total, count(*) FILTER (WHERE n = 1) AS singletons, count(*) FILTER (WHERE u >= 2 AND n >= 3) AS collective_clusters,
   coalesce(sum(n) FILTER (WHERE u >= 2 AND n >= 3), 0)::BIGINT AS trajectories_in_collective, round(100 * coalesce(sum(n) FILTER (WHERE u >= 2 AND n >= 3), 0) / sum(n), 2) AS collective_coverage_pct,
-  max(n) AS largest_cluster_trajectories, coalesce(max(n) FILTER (WHERE u >= 2 AND n >= 3), 0) AS largest_collective_trajectories, coalesce(round(avg(u) FILTER (WHERE u >= 2 AND n >= 3), 2), 0) AS avg_collective_users
-FROM g GROUP BY t""")
+  max(n) AS largest_cluster_trajectories, arg_max(u, (n, -pos)) AS largest_cluster_users, coalesce(max(n) FILTER (WHERE u >= 2 AND n >= 3), 0) AS largest_collective_trajectories, coalesce(arg_max(u, (n, -pos)) FILTER (WHERE u >= 2 AND n >= 3), 0) AS largest_collective_users, coalesce(round(avg(u) FILTER (WHERE u >= 2 AND n >= 3), 2), 0) AS avg_collective_users
+FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY first) AS pos FROM g) g GROUP BY t""")
 def threshold_sweep(spark, sf):
-    return si.threshold_sweep(stored(features(spark, sf), "features"), THRESHOLDS).drop("largest_cluster_users", "largest_collective_users")
+    return si.threshold_sweep(stored(features(spark, sf), "features"), THRESHOLDS)
 
 
 @query("SELECT t AS threshold, CASE WHEN t < 0.40 THEN 'trop large' WHEN t > 0.50 THEN 'trop strict' WHEN t = 0.42 THEN 'retenu' ELSE 'acceptable' END AS label FROM (" + _T + ")")
@@ -571,16 +599,28 @@ def profile_points(spark, sf):
     return pr.profile_points(fx.trips(spark, sf), profiles_of(spark, sf), "AGE_GROUP", "25-34").select("USER_ID", "TRAJECTORY_UID", "POINT_INDEX")
 
 
-_PC = f"""f AS MATERIALIZED ({COARSE}), w AS MATERIALIZED (SELECT 'SEX' AS CRITERION, coalesce(SEX, 'nan') AS V, f.* FROM f LEFT JOIN {PEOPLE} p ON f.USER_ID = p.ID UNION ALL SELECT 'NAVIGO_SUB', coalesce(NAVIGO_SUB, 'nan'), f.* FROM f LEFT JOIN {PEOPLE} p ON f.USER_ID = p.ID),
-n AS MATERIALIZED (SELECT * FROM w QUALIFY count(*) OVER (PARTITION BY CRITERION, V) >= 10),
-e AS MATERIALIZED (SELECT CRITERION, V, x, y FROM (SELECT a.CRITERION, a.V, a.TRAJECTORY_UID AS x, b.TRAJECTORY_UID AS y, len(list_intersect(a.CELL_SET, b.CELL_SET)) AS s, a.N_CELLS + b.N_CELLS AS t FROM n a JOIN n b ON a.CRITERION = b.CRITERION AND a.V = b.V AND a.TRAJECTORY_UID <> b.TRAJECTORY_UID AND a.START_CELL = b.START_CELL AND a.END_CELL = b.END_CELL) WHERE s >= 3 AND s / (t - s) >= 0.45),
+GROUPS = ["SEX", "AGE_GROUP", "NAVIGO_SUB", "DRIVING_LICENCE", "NB_CAR"]
+PEOPLE_GROUPED = f"(SELECT *, {AGE_SQL} AS AGE_GROUP FROM {PEOPLE})"
+
+
+def groups_sql(rows: str, least_score: float, shared: int, ends: bool, least: int) -> str:
+    """CTEs w (``rows`` with CRITERION and V), n, c, k: clusters within each value."""
+    same = "AND a.START_CELL = b.START_CELL AND a.END_CELL = b.END_CELL" if ends else ""
+    return f"""w AS MATERIALIZED ({rows}),
+n AS MATERIALIZED (SELECT * FROM w QUALIFY count(*) OVER (PARTITION BY CRITERION, V) >= {least}),
+e AS MATERIALIZED (SELECT CRITERION, V, x, y FROM (SELECT a.CRITERION, a.V, a.TRAJECTORY_UID AS x, b.TRAJECTORY_UID AS y, len(list_intersect(a.CELL_SET, b.CELL_SET)) AS s, a.N_CELLS + b.N_CELLS AS t FROM n a JOIN n b ON a.CRITERION = b.CRITERION AND a.V = b.V AND a.TRAJECTORY_UID <> b.TRAJECTORY_UID {same}) WHERE s >= {shared} AND s / (t - s) >= {least_score}),
 reach AS (SELECT CRITERION, V, TRAJECTORY_UID AS x, TRAJECTORY_UID AS y FROM n UNION SELECT r.CRITERION, r.V, r.x, e.y FROM reach r JOIN e ON r.CRITERION = e.CRITERION AND r.V = e.V AND r.y = e.x),
 c AS (SELECT CRITERION, V, x, min(y) AS first FROM reach GROUP BY ALL),
-k AS (SELECT CRITERION, V AS CRITERION_VALUE, x AS TRAJECTORY_UID, dense_rank() OVER (PARTITION BY CRITERION, V ORDER BY first) - 1 AS CLUSTER_ID FROM c)"""
+k AS MATERIALIZED (SELECT CRITERION, V AS CRITERION_VALUE, x AS TRAJECTORY_UID, dense_rank() OVER (PARTITION BY CRITERION, V ORDER BY first) - 1 AS CLUSTER_ID FROM c)"""
+
+
+_STACKED = " UNION ALL ".join(f"SELECT '{c}' AS CRITERION, coalesce({c}::VARCHAR, 'nan') AS V, f.* FROM f LEFT JOIN {PEOPLE_GROUPED} p ON f.USER_ID = p.ID" for c in GROUPS)
+_PC = f"f AS MATERIALIZED ({COARSE}), " + groups_sql(_STACKED, 0.45, 3, True, 10)
 
 
 def profile_clustered(spark, sf):
-    return pr.profile_clusters(stored(features(spark, sf, 500, 2), "features"), fx.individuals(spark, sf), ["SEX", "NAVIGO_SUB"])
+    people = fx.individuals(spark, sf).withColumn("AGE_GROUP", labels.age_group(F.col("AGE")))
+    return stored(pr.profile_clusters(stored(features(spark, sf, 500, 2), "features"), people, GROUPS), "profile-clusters")
 
 
 @query(f"WITH RECURSIVE {_PC} SELECT CRITERION, CRITERION_VALUE, TRAJECTORY_UID, CLUSTER_ID, CRITERION || '=' || CRITERION_VALUE || '::' || CLUSTER_ID AS PROFILE_CLUSTER_ID FROM k")
@@ -593,27 +633,111 @@ def profile_cluster_summary(spark, sf):
     return rounded(pr.profile_cluster_summary(profile_clustered(spark, sf)), "AVG_CELLS").select("CRITERION", "CRITERION_VALUE", "CLUSTER_ID", "N_TRAJECTORIES", "N_USERS", "AVG_CELLS")
 
 
-@query(f"WITH RECURSIVE {_PC}, s AS (SELECT k.CRITERION, CRITERION_VALUE, CLUSTER_ID, count(*) AS N_TRAJECTORIES, count(DISTINCT USER_ID) AS N_USERS, avg(N_CELLS) AS m FROM k JOIN f USING (TRAJECTORY_UID) WHERE CRITERION_VALUE <> 'nan' GROUP BY ALL) SELECT CRITERION, CRITERION_VALUE, CLUSTER_ID, N_TRAJECTORIES, N_USERS FROM s WHERE N_USERS >= 2 AND N_TRAJECTORIES >= 4 QUALIFY row_number() OVER (PARTITION BY CRITERION, CRITERION_VALUE ORDER BY N_USERS DESC, N_TRAJECTORIES DESC, m DESC, CLUSTER_ID) <= 2")
-def report_top(spark, sf):
-    rows = pr.profile_cluster_summary(profile_clustered(spark, sf)).where("N_USERS >= 2 and N_TRAJECTORIES >= 4")
-    order = [F.desc("N_USERS"), F.desc("N_TRAJECTORIES"), F.desc("AVG_CELLS"), F.col("CLUSTER_ID")]
-    return se.top_within(rows, ["CRITERION", "CRITERION_VALUE"], order, 2).select("CRITERION", "CRITERION_VALUE", "CLUSTER_ID", "N_TRAJECTORIES", "N_USERS")
+# ---- what maps and reports show of profiles and clusters ----
+
+SHOWN = f"SELECT CRITERION, VALUE, count(DISTINCT s.USER_ID) AS N_USERS, count(DISTINCT TRAJECTORY_UID) AS N_TRAJECTORIES, count(*) AS N_POINTS FROM ({STACKED}) s JOIN {TRIPS} t USING (USER_ID) GROUP BY ALL HAVING count(DISTINCT s.USER_ID) >= 7 AND count(DISTINCT TRAJECTORY_UID) >= 10"
+_WITH_PROFILE = f"SELECT s.CRITERION, coalesce(s.VALUE, 'nan') AS V, f.* FROM f JOIN ({STACKED}) s USING (USER_ID) JOIN shown ON shown.CRITERION = s.CRITERION AND shown.VALUE IS NOT DISTINCT FROM s.VALUE"
+def records_sql(users: int, trajectories: int) -> str:
+    return f"""f AS MATERIALIZED ({FEATURES}), shown AS MATERIALIZED ({SHOWN}), {groups_sql(_WITH_PROFILE, 0.42, 5, False, 1)},
+u AS (SELECT k.CRITERION, CRITERION_VALUE AS VALUE, CLUSTER_ID, count(*) AS N_TRAJECTORIES, count(DISTINCT USER_ID) AS N_USERS, avg(N_CELLS) AS m FROM k JOIN f USING (TRAJECTORY_UID) GROUP BY ALL),
+best AS MATERIALIZED (SELECT * FROM u WHERE N_USERS >= {users} AND N_TRAJECTORIES >= {trajectories} QUALIFY row_number() OVER (PARTITION BY CRITERION, VALUE ORDER BY N_USERS DESC, N_TRAJECTORIES DESC, m DESC, CLUSTER_ID) <= 2),
+g AS MATERIALIZED (SELECT b.CRITERION, b.VALUE, b.CLUSTER_ID, f.TRAJECTORY_UID, f.CELL_SET, f.N_CELLS FROM best b JOIN k ON k.CRITERION = b.CRITERION AND k.CRITERION_VALUE = b.VALUE AND k.CLUSTER_ID = b.CLUSTER_ID JOIN f USING (TRAJECTORY_UID)),
+score AS (SELECT a.CRITERION, a.VALUE, a.CLUSTER_ID, a.TRAJECTORY_UID, round(sum(len(list_intersect(a.CELL_SET, b.CELL_SET)) / len(list_distinct(list_concat(a.CELL_SET, b.CELL_SET)))) + 0.001 * max(a.N_CELLS), 9) AS s FROM g a JOIN g b ON a.CRITERION = b.CRITERION AND a.VALUE = b.VALUE AND a.CLUSTER_ID = b.CLUSTER_ID GROUP BY ALL),
+medoid AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY CRITERION, VALUE, CLUSTER_ID ORDER BY s DESC, TRAJECTORY_UID) = 1),
+records AS MATERIALIZED (SELECT b.CRITERION, b.VALUE, b.CLUSTER_ID, b.N_USERS, b.N_TRAJECTORIES, m.TRAJECTORY_UID AS REPRESENTATIVE FROM best b JOIN medoid m ON m.CRITERION = b.CRITERION AND m.VALUE = b.VALUE AND m.CLUSTER_ID = b.CLUSTER_ID)"""
+
 
+RECORDS = records_sql(2, 4)
 
-@query(f"WITH RECURSIVE {_PC}, s AS (SELECT CRITERION_VALUE, CLUSTER_ID, count(*) AS n, count(DISTINCT USER_ID) AS u FROM k JOIN f USING (TRAJECTORY_UID) WHERE CRITERION = 'SEX' AND CRITERION_VALUE = 'Man' GROUP BY ALL) SELECT CRITERION_VALUE, sum(n)::BIGINT AS trips, max(u) AS most_users, count(*) AS lines FROM s GROUP BY 1")
+
+def records(spark, sf, users=2, trajectories=4):
+    profiles = stored(profiles_of(spark, sf), "profiles")
+    return pr.profile_representatives(stored(features(spark, sf), "features"), profiles, pr.profile_summary(fx.trips(spark, sf), profiles), min_users=users, min_trajectories=trajectories)
+
+
+@query(f"WITH RECURSIVE {records_sql(1, 2)} SELECT * FROM records")
+def profile_representatives(spark, sf):
+    return records(spark, sf, 1, 2)  # also of lone users, whom the smallest tables have
+
+
+def views_sql(asked: list[tuple[str, str]]) -> str:
+    rows = ", ".join(f"('{c}', '{v}')" for c, v in asked)
+    return f"""WITH RECURSIVE {RECORDS}, asked(CRITERION, VALUE) AS (VALUES {rows}),
+given AS (SELECT a.CRITERION, a.VALUE, coalesce(max(r.VALUE) FILTER (WHERE r.VALUE = a.VALUE), min(r.VALUE)) AS SHOWN FROM asked a LEFT JOIN records r USING (CRITERION) GROUP BY ALL)
+SELECT g.CRITERION, g.VALUE, g.SHOWN, count(r.VALUE) AS lines, coalesce(sum(r.N_TRAJECTORIES), 0)::BIGINT AS trips, coalesce(max(r.N_USERS), 0) AS most_users FROM given g LEFT JOIN records r ON r.CRITERION = g.CRITERION AND r.VALUE = g.SHOWN GROUP BY ALL"""
+
+
+ASKED = [("SEX", "Man"), ("SEX", "Nobody"), ("AGE_GROUP", "35-44"), ("NOTHING", "x")]
+#: The presets of the profile maps.
+PRESETS = [("SEX", "Man"), ("SEX", "Woman"), ("DOMINANT_MODE", "WALKING"), ("DOMINANT_MODE", "SUBWAY"), ("DOMINANT_MODE", "BIKE"), ("AGE_GROUP", "35-44"), ("NAVIGO_SUB", "Yes"), ("NB_CAR_GROUP", "0 car")]
+
+
+@query(views_sql(ASKED))
 def profile_view(spark, sf):
-    rows = pr.profile_cluster_summary(profile_clustered(spark, sf)).where("CRITERION = 'SEX' and CRITERION_VALUE = 'Man'")
-    return rows.groupBy("CRITERION_VALUE").agg(F.sum("N_TRAJECTORIES").alias("trips"), F.max("N_USERS").alias("most_users"), F.count(F.lit(1)).alias("lines"))
+    return pr.profile_views(stored(records(spark, sf), "records"), spark.createDataFrame(ASKED, "CRITERION string, VALUE string"))
+
+
+@query(views_sql(PRESETS))
+def profile_presets(spark, sf):
+    return pr.profile_views(stored(records(spark, sf), "records"), spark.createDataFrame(PRESETS, "CRITERION string, VALUE string"))
+
+
+@query(f"SELECT CRITERION, VALUE, N_USERS, N_TRAJECTORIES FROM ({SHOWN}) WHERE CRITERION IN ('SEX', 'DOMINANT_MODE', 'AGE_GROUP') QUALIFY row_number() OVER (PARTITION BY CRITERION ORDER BY N_TRAJECTORIES DESC, N_USERS DESC, VALUE NULLS FIRST) <= 2")
+def report_top(spark, sf):
+    rows = pr.profile_summary(fx.trips(spark, sf), profiles_of(spark, sf)).where("CRITERION in ('SEX', 'DOMINANT_MODE', 'AGE_GROUP')")
+    return se.top_within(rows, ["CRITERION"], [F.desc("N_TRAJECTORIES"), F.desc("N_USERS"), F.col("VALUE")], 2).select("CRITERION", "VALUE", "N_USERS", "N_TRAJECTORIES")
+
+
+BY_USERS = "ORDER BY N_USERS DESC, N_TRAJECTORIES DESC, AVG_CELLS DESC, CLUSTER_ID"
 
 
-USERS = f"SELECT USER_ID, count(*) AS N_POINTS, count(DISTINCT TRAJECTORY_UID) AS N_TRAJECTORIES, min(LATITUDE) AS MIN_LAT, max(LATITUDE) AS MAX_LAT, avg(LATITUDE) AS MEAN_LAT, min(LONGITUDE) AS MIN_LON, max(LONGITUDE) AS MAX_LON, avg(LONGITUDE) AS MEAN_LON FROM {TRIPS} GROUP BY USER_ID"
-SUMS = ("MIN_LAT", "MAX_LAT", "MEAN_LAT", "MIN_LON", "MAX_LON", "MEAN_LON")
+def by_users(summary: DataFrame, most: int) -> DataFrame:
+    return summary.orderBy(F.desc("N_USERS"), F.desc("N_TRAJECTORIES"), F.desc("AVG_CELLS"), "CLUSTER_ID").limit(most)
 
 
-@query("SELECT USER_ID, N_POINTS, N_TRAJECTORIES, " + ", ".join(f"round({c} + 3e-11, 9) AS {c}" for c in SUMS) + f" FROM ({USERS})")
+@query(f"WITH RECURSIVE {CLUSTERS}, {SUMMARY} SELECT CLUSTER_ID, N_TRAJECTORIES, N_USERS, {r9('AVG_POINTS', 'AVG_CELLS')} FROM (SELECT * FROM summary {BY_USERS} LIMIT 8)")
+def report_clusters(spark, sf):
+    return rounded(by_users(si.cluster_summary(clustered(spark, sf)), 8).select("CLUSTER_ID", "N_TRAJECTORIES", "N_USERS", "AVG_POINTS", "AVG_CELLS"), "AVG_POINTS", "AVG_CELLS")
+
+
+@query(f"""WITH RECURSIVE {CLUSTERS}, {SUMMARY}, top AS (SELECT CLUSTER_ID FROM summary {BY_USERS} LIMIT 5),
+r AS (SELECT c.CLUSTER_ID, t.TRAJECTORY_UID, t.POINT_INDEX FROM {TRIPS} t JOIN clusters c USING (TRAJECTORY_UID) JOIN top USING (CLUSTER_ID)),
+l AS (SELECT * FROM (SELECT CLUSTER_ID, TRAJECTORY_UID FROM r GROUP BY ALL HAVING count(*) >= 2) QUALIFY row_number() OVER (PARTITION BY CLUSTER_ID ORDER BY TRAJECTORY_UID) <= 14)
+SELECT CLUSTER_ID, TRAJECTORY_UID, POINT_INDEX FROM r JOIN l USING (CLUSTER_ID, TRAJECTORY_UID) QUALIFY row_number() OVER (PARTITION BY TRAJECTORY_UID ORDER BY POINT_INDEX) <= 280""")
+def report_lines(spark, sf):
+    found = clustered(spark, sf)
+    return se.report_lines(fx.trips(spark, sf), found, by_users(si.cluster_summary(found), 5)).select("CLUSTER_ID", "TRAJECTORY_UID", "POINT_INDEX")
+
+
+SEGMENTS = f"SELECT p AS FROM_CELL, x.c AS TO_CELL, coalesce(k.CLUSTER_ID, -1)::BIGINT AS CLUSTER_ID, count(DISTINCT x.USER_ID) AS N_USERS, count(DISTINCT x.TRAJECTORY_UID) AS N_TRAJECTORIES FROM ({changes_sql(90)}) x LEFT JOIN clusters k USING (TRAJECTORY_UID) GROUP BY 1, 2, 3"
+
+
+@query(f"WITH RECURSIVE {CLUSTERS} SELECT * FROM ({SEGMENTS}) ORDER BY N_USERS DESC, N_TRAJECTORIES DESC, FROM_CELL, TO_CELL, CLUSTER_ID LIMIT 550")
+def report_segments(spark, sf):
+    rows = fe.weighted_segments(fx.trips(spark, sf), clustered(spark, sf)).select("FROM_CELL", "TO_CELL", "CLUSTER_ID", "N_USERS", "N_TRAJECTORIES")
+    return rows.orderBy(F.desc("N_USERS"), F.desc("N_TRAJECTORIES"), "FROM_CELL", "TO_CELL", "CLUSTER_ID").limit(550)
+
+
+@query(f"SELECT low, high, CASE WHEN axis THEN 'lat' ELSE 'lon' END AS axis FROM (SELECT min(x) - greatest(max(x) - min(x), 1e-6::DOUBLE) * 0.04::DOUBLE AS low, max(x) + greatest(max(x) - min(x), 1e-6::DOUBLE) * 0.04::DOUBLE AS high, axis FROM (SELECT LATITUDE AS x, true AS axis FROM {GPS} UNION ALL SELECT LONGITUDE, false FROM {GPS}) GROUP BY axis)")
+def axis_limits(spark, sf):
+    points = fx.gps_points(spark, sf)
+    parts = [st.axis_limits(points, c, 0.04).withColumn("axis", F.lit(name)) for c, name in (("LATITUDE", "lat"), ("LONGITUDE", "lon"))]
+    return parts[0].unionAll(parts[1])
+
+
+@query(f"WITH RECURSIVE {CLUSTERS}, {SUMMARY} SELECT k.TRAJECTORY_UID, k.CLUSTER_ID, s.N_USERS, s.N_TRAJECTORIES, s.START_CELL, s.END_CELL FROM clusters k JOIN summary s USING (CLUSTER_ID)")
+def cluster_lines(spark, sf):
+    found = clustered(spark, sf)
+    return si.with_summary(found, si.cluster_summary(found)).select("TRAJECTORY_UID", "CLUSTER_ID", "N_USERS", "N_TRAJECTORIES", "START_CELL", "END_CELL")
+
+
+MEAN_LAT, MEAN_LON = (f"sum({c}::DECIMAL(18,9))::DOUBLE / count({c})" for c in ("LATITUDE", "LONGITUDE"))  # exact sums: the same means in any order of rows
+USERS = f"SELECT USER_ID, count(*) AS N_POINTS, count(DISTINCT TRAJECTORY_UID) AS N_TRAJECTORIES, min(LATITUDE) AS MIN_LAT, max(LATITUDE) AS MAX_LAT, {MEAN_LAT} AS MEAN_LAT, min(LONGITUDE) AS MIN_LON, max(LONGITUDE) AS MAX_LON, {MEAN_LON} AS MEAN_LON FROM {TRIPS} GROUP BY USER_ID"
+
+
+@query(USERS)
 def user_summary(spark, sf):
-    rows = pr.user_summary(fx.trips(spark, sf))
-    return rows.withColumns({c: F.round(F.col(c) + 3e-11, 9) for c in SUMS})  # means end in a five; the little more rounds them alike
+    return pr.user_summary(fx.trips(spark, sf))
 
 
 def zone_sql(target: int, least: int) -> str:
@@ -669,9 +793,34 @@ def viewer_trips(spark, sf):
     return se.viewer_trips(fx.gps_points(spark, sf), "USER_ID").select("USER_ID", "SEQ")
 
 
-@query(f"SELECT USER_ID, SEQ FROM {GPS} WHERE contains(lower(USER_ID), '12')")
+@query(f"SELECT USER_ID, SEQ FROM (SELECT *, count(*) OVER (PARTITION BY USER_ID) AS n FROM {GPS}) WHERE n >= 16 AND SEQ % 100 = 0")
+def viewer_heat(spark, sf):
+    return se.viewer_heat(fx.gps_points(spark, sf), "USER_ID").select("USER_ID", "SEQ")
+
+
+LISTED = f"SELECT SOURCE_FILE, row_number() OVER (ORDER BY SOURCE_FILE) AS id, raw_count, ceil(raw_count / 15)::BIGINT AS shown_count FROM (SELECT USER_ID || '.csv' AS SOURCE_FILE, count(*) AS raw_count FROM {GPS} GROUP BY 1 HAVING count(*) >= 16)"
+
+
+def listed(spark, sf):
+    return se.viewer_list(fx.gps_points(spark, sf).withColumn("SOURCE_FILE", F.concat("USER_ID", F.lit(".csv"))))
+
+
+@query(f"SELECT *, {list(se.COLORS)}[((id - 1) % {len(se.COLORS)} + 1)::INTEGER] AS color FROM ({LISTED})")
+def viewer_list(spark, sf):
+    return listed(spark, sf)
+
+
+@query(f"SELECT 'in' AS how, SOURCE_FILE, id FROM ({LISTED}) WHERE contains(id::VARCHAR, '1') OR contains(lower(SOURCE_FILE), '1') UNION ALL SELECT 'is', SOURCE_FILE, id FROM ({LISTED}) WHERE id::VARCHAR = '2' OR contains(lower(SOURCE_FILE), '2')")
 def viewer_search(spark, sf):
-    return fx.gps_points(spark, sf).where(F.lower("USER_ID").contains("12")).select("USER_ID", "SEQ")
+    shown = stored(listed(spark, sf), "listed")
+    parts = [se.viewer_search(shown, text, exact).select(F.lit(how).alias("how"), "SOURCE_FILE", "id") for how, text, exact in (("in", " 1", False), ("is", "2", True))]
+    return parts[0].unionAll(parts[1])
+
+
+@query()
+def shuffled_files(spark, sf):
+    points = fx.gps_points(spark, sf).withColumn("SOURCE_FILE", F.concat("USER_ID", F.lit(".csv")))
+    return se.shuffled_files(points, 10).select("USER_ID", "SEQ")
 
 
 @query("SELECT user_id::VARCHAR AS USER_ID, strftime(min(ts), '%H:%M') AS HOUR FROM events GROUP BY 1")
@@ -692,22 +841,34 @@ def clean_series(spark, sf):
     return values(spark, sf).agg(F.count("x").alias("n"), F.round(F.sum("x"), 4).alias("total"))
 
 
-@query(f"SELECT count(x) AS n, round(avg(x), 9) AS mean, round(stddev_samp(x), 9) AS std, round(min(x), 9) AS least, round(max(x), 9) AS largest, " + ", ".join(f"round(quantile_cont(x, {p / 100}), 9) AS p{p}" for p in st.PERCENTILES) + f" FROM ({VALUES})")
+SERIES = f"SELECT 'delta_t' AS section, delta_t::DOUBLE AS x FROM ({STEPS}) WHERE delta_t > 0 UNION ALL SELECT 'dist_m', dist_m FROM ({STEPS}) WHERE delta_t > 0 UNION ALL SELECT 'speed_mps', dist_m / delta_t FROM ({STEPS}) WHERE delta_t > 0 UNION ALL SELECT 'stop_min', duration_min FROM ({STOPS})"
+
+
+def series(spark, sf):
+    points = fx.gps_points(spark, sf)
+    steps = sq.step_metrics(points, BY, AT, SEC).where("delta_t > 0")
+    pairs = F.array(*[F.struct(F.lit(c).alias("section"), F.col(c).cast("double").alias("x")) for c in ("delta_t", "dist_m", "speed_mps")])
+    stops = sq.stop_runs(points, BY, AT, SEC).select(F.lit("stop_min").alias("section"), F.col("duration_min").alias("x"))
+    return stored(steps.select(F.explode(pairs).alias("p")).select("p.*").unionAll(stops), "series")
+
+
+@query(f"SELECT section, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS least, round(max(x), 6) AS largest, " + ", ".join(f"round(quantile_cont(x, {p / 100}), 6) AS p{p}" for p in st.PERCENTILES) + f" FROM ({SERIES}) GROUP BY section")
 def eda_describe(spark, sf):
-    return rounded(st.describe(values(spark, sf)), "mean", "std", "least", "largest", *[f"p{p}" for p in st.PERCENTILES])
+    return rounded(st.describe(series(spark, sf), ["section"]), "mean", "std", "least", "largest", *[f"p{p}" for p in st.PERCENTILES], places=6)
 
 
-LIMITS = [1.0, 2.0, 5.0, 10.0, 20.0, 30.0, 60.0]
+#: Limits of each series.
+LIMITS = {"delta_t": [300.0, 600.0, 900.0, 1800.0], "dist_m": [50.0, 100.0, 200.0, 500.0], "speed_mps": [1.0, 5.0, 15.0, 30.0], "stop_min": [5.0, 8.0, 10.0, 15.0, 20.0, 180.0]}
 
 
-@query(f"SELECT t AS limit_value, round(avg(CASE WHEN x <= t THEN 1 ELSE 0 END), 9) AS share FROM ({VALUES}) CROSS JOIN (SELECT unnest({LIMITS})::DOUBLE AS t) GROUP BY t")
+@query(f"SELECT section, t AS limit_value, round(avg(CASE WHEN x <= t THEN 1 ELSE 0 END), 9) AS share FROM ({SERIES}) JOIN (" + " UNION ALL ".join(f"SELECT '{s}' AS section, unnest({doubles(own)}) AS t" for s, own in LIMITS.items()) + ") USING (section) GROUP BY ALL")
 def threshold_coverage(spark, sf):
-    return rounded(st.coverage(values(spark, sf), LIMITS), "share")
+    return rounded(st.coverage(series(spark, sf), LIMITS), "share")
 
 
-@query(f"SELECT x, count(*) AS n_rows, round(sum(count(*)) OVER (ORDER BY x) / sum(count(*)) OVER (), 9) AS cdf FROM ({VALUES}) GROUP BY x")
+@query("SELECT x, round((row_number() OVER (ORDER BY x)) / (count(*) OVER ()), 9) AS cdf FROM (SELECT value::DOUBLE AS x FROM events) WHERE isfinite(x)")
 def ecdf(spark, sf):
-    return rounded(st.ecdf(values(spark, sf)), "cdf", places=9)
+    return rounded(st.ecdf(st.clean_series(spark.read.parquet(f"{sf}/events.parquet"), "value")), "cdf")
 
 
 @query(f"WITH v AS ({VALUES}), m AS (SELECT min(x) AS lo, max(x) AS hi FROM v) SELECT least(floor((x - lo) / (hi - lo) * 80) + 1, 80)::BIGINT AS bin, count(*) AS n FROM v CROSS JOIN m GROUP BY 1")
@@ -721,7 +882,16 @@ def minmax_scale(spark, sf):
     return rounded(st.minmax(rows, ["n", "m"]).select("event_type", "n_scaled", "m_scaled"), "n_scaled", "m_scaled")
 
 
-@query(f"SELECT round(avg(LATITUDE) + 3e-11, 9) AS ref_lat, min(LATITUDE) AS south, max(LATITUDE) AS north, round(avg(LONGITUDE) + 3e-11, 9) AS mean_lon, min(LONGITUDE) AS west, max(LONGITUDE) AS east FROM {GPS}")
+@query(f"SELECT {MEAN_LAT} AS ref_lat, min(LATITUDE) AS south, max(LATITUDE) AS north, {MEAN_LON} AS mean_lon, min(LONGITUDE) AS west, max(LONGITUDE) AS east FROM {GPS}")
 def map_bounds(spark, sf):
-    lat, lon = "LATITUDE", "LONGITUDE"
-    return fx.gps_points(spark, sf).agg(F.round(F.avg(lat) + 3e-11, 9).alias("ref_lat"), F.min(lat).alias("south"), F.max(lat).alias("north"), F.round(F.avg(lon) + 3e-11, 9).alias("mean_lon"), F.min(lon).alias("west"), F.max(lon).alias("east"))
+    lat, lon = F.col("LATITUDE"), F.col("LONGITUDE")
+    return fx.gps_points(spark, sf).agg(geo.mean_degrees(lat).alias("ref_lat"), F.min(lat).alias("south"), F.max(lat).alias("north"), geo.mean_degrees(lon).alias("mean_lon"), F.min(lon).alias("west"), F.max(lon).alias("east"))
+
+
+@query(f"""WITH RECURSIVE {CLUSTERS}, {SUMMARY}, z AS (SELECT USER_ID FROM (WITH {zone_sql(20, 60)}))
+SELECT (SELECT count(*) FROM z) AS n_users, (SELECT count(*) FROM summary) AS n_clusters, (SELECT max(N_USERS) FROM summary) AS max_users_cluster, (SELECT max(N_TRAJECTORIES) FROM summary) AS max_traj_cluster,
+  (SELECT count(*) FROM ({SEGMENTS})) AS n_segments, (SELECT max(N_USERS) FROM ({SEGMENTS})) AS max_segment_users, (SELECT coalesce(sum(N_TRAJECTORIES), 0)::BIGINT FROM ({SHOWN}) WHERE CRITERION = 'SEX') AS total_profile_traj""")
+def report_totals(spark, sf):
+    points, found = fx.trips(spark, sf), clustered(spark, sf)
+    users = pr.zone_selection(pr.user_summary(points), 20, 60)
+    return se.report_totals(users, si.cluster_summary(found), fe.weighted_segments(points, found), pr.profile_summary(points, profiles_of(spark, sf)))
