@@ -301,7 +301,7 @@ def repeated_windows(texts: DataFrame, factor: int, keep_first: bool) -> DataFra
     few, many = bodies.where(F.col("m") <= CROWD), bodies.where(F.col("m") > CROWD)
     parts = int((few.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // SORT_BYTES) + 1
     found = few.withColumn("part", F.pmod("mh", F.lit(parts))).groupBy("part").applyInPandas(lambda f: _sorted_repeats(f, factor), _FOUND)
-    found = found.unionAll(_hashed_repeats(many, factor).select(*_KEY, "n", "repeated", "earlier"))
+    found = stored(found.unionAll(_hashed_repeats(many, factor).select(*_KEY, "n", "repeated", "earlier")), "repeats")
 
     # stretches that are alike repeat as wholes; of the others the found windows do; copies right behind a stretch always do
     begin = F.lit(False)  # whether a row is the first place of its stretch, which stays
