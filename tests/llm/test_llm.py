@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm import golay, histograms, toxicity
+from tracewright.llm import golay, histograms, suffix_dedup, toxicity
 from tracewright.llm.forest_search import forest_search
 from tracewright.llm.graph_dedup import near_vectors
 from tracewright.llm.mixing import mix_sources
@@ -162,6 +162,26 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, keep_first, crowd):
     assert mine == brute_repeats(rows, 200, keep_first)
 
 
+@pytest.mark.parametrize("length", [48, 200])
+def test_longest_previous_factors_equal_brute_force(length):
+    pick = random.Random(length)
+    text = "".join(pick.choice("ab") * pick.choice((1, 1, 3, 60)) for _ in range(120)).encode()
+    text += text[100:400] + b"c" + text[:250]
+    starts = np.arange(len(text) - length + 1)
+    order = suffix_dedup.SuffixOrder(np.frombuffer(text, np.uint8), starts, length)
+    position = np.array(pick.sample(range(5000), len(starts)))  # places in any order
+
+    def common(a, b):
+        n = 0
+        while n < length and text[a + n] == text[b + n]:
+            n += 1
+        return n
+
+    want = [[max((common(s, o) for o, q in zip(starts, position, strict=True) if sign * q < sign * p), default=0) for s, p in zip(starts, position, strict=True)] for sign in (1, -1)]
+    assert [f.tolist() for f in suffix_dedup.previous_factors(order, position)] == want
+    assert [f.tolist() for f in suffix_dedup.previous_factors(order, position, to_the_byte=False)] == [[w // 8 * 8 for w in own] for own in want]
+
+
 def test_suffix_dedup_odd_input(spark):
     found = remove_repeats(docs(spark, ODD), keep_first=False)
     assert found.count() == len(ODD) and remove_repeats(docs(spark, [])).count() == 0

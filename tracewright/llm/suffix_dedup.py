@@ -15,7 +15,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -165,15 +164,15 @@ class SuffixOrder:
             self.levels.append((done, rank.astype(np.int32)))
         self.rank = np.unique(rank[starts] * (len(rank) + 1) + rank[starts + length - done], return_inverse=True)[1].astype(np.int64)
 
-    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Lengths of the longest common prefixes of the factors i and j."""
+    def common(self, i: np.ndarray, j: np.ndarray, to_the_byte: bool) -> np.ndarray:
+        """Lengths of the longest common prefixes of the factors i and j, to the byte or in steps of eight."""
         a, b = self.starts[i], self.starts[j]
         size = np.zeros(len(a), dtype=np.int64)
         for step, rank in reversed(self.levels):
             fits = np.flatnonzero(size + step <= self.length)
             same = fits[rank[a[fits] + size[fits]] == rank[b[fits] + size[fits]]]
             size[same] += step
-        open_ = np.flatnonzero(size < self.length)
+        open_ = np.flatnonzero(size < self.length) if to_the_byte else size[:0]
         while len(open_):  # fewer than eight bytes are left to compare
             open_ = open_[self.data[a[open_] + size[open_]] == self.data[b[open_] + size[open_]]]
             size[open_] += 1
@@ -197,51 +196,58 @@ def nearest_smaller(values: np.ndarray) -> np.ndarray:
         before[todo] = before[before[todo]]
 
 
-def previous_factors(order: SuffixOrder, position: np.ndarray) -> np.ndarray:
-    """The longest-previous-factor array, up to the order's length: how long a prefix of each factor starts at a smaller position.
+def previous_factors(order: SuffixOrder, position: np.ndarray, to_the_byte: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The longest-previous-factor array, up to the order's length: how long a prefix of each factor starts at a smaller position; and the same at a larger one.
 
     In suffix order the smaller positions with the longest common prefix are the
-    nearest ones before and after (previous and next smaller positions). Factors
-    of one place in the order are taken by position.
+    nearest ones before and after (previous and next smaller positions), and so
+    are the larger ones. Factors of one place in the order are taken by position.
     """
     place = np.lexsort((position, order.rank))
-    along = position[place]
-    best = np.zeros(len(along), dtype=np.int64)
-    back = len(along) - 1 - nearest_smaller(along[::-1])[::-1]  # the next smaller one; len(along) if none is
-    for near in (nearest_smaller(along), back):
-        there = np.flatnonzero((near >= 0) & (near < len(along)))
-        best[there] = np.maximum(best[there], order.common(place[there], place[near[there]]))
-    found = np.empty(len(along), dtype=np.int64)
-    found[place] = best
-    return found
-
-
-def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
+    out = []
+    for way in (place, place[::-1]):  # backwards, larger positions come first
+        along = position[way] if way is place else -position[way]
+        best = np.zeros(len(along), dtype=np.int64)
+        back = len(along) - 1 - nearest_smaller(along[::-1])[::-1]  # the next smaller one; len(along) if none is
+        for near in (nearest_smaller(along), back):
+            there = np.flatnonzero((near >= 0) & (near < len(along)))
+            best[there] = np.maximum(best[there], order.common(way[there], way[near[there]], to_the_byte))
+        found = np.empty(len(along), dtype=np.int64)
+        found[way] = best
+        out.append(found)
+    return out[0], out[1]
+
+
+def _runs(flags: np.ndarray, owner: np.ndarray, offset: np.ndarray, owners: int) -> pa.ListArray:
+    """For each owner of flagged windows, in order, its runs of flagged ones as (first, last)."""
+    change = np.ones(len(flags), dtype=bool)
+    change[1:] = (flags[1:] != flags[:-1]) | (owner[1:] != owner[:-1])
+    begin = np.flatnonzero(change)
+    end = np.append(begin[1:], len(flags)) - 1
+    begin, end = begin[flags[begin]], end[flags[begin]]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner[begin], minlength=owners))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(offset[begin], pa.int64()), pa.array(offset[end], pa.int64())], names=["a", "b"]))
 
 
 _KEY = ["mh", "code", "more"]
 _FOUND = "mh long, code long, more long, n long, repeated array<struct<a:long,b:long>>, earlier array<struct<a:long,b:long>>"
 
 
-def _sorted_repeats(frame: pd.DataFrame, factor: int) -> pd.DataFrame:
+def _sorted_repeats(stretch: pa.Table, factor: int) -> pa.Table:
     """Of each stretch of whole minimizer groups: the windows that repeat, and those that repeat an earlier stretch."""
-    frame = frame.sort_values(["at", "rid", "lo"], na_position="last", kind="stable").reset_index(drop=True)
-    size = frame["body"].str.len().to_numpy()
+    stretch = stretch.sort_by([("at", "ascending"), ("rid", "ascending"), ("lo", "ascending")]).combine_chunks()  # null ids last
+    body = stretch["body"].to_pylist()
+    size = np.fromiter(map(len, body), dtype=np.int64, count=len(body))
     begin = np.cumsum(size) - size
     windows = size - factor + 1
-    owner = np.repeat(np.arange(len(frame)), windows)
+    owner = np.repeat(np.arange(len(body)), windows)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    order = SuffixOrder(np.frombuffer(b"".join(frame["body"]), dtype=np.uint8), begin[owner] + offset, factor)
-    position = np.arange(len(owner))
-    earlier = previous_factors(order, position) >= factor
-    repeated = earlier | (previous_factors(order, -position) >= factor) | (frame["n"].to_numpy()[owner] > 1)
-    rows = []
-    for k, (a, m) in enumerate(zip((np.cumsum(windows) - windows).tolist(), windows.tolist(), strict=True)):
-        mine = slice(a, a + m)
-        rows.append((*(frame[c][k] for c in (*_KEY, "n")), _spans(repeated[mine]), _spans(earlier[mine])))
-    return pd.DataFrame(rows, columns=[*_KEY, "n", "repeated", "earlier"])
+    order = SuffixOrder(np.frombuffer(b"".join(body), dtype=np.uint8), begin[owner] + offset, factor)
+    before, after = previous_factors(order, np.arange(len(owner)), to_the_byte=False)
+    earlier = before >= factor
+    repeated = earlier | (after >= factor) | (stretch["n"].to_numpy()[owner] > 1)
+    found = [_runs(f, owner, offset, len(body)) for f in (repeated, earlier)]
+    return pa.table([*(stretch[c] for c in (*_KEY, "n")), *found], names=[*_KEY, "n", "repeated", "earlier"])
 
 
 def _hashed_repeats(stretch: DataFrame, factor: int) -> DataFrame:
@@ -300,7 +306,7 @@ def repeated_windows(texts: DataFrame, factor: int, keep_first: bool) -> DataFra
     bodies = stored(bodies.join(crowds, "mh"), "bodies")
     few, many = bodies.where(F.col("m") <= CROWD), bodies.where(F.col("m") > CROWD)
     parts = int((few.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // SORT_BYTES) + 1
-    found = few.withColumn("part", F.pmod("mh", F.lit(parts))).groupBy("part").applyInPandas(lambda f: _sorted_repeats(f, factor), _FOUND)
+    found = few.withColumn("part", F.pmod("mh", F.lit(parts))).groupBy("part").applyInArrow(lambda f: _sorted_repeats(f, factor), _FOUND)
     found = stored(found.unionAll(_hashed_repeats(many, factor).select(*_KEY, "n", "repeated", "earlier")), "repeats")
 
     # stretches that are alike repeat as wholes; of the others the found windows do; copies right behind a stretch always do
