@@ -41,3 +41,20 @@ def test_refine_cluster_and_corridors(spark, tmp_path):
     assert clusters.select("CLUSTER_ID").distinct().count() == 2
     found = jobs.common_corridors(spark, str(tmp_path / "refined"))["corridors"].select("length_km", F.size(F.split("latitudes", ";")).alias("n")).collect()
     assert found and max(r["n"] for r in found) >= 8
+
+
+def test_bad_files_are_named_and_corridors_read_back(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for k in range(3):
+        raw_file(raw, f"10_{k}", k)
+    (raw / "11_9.csv").write_text("A,B\n1,2\n")
+    out = jobs.refine_files(spark, str(raw), step=1)
+    stats = {r["source_file"]: r for r in out["file_stats"].collect()}
+    assert set(stats) == {"10_0.csv", "10_1.csv", "10_2.csv", "11_9.csv"}
+    assert stats["11_9.csv"]["error"] == "missing columns: LATITUDE, LONGITUDE" and stats["11_9.csv"]["valid_points"] == 0
+    assert stats["10_0.csv"]["error"] == "" and stats["10_0.csv"]["merged_staypoints"] == 1 and stats["10_0.csv"]["presampling_removed_points"] == 0
+    src.write_table(out["refined"], str(tmp_path / "refined"), "csv")
+    src.write_table(jobs.common_corridors(spark, str(tmp_path / "refined"))["corridors"].drop("shown"), str(tmp_path / "corridors"), "csv")
+    report = jobs.corridor_report(spark, str(tmp_path / "corridors"))["corridor_report"].collect()
+    assert report and {r["intensity"] for r in report} <= {"red", "orange", "blue"} and max(r["length_km"] for r in report) > 1
