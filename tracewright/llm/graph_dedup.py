@@ -464,3 +464,18 @@ def _all_links(nodes: DataFrame, count: int, least: float) -> tuple[DataFrame, D
 
     found = stored(met.groupBy("i", "j").applyInArrow(compare, "id long, linked long, other long, span boolean"), "all-links")
     return found.where("not span").select("id", "linked"), found.where("span").select(F.col("other").alias("a"), F.col("id").alias("b"))
+
+
+def links_oracle(least: float, table: str = "embeddings", id_col: str = "vec_id", vector_col: str = "embedding") -> str:
+    """All links by a self join in DuckDB, and the closure by recursion; the search has to find every one."""
+    return f"""
+WITH RECURSIVE t AS (SELECT {id_col}::BIGINT AS id, {vector_col}::DOUBLE[] AS e, row_number() OVER () AS r FROM {table}),
+ok AS (SELECT *, len(e) AS d FROM t WHERE id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+v AS MATERIALIZED (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM ok WHERE d = (SELECT d FROM ok GROUP BY d ORDER BY count(*) DESC, d DESC LIMIT 1)),
+l AS MATERIALIZED (SELECT a.r, a.id, b.id AS other, a.e = b.e AS same FROM v a JOIN v b ON a.r <> b.r AND (a.e = b.e OR list_inner_product(a.e, b.e) / (a.n * b.n) >= {least})),
+reach AS (SELECT id AS x, id AS y FROM v UNION SELECT reach.x, l.other FROM reach JOIN l ON reach.y = l.id),
+c AS (SELECT x, min(y) AS component FROM reach GROUP BY x),
+k AS (SELECT r, count(*) AS links FROM l GROUP BY r)
+SELECT t.id AS {id_col}, coalesce(k.links, 0) AS n_links, coalesce(c.component, t.id) AS component_id, coalesce(t.id = coalesce(c.component, t.id), true) AS kept,
+  CASE WHEN EXISTS (SELECT 1 FROM l WHERE NOT same) THEN 1.0::DOUBLE END AS audit_recall
+FROM t LEFT JOIN v USING (r) LEFT JOIN k USING (r) LEFT JOIN c ON c.x = v.id"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .forest_search import forest_search
-from .graph_dedup import near_vectors
+from .graph_dedup import links_oracle, near_vectors
 from .mixing import mix_oracle, mix_sources, turn_weights
 from .packing import pack
 from .sharding import kd_shards
@@ -104,4 +104,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": judge_oracle(RULES), "op5_mixing": mix_oracle()}
+    return {"op1_url_filter": judge_oracle(RULES), "op3_graph_dedup": links_oracle(0.9), "op5_mixing": mix_oracle()}

@@ -1,4 +1,9 @@
-"""Continuous corridors over weighted grid edges, their measures and what of them a map shows."""
+"""Continuous corridors over weighted grid edges, their measures and what of them a map shows.
+
+An edge comes once, its smaller end first. Ties of seeds and steps go to the
+smaller edge and cell, so results are the same in every run. A corridor of one
+point has no length; no edges, no corridors.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Trajectories as cells, and the segments that they share."""
+"""Trajectories as cells, and the segments that they share.
+
+POINT_INDEX orders a trajectory's points. Points with a null coordinate lie in no
+cell and start no segment; trajectories without cells have no features; users
+that are null are not counted. Repeated points count each; no points, no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,10 @@
-"""Users by profile: dimensions, dominant modes, zones and summaries."""
+"""Users by profile: dimensions, dominant modes, zones and summaries.
+
+A null dimension is the value Unknown where it is labelled, and the text ``nan``
+in clusters by value, which summaries leave out. Null ids and modes are left out;
+users that the individuals repeat have a profile for each. Ties are said with
+each operator. No users give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Rankings, samples and reports of bounded length."""
+"""Rankings, samples and reports of bounded length.
+
+Ties are broken by the id that each operator names last. Fewer rows than asked
+for are all returned; no rows give no rows, and totals of zero.
+"""
 
 from __future__ import annotations
 

@@ -1,8 +1,13 @@
 """Ordered operators within a user or trip: runs, thinning, steps, cuts and trims.
 
 Every operator takes the columns that identify a sequence (``by``) and the one
-that orders it (``at``, unique within a sequence). All are window expressions
-over one shuffle by ``by``; several on the same keys share it.
+that orders it (``at``, unique within a sequence; rows that tie in it come in
+any order). All are window expressions over one shuffle by ``by``; several on
+the same keys share it. A null coordinate or time gives null distances, gaps and
+speeds, which are neither near nor far: such rows are never merged, trimmed as
+near or counted as slow. Null keys are a sequence of their own, repeated rows
+count each, no rows give no rows, and further columns are carried along unless
+they end in an underscore.
 """
 
 from __future__ import annotations

@@ -1,4 +1,9 @@
-"""Trajectory pairs by cell-set Jaccard similarity, clusters, summaries and medoids."""
+"""Trajectory pairs by cell-set Jaccard similarity, clusters, summaries and medoids.
+
+Features have one row a trajectory (and value of ``within``) and a CELL_SET
+without repeats or nulls. Trajectories of one cell set are compared once. Ties go
+to the smaller TRAJECTORY_UID. No features give no pairs, clusters or medoids.
+"""
 
 from __future__ import annotations
 

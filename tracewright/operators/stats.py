@@ -1,4 +1,9 @@
-"""Distribution summaries for parameter studies."""
+"""Distribution summaries for parameter studies.
+
+Null values never count; ``clean_series`` also drops what is not finite. Equal
+values count each. Without values there are no groups, steps or bins, and shares
+are null.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Staypoints and trips: the sequential kernel, and what follows from it."""
+"""Staypoints and trips: the sequential kernel, and what follows from it.
+
+Points have no null coordinate or time (cleaning drops these). Rows that tie in
+their order come in any order; a user of one point has one trip and no stay; no
+points, no rows.
+"""
 
 from __future__ import annotations
 
