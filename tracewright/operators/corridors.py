@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import MAP_REGION, haversine, in_box
+from ..functions.labels import corridor_intensity
 from ..plans.numbering import numbered
 from ..plans.storage import stored
 from .graph import connected_components
@@ -118,6 +119,14 @@ def corridor_metrics(corridor: DataFrame, coords: str = "coords") -> DataFrame:
     return rows
 
 
+def corridor_view(corridor: DataFrame, least_weight: float, least_km: float, intensity: str | None = None) -> DataFrame:
+    """``corridor`` with ``intensity``, against the largest mean weight of all, those heavy and long enough; of one intensity if asked."""
+    largest = corridor.agg(F.max("weight_mean").alias("m_"))  # one row
+    rows = corridor.crossJoin(F.broadcast(largest)).withColumn("intensity", corridor_intensity(F.col("weight_mean"), F.col("m_"))).drop("m_")
+    rows = rows.where((F.col("weight_mean") >= least_weight) & (F.col("length_km") >= least_km))
+    return rows if intensity is None else rows.where(F.col("intensity") == intensity)
+
+
 def touches_region(coords: Column, box: tuple[float, float, float, float] = MAP_REGION) -> Column:
     return F.exists(coords, lambda p: in_box(p["lat"], p["lon"], box))
 

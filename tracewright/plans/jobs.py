@@ -11,7 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo, labels
+from ..functions import geo
 from ..operators import corridors as co
 from ..operators import features as fe
 from ..operators import profiles as pr
@@ -99,9 +99,7 @@ def common_corridors(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def corridor_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Corridors read back from a table, with the measures that it lacks and the intensities of the map."""
-    rows = src.read_corridors(spark, path)
-    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("weight_mean").alias("m"))))  # one row
-    return {"corridor_report": rows.withColumn("intensity", labels.corridor_intensity(F.col("weight_mean"), F.col("m"))).drop("m", "coords")}
+    return {"corridor_report": co.corridor_view(src.read_corridors(spark, path), 0.0, 0.0).drop("coords")}
 
 
 def segment_corridors(spark: SparkSession, path: str) -> dict[str, DataFrame]:

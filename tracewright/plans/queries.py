@@ -516,6 +516,40 @@ def segment_edges(spark, sf):
     return fe.segment_edges(rows).select(F.col("edge.a.lat").alias("lat1"), F.col("edge.a.lon").alias("lon1"), F.col("edge.b.lat").alias("lat2"), F.col("edge.b.lon").alias("lon2"), "weight")
 
 
+WALK = f"""{EDGES},
+x AS MATERIALIZED (SELECT row_number() OVER (ORDER BY weight DESC, ax, ay, bx, by_) AS id, ax * 10000000 + ay AS a, bx * 10000000 + by_ AS b, weight AS w FROM edges WHERE weight >= 2),
+adj AS MATERIALIZED (SELECT id, a AS c, b AS nb, w FROM x UNION ALL SELECT id, b, a, w FROM x),
+top AS MATERIALIZED (SELECT max(w) AS m FROM x),
+walk AS (
+  SELECT 0 AS step, 0 AS phase, []::BIGINT[] AS used, []::BIGINT[] AS path, []::BIGINT[] AS wts, NULL::BIGINT[] AS done
+  UNION ALL
+  SELECT step + 1,
+    CASE WHEN phase = 0 THEN 1 WHEN n IS NOT NULL THEN phase WHEN phase = 1 THEN 2 ELSE 0 END,
+    CASE WHEN phase = 0 THEN list_append(used, seed.id) WHEN n IS NOT NULL THEN list_append(used, n.id) ELSE used END,
+    CASE WHEN phase = 0 THEN [seed.a, seed.b] WHEN n IS NOT NULL THEN list_append(path, n.nb) ELSE list_reverse(path) END,
+    CASE WHEN phase = 0 THEN [seed.w] WHEN n IS NOT NULL THEN list_append(wts, n.w) ELSE wts END,
+    CASE WHEN phase = 2 AND n IS NULL THEN list_reverse(path) END
+  FROM (
+    SELECT s.*, CASE WHEN phase = 0 THEN (SELECT arg_min(x, x.id) FROM x WHERE NOT list_contains(s.used, x.id)) END AS seed,
+      CASE WHEN phase > 0 AND len(path) < 5000 THEN (
+        SELECT CASE WHEN arg_max(cosine, (cosine + 0.35::DOUBLE * w / m, -nb)) >= -0.2 THEN arg_max({{'id': id, 'nb': nb, 'w': w}}, (cosine + 0.35::DOUBLE * w / m, -nb)) END
+        FROM (SELECT adj.*, m, ((h // 10000000 - p // 10000000) * (nb // 10000000 - h // 10000000) + (h % 10000000 - p % 10000000) * (nb % 10000000 - h % 10000000))
+            / (sqrt(pow(h // 10000000 - p // 10000000, 2) + pow(h % 10000000 - p % 10000000, 2)) * sqrt(pow(nb // 10000000 - h // 10000000, 2) + pow(nb % 10000000 - h % 10000000, 2))) AS cosine
+          FROM adj CROSS JOIN top CROSS JOIN (SELECT s.path[-2] AS p, s.path[-1] AS h) WHERE adj.c = s.path[-1] AND adj.nb <> s.path[-2] AND NOT list_contains(s.used, adj.id))) END AS n
+    FROM walk s)
+  WHERE phase > 0 OR seed IS NOT NULL)"""
+REGION = "lat BETWEEN 48.10::DOUBLE AND 49.25::DOUBLE AND lon BETWEEN 1.45::DOUBLE AND 3.60::DOUBLE"
+DRAWN = f"""{WALK},
+paths AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY weight_mean * ln(1 + length_cells) DESC, weight_mean DESC, length_cells DESC, path) AS corridor_id FROM (
+  SELECT done AS path, list_sum(wts)::DOUBLE / len(wts) AS weight_mean, list_max(wts) AS weight_max, list_min(wts) AS weight_min, len(done) AS length_cells FROM walk WHERE len(done) >= 8)),
+steps AS MATERIALIZED (SELECT corridor_id, i, c % 10000000 * 30.0::DOUBLE / {geo.M_PER_DEGREE!r}::DOUBLE AS lat, c // 10000000 * 30.0::DOUBLE / ({geo.M_PER_DEGREE!r}::DOUBLE * cos(radians(ref))) AS lon
+  FROM (SELECT corridor_id, unnest(path) AS c, generate_subscripts(path, 1) AS i FROM paths) CROSS JOIN (SELECT avg(LATITUDE) AS ref FROM {TRIPS})),
+legs AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM steps WINDOW w AS (PARTITION BY corridor_id ORDER BY i)),
+ends AS (SELECT corridor_id, sum({hav("lat", "lon", "lat2", "lon2")}) / 1000 AS l, arg_min(lat, i) AS a, arg_min(lon, i) AS b, arg_max(lat, i) AS c, arg_max(lon, i) AS d FROM legs GROUP BY 1),
+drawn AS MATERIALIZED (SELECT p.*, weight_mean * ln(1 + length_cells) AS display_score, round(l, 3) AS length_km, round({hav("a", "b", "c", "d")} / 1000, 3) AS direct_distance_km,
+  round(CASE WHEN {hav("a", "b", "c", "d")} > 0 THEN l / ({hav("a", "b", "c", "d")} / 1000) ELSE 1 END, 3) AS sinuosity FROM paths p JOIN ends USING (corridor_id))"""
+
+
 def drawn(spark, sf):
     ref = fx.trips(spark, sf).agg(F.avg("LATITUDE").alias("ref_lat"))
     rows = co.corridors(edges_of(spark, sf)).crossJoin(F.broadcast(ref))
@@ -523,23 +557,30 @@ def drawn(spark, sf):
     return stored(co.corridor_metrics(rows.withColumn("coords", coords).drop("ref_lat")), "corridors")
 
 
-@query()
+@query(f"WITH RECURSIVE {DRAWN} SELECT corridor_id, {r9('weight_mean')}, weight_max, weight_min, length_cells, {r9('display_score')}, length_km, direct_distance_km, sinuosity FROM drawn")
 def corridors(spark, sf):
     rows = drawn(spark, sf)
     return rounded(rows.select("corridor_id", "weight_mean", "weight_max", "weight_min", "length_cells", "display_score", "length_km", "direct_distance_km", "sinuosity"), "weight_mean", "display_score")
 
 
-@query()
+@query(f"""WITH RECURSIVE {DRAWN},
+own AS MATERIALIZED (SELECT corridor_id, list_distinct(list(round_even(lat, 3) || ' ' || round_even(lon, 3))) AS cells, row_number() OVER (ORDER BY corridor_id) AS k FROM steps GROUP BY 1 HAVING bool_or({REGION})),
+fold AS (
+  SELECT 0::BIGINT AS k, []::VARCHAR[] AS taken, NULL::BIGINT AS id
+  UNION ALL SELECT k, CASE WHEN fits THEN list_concat(taken, cells) ELSE taken END, CASE WHEN fits THEN corridor_id END
+  FROM (SELECT o.*, f.taken, len(list_intersect(o.cells, f.taken)) / len(o.cells) <= 0.35 AS fits FROM fold f JOIN own o ON o.k = f.k + 1))
+SELECT corridor_id, length_cells FROM drawn WHERE corridor_id IN (SELECT id FROM fold WHERE id IS NOT NULL ORDER BY id LIMIT 500)""")
 def corridor_overlap(spark, sf):
     rows = drawn(spark, sf).where(co.touches_region(F.col("coords"))).withColumn("shown_cells", co.display_cells(F.col("coords")))
     return co.without_overlap(rows, cells="shown_cells").select("corridor_id", "length_cells")
 
 
-@query()
+@query(f"""WITH RECURSIVE {DRAWN}, i AS (SELECT *, CASE WHEN weight_mean >= 0.66 * m THEN 'red' WHEN weight_mean >= 0.33 * m THEN 'orange' ELSE 'blue' END AS intensity FROM (SELECT *, max(weight_mean) OVER () AS m FROM drawn))
+SELECT 'all' AS view, corridor_id, length_km, intensity FROM i WHERE weight_mean >= 2 AND length_km >= 1.0 UNION ALL SELECT 'red', corridor_id, length_km, intensity FROM i WHERE weight_mean >= 3 AND length_km >= 1.0 AND intensity = 'red'""")
 def corridor_view(spark, sf):
-    rows = with_largest(drawn(spark, sf), "weight_mean")
-    rows = rows.withColumn("intensity", labels.corridor_intensity(F.col("weight_mean"), F.col("m")))
-    return rows.where("weight_mean >= 3 and length_km >= 1.0 and intensity = 'red'").select("corridor_id", "length_km", "intensity")
+    rows = drawn(spark, sf)
+    parts = [co.corridor_view(rows, least, 1.0, intensity).select(F.lit(intensity or "all").alias("view"), "corridor_id", "length_km", "intensity") for least, intensity in ((2.0, None), (3.0, "red"))]
+    return parts[0].unionAll(parts[1])
 
 
 @query(f"""WITH c AS (SELECT TRAJECTORY_UID, LATITUDE, LONGITUDE, lead(LATITUDE) OVER w AS a, lead(LONGITUDE) OVER w AS b, POINT_INDEX FROM {TRIPS} WINDOW w AS (PARTITION BY TRAJECTORY_UID ORDER BY POINT_INDEX)),
