@@ -65,7 +65,7 @@ def robust_prune(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(-sim, axis=1, kind="stable")
         cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
         points = data[cand]
-        between = 2 - 2 * np.einsum("bic,bjc->bij", points, points)  # squared distances
+        between = 2 - 2 * (points @ points.transpose(0, 2, 1))  # squared distances
         own = 2 - 2 * sim
         open_ = np.ones((len(block), c), dtype=bool)
         taken = np.zeros(len(block), dtype=np.int64)
