@@ -130,12 +130,12 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, most: int = 8000, max
             yield pa.RecordBatch.from_pydict({"grade": batch.column(1), "x": pa.array(rows, pa.list_(pa.int32()))})
 
     rows = sample.mapInArrow(encode, "grade int, x array<int>").toArrow()
-    order = sorted(range(rows.num_rows), key=lambda k: (rows["grade"][k].as_py(), rows["x"][k].as_py()))
-    rows = rows.take(pa.array(order))  # the same sums in the same order in every run
-    grades = rows["grade"].to_numpy()
-    x = rows["x"].combine_chunks()
-    length = np.diff(x.offsets.to_numpy())
-    return _descend(names, grades, np.repeat(np.arange(len(grades)), length), x.flatten().to_numpy(), rounds, rate, ridge)
+    x = pa.concat_arrays(rows["x"].chunks) if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    grades, ends, flat = rows["grade"].to_numpy(), x.offsets.to_numpy(), x.values.to_numpy()
+    order = sorted(range(len(grades)), key=lambda k: (grades[k], flat[ends[k] : ends[k + 1]].tobytes()))  # the same sums in the same order in every run
+    length = np.diff(ends)[order]
+    col = np.concatenate([flat[ends[k] : ends[k + 1]] for k in order])
+    return _descend(names, grades[order], np.repeat(np.arange(len(order)), length), col, rounds, rate, ridge)
 
 
 def _descend(names: list[str], grades: np.ndarray, row: np.ndarray, col: np.ndarray, rounds: int, rate: float, ridge: float) -> OrdinalModel:
