@@ -19,6 +19,7 @@ from tracewright.llm import golay, histograms, suffix_dedup, toxicity
 from tracewright.llm.forest_search import forest_search
 from tracewright.llm.graph_dedup import near_vectors
 from tracewright.llm.mixing import mix_sources
+from tracewright.llm import near_copies as near
 from tracewright.llm.near_copies import near_copies
 from tracewright.llm.packing import RoundRobin, byte_bpe, pack
 from tracewright.llm.sharding import kd_shards
@@ -121,6 +122,21 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, centres):
     assert near_copies(docs(spark, [])).count() == 0
 
 
+def test_near_copies_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr("tracewright.plans.spread.HOT_ROWS", 20)
+    monkeypatch.setattr("tracewright.llm.near_copies.BLOCK_SETS", 3)
+    test_near_copies_equal_brute_force(spark, monkeypatch, 1)
+
+
+def test_sketches_never_lose_a_similar_pair():
+    pick = random.Random(3)
+    for _ in range(300):
+        both = [pick.getrandbits(64) for _ in range(pick.randint(0, 400))]
+        a, b = ([*both, *(pick.getrandbits(64) for _ in range(pick.randint(0, 60)))] for _ in range(2))
+        x, y = (near.sketch(np.unique(np.array(s, dtype=np.uint64))) for s in (a, b))
+        assert sum((int(u) ^ int(v)).bit_count() if u >= 0 and v >= 0 else ((int(u) ^ int(v)) % 2**64).bit_count() for u, v in zip(x, y, strict=True)) <= len(set(a) ^ set(b))
+
+
 def test_pipeline_drops_edited_copies(spark):
     import corpus_pipeline
 
@@ -681,6 +697,36 @@ def test_forest_search_keeps_all_ties(spark):
     assert sorted(x["vec_id"] for x in found) == list(range(1, 21))
 
 
+def test_vectors_repeated_rows_null_ids_and_clashes(spark):
+    """Rows that repeat id and vector, ids with two vectors, null ids, columns named like results."""
+    r = np.random.default_rng(12)
+    base = r.standard_normal((40, 8)).astype(np.float32)
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(base)]
+    rows += [rows[0], rows[0], (0, rows[5][1]), (None, rows[1][1]), (60, rows[1][1])]
+    names = T.StructType([*VECTORS.fields[:2], *(T.StructField(n, T.StringType()) for n in ("shard", "rank", "query_id", "n_links", "node", "v", "id"))])
+    table = spark.createDataFrame([(*row, *"abcdefg") for row in rows], names)
+    found = [(x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in near_vectors(table).collect()]
+    unit = base.astype(float) / np.linalg.norm(base.astype(float), axis=1)[:, None]
+    near = {k: {j for j in range(40) if j != k and unit[k] @ unit[j] >= 0.9} for k in range(40)}
+    assert len(found) == len(rows) and sorted(f[1] for f in found if f[0] == 0) == sorted([2 + len(near[0])] * 3 + [1 + len(near[5])])
+    assert [f[2:] for f in found if f[0] == 60] == [(1, False)] and [f[1] for f in found if f[0] == 60] == [1 + len(near[1])] and (None, 0, None, True) in found
+    best = forest_search(table, F.col("vec_id") % 20 == 0, k=3).collect()
+    assert {x["query_id"] for x in best} == {0, 20, 60} and all(x["vec_id"] is not None and x["vec_id"] != x["query_id"] for x in best)
+    own = sorted((x["rank"], x["vec_id"], x["score"]) for x in best if x["query_id"] == 60)
+    score = {i: max(float(np.dot(np.array(v), np.array(rows[1][1]))) for j, v in rows if j == i) for i in {i for i, _ in rows if i is not None and i != 60}}
+    assert [i for _, i, _ in own] == [i for _, i in sorted((-s, i) for i, s in score.items())[:3]]
+
+
+def test_ties_across_classes_and_leaves(spark):
+    """300 vectors score alike, a third of them in equal groups: the least ids are returned."""
+    r = np.random.default_rng(13)
+    ids = r.permutation(np.arange(1, 301))
+    data = [(0, [1.0, 0.0, 0.0])] + [(int(i), [0.5, float(n // 3 if n < 100 else n), 1.0]) for n, i in enumerate(ids)]
+    table = spark.createDataFrame([(i, v, 0, "s") for i, v in data], VECTORS)
+    found = forest_search(table, F.col("vec_id") == 0, k=20, leaf_rows=64, recall=1.0).collect()
+    assert sorted((x["rank"], x["vec_id"], x["score"]) for x in found) == [(k, k, 0.5) for k in range(1, 21)]
+
+
 # ---- pipeline ----
 
 def test_pipeline_drops_what_it_should(spark, tmp_path):
