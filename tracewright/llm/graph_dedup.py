@@ -219,10 +219,10 @@ def near_vectors(table: DataFrame, least: float = 0.9, shard_rows: int = 2000, o
     """
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     good = stored(valid_vectors(table, id_col, vector_col), "valid-vectors")
-    nodes = good.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    nodes = stored(nodes, "distinct-vectors")
+    nodes = good.groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "distinct-vectors")  # numbers of their own, fixed by being written: a row's id may have two vectors
     count = nodes.count()
-    _, some = sample(nodes, sample_rows)
+    _, some = sample(nodes.select(F.col("least").alias("id"), "v"), sample_rows)
     unit = some / np.linalg.norm(some, axis=1, keepdims=True) if len(some) else some
     shards = Shards(nodes, unit, max(1, math.ceil(count * overlap / shard_rows)), sample_rows)
     while True:
@@ -238,8 +238,10 @@ def near_vectors(table: DataFrame, least: float = 0.9, shard_rows: int = 2000, o
         overlap *= 2
     found = connected_components(spans, "a", "b")
     linked = counts.groupBy("id").agg(F.sum("linked").alias("linked"))
-    placed = nodes.select("id", "copies").join(linked, "id", "left").join(found, F.col("id") == F.col("node"), "left")
-    placed = stored(placed.select(F.col("id").alias("node"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"), F.col("copies").alias("n")), "linked-nodes")
+    placed = nodes.select("id", "least", "copies").join(linked, "id", "left").join(found, F.col("id") == F.col("node"), "left")
+    placed = stored(placed.select(F.col("id").alias("node"), "least", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"), F.col("copies").alias("n")), "linked-nodes")
+    first = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    placed = join_each(placed.drop("least"), first, ["component"], F.col("node"), hot_from(count), "rows").drop("component")
     named = nodes.select("v", F.col("id").alias("node"), F.col("copies").alias("n"))
     most = hot_from(good.count())
     inside = join_each(good.select("id", "v"), named, ["v"], F.col("id"), most)
