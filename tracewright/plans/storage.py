@@ -6,12 +6,15 @@ executor costs a re-read and never a re-run of the earlier rounds.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: The setting that bounds an Arrow batch, and the most that plans with long texts should send a Python worker at once.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +37,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_BYTES``: the JVM and each worker hold some of them, and ten thousand long texts are many."""
+    given = re.fullmatch(r"(-?\d+)b?", spark.conf.get(BATCH_SETTING, f"{BATCH_BYTES}b"))
+    if given and not 0 < int(given[1]) <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read from there."""
     spark = df.sparkSession
+    _bound_batches(spark)
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
