@@ -60,6 +60,11 @@ def discard(table: DataFrame) -> None:
     _delete(table.sparkSession, table.stored_path_)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM collect plans that nothing holds, so that executors delete their shuffle files now."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_stored(spark: SparkSession) -> None:
     """Delete all tables that this application stored, once its results have been written."""
     _delete(spark, _own_dir(spark))
