@@ -27,7 +27,7 @@ from .columns import by_place, free_names, named, without
 
 GRAM = 48
 #: Bytes that one pass of the minimizer kernel works on.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: A minimizer with more differing stretches than this is split by the windows' own hashes.
 CROWD = 4000
 #: Bytes of stretches whose suffixes one task sorts at a time.
