@@ -161,6 +161,19 @@ def test_jaccard_keeps_exact_thresholds_and_links_chains(spark):
         si.jaccard_pairs(features(spark, sets), 0.5, 0)
 
 
+def test_jaccard_pairs_are_written_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(si, "BLOCK", 7)
+    monkeypatch.setattr(si, "TASK_PAIRS", 200)
+    near = {"a": set("vwxyz"), "b": set("wxyz"), "c": set("pqrst")}
+    sets = {f"{kind}{k:02}": cells for kind, cells in near.items() for k in range(30)}
+    found = si.jaccard_pairs(features(spark, sets), 0.3, 2, digits=2)
+    brute = {(x, y, len(sets[x] & sets[y]), round(len(sets[x] & sets[y]) / len(sets[x] | sets[y]), 2)) for x in sets for y in sets if x < y and sets[x] & sets[y]}
+    rows = [tuple(r) for r in found.select("l", "r", "shared", "score").collect()]
+    assert len(rows) == len(brute) == 3 * 435 + 900 and set(rows) == brute
+    by_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(by_task) > 4 and max(by_task) < 800
+
+
 def test_medoid_ties_go_to_the_first(spark):
     clusters = features(spark, {"b": {"1", "2"}, "a": {"1", "2"}}).withColumn("CLUSTER_ID", F.lit(0))
     assert si.medoids(clusters).first()["TRAJECTORY_UID"] == "a"

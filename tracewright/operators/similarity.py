@@ -18,6 +18,8 @@ from ..plans.storage import stored
 from .graph import connected_components, spanning_edges
 
 UID, USER = "TRAJECTORY_UID", "USER_ID"
+#: Members of a class in a block when its pairs are written out, and about how many pairs a task writes.
+BLOCK, TASK_PAIRS = 512, 1 << 22
 
 
 def cell_classes(features: DataFrame, within: list[str] | None = None) -> DataFrame:
@@ -67,24 +69,46 @@ def class_pairs(classes: DataFrame, threshold: float, min_shared: int, within: l
     return pairs.withColumn("score", score).where(F.col("score") >= threshold).select(*within, "l", "r", "ml", "mr", "shared", "score")
 
 
-def jaccard_pairs(features: DataFrame, threshold: float, min_shared: int, within: list[str] | None = None) -> DataFrame:
+def jaccard_pairs(features: DataFrame, threshold: float, min_shared: int, within: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """``within..., l, r, shared, score`` (l < r): pairs of trajectories with enough shared cells and similarity.
 
-    Classes of one cell set are compared, and then written out. ``within`` are
-    further columns that both sides share, such as both ends; their nulls match
-    nothing. No features give no pairs.
+    Classes of one cell set are compared, and then written out: members are put
+    in blocks, and what is dealt to tasks are pairs of blocks, so that tasks
+    write about ``TASK_PAIRS`` rows each, however large a class is. ``within``
+    are further columns that both sides share, such as both ends; their nulls
+    match nothing. ``digits`` rounds scores. No features give no pairs.
     """
     within = within or []
     classes = stored(cell_classes(features, within), "cell-classes")
-    pairs = class_pairs(classes, threshold, min_shared, within)
+    alike = classes.where((F.col("n") >= min_shared) & (F.col("m") > 1) & F.lit(threshold <= 1))
+    alike = alike.select(*within, *[F.col(c).alias(a) for c, a in (("rep", "l"), ("rep", "r"), ("m", "ml"), ("m", "mr"), ("n", "shared"))], F.lit(1.0).alias("score"))
+    pairs = stored(class_pairs(classes, threshold, min_shared, within).unionAll(alike), "class-pairs")
+    total = pairs.agg(F.sum(F.col("ml").cast("double") * F.col("mr"))).first()[0] or 0
     most = hot_from(features.count())
-    members = stored(join_each(features.select(*within, "CELL_SET", UID), classes.select(*within, "CELL_SET", "rep", "m", "n", F.col("m").alias("rows")), [*within, "CELL_SET"], F.col(UID), most, "rows").drop("CELL_SET"), "members")
-    a, b = (members.select(*within, F.col("rep").alias(side), F.col(UID).alias(f"u{side}")) for side in "lr")
-    across = pairs.join(a, [*within, "l"]).join(b, [*within, "r"])
-    across = across.select(*within, F.least("ul", "ur").alias("l"), F.greatest("ul", "ur").alias("r"), "shared", "score")
-    alike = members.where((F.col("n") >= min_shared) & (F.col("m") > 1) & F.lit(threshold <= 1))
-    own = alike.join(a.withColumnsRenamed({"l": "rep", "ul": "u"}), [*within, "rep"]).where(F.col(UID) < F.col("u"))
-    return across.unionAll(own.select(*within, F.col(UID).alias("l"), F.col("u").alias("r"), F.col("n").alias("shared"), F.lit(1.0).alias("score")))
+    members = join_each(features.select(*within, "CELL_SET", UID), classes.select(*within, "CELL_SET", "rep", "m", F.col("m").alias("rows")), [*within, "CELL_SET"], F.col(UID), most, "rows")
+
+    def blocks(m: str) -> Column:
+        return F.ceil(F.col(m) / BLOCK).cast("long")
+
+    held = stored(members.groupBy(*within, "rep", F.pmod(F.xxhash64(UID), blocks("m")).alias("b")).agg(F.collect_list(UID).alias("u")), "blocks")
+    for side in "lr":
+        pairs = pairs.withColumn(f"b{side}", F.explode(F.sequence(F.lit(0).cast("long"), blocks(f"m{side}") - 1)))
+    dealt = pairs.where("l <> r or bl <= br").drop("ml", "mr")
+    if digits is not None:
+        dealt = dealt.withColumn("score", F.round("score", digits))
+    dealt = stored(dealt, "block-pairs")
+    most = hot_from(dealt.count())
+    for side, across in (("l", "r"), ("r", "l")):
+        keys = [*within, side, f"b{side}"]
+        own = held.withColumnsRenamed({"rep": side, "b": f"b{side}", "u": f"u{side}"})
+        if most is not None:
+            own = own.join(dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), keys)
+        pairs = join_each(dealt if side == "l" else pairs, own, keys, F.xxhash64(across, f"b{across}"), most, "rows")
+    # few rows become many: so many tasks, which adaptive execution does not join
+    pairs = pairs.repartition(int(total // TASK_PAIRS) + 1, *within, "l", "r", "bl", "br")
+    pairs = pairs.withColumn("ul", F.explode("ul")).withColumn("ur", F.explode("ur"))
+    once = (F.col("ul") < F.col("ur")) | ((F.col("ul") > F.col("ur")) & ((F.col("l") != F.col("r")) | (F.col("bl") != F.col("br"))))
+    return pairs.where(once).select(*within, F.least("ul", "ur").alias("l"), F.greatest("ul", "ur").alias("r"), "shared", "score")
 
 
 def _node(within: list[str], uid: Column) -> Column:

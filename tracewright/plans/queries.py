@@ -409,12 +409,12 @@ SUMMARY = "summary AS (SELECT CLUSTER_ID, count(DISTINCT TRAJECTORY_UID) AS N_TR
 
 @query(f"SELECT l, r, shared, round(score, 9) AS score FROM ({pairs_sql(FEATURES, 0.42, 5)})")
 def jaccard_pairs(spark, sf):
-    return si.jaccard_pairs(stored(features(spark, sf), "features"), 0.42, 5).withColumn("score", F.round("score", 9))
+    return si.jaccard_pairs(stored(features(spark, sf), "features"), 0.42, 5, digits=9)
 
 
 @query(f"SELECT l, r, shared, round(score, 9) AS score FROM ({pairs_sql(COARSE, 0.45, 3, True)})")
 def jaccard_pairs_same_ends(spark, sf):
-    return si.jaccard_pairs(stored(features(spark, sf, 500, 2), "features"), 0.45, 3, ["START_CELL", "END_CELL"]).select("l", "r", "shared", F.round("score", 9).alias("score"))
+    return si.jaccard_pairs(stored(features(spark, sf, 500, 2), "features"), 0.45, 3, ["START_CELL", "END_CELL"], digits=9).select("l", "r", "shared", "score")
 
 
 def clustered(spark, sf):
