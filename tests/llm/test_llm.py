@@ -23,7 +23,7 @@ from tracewright.llm import near_copies as near
 from tracewright.llm.near_copies import near_copies
 from tracewright.llm.packing import RoundRobin, byte_bpe, pack
 from tracewright.llm.sharding import kd_shards
-from tracewright.llm.simhash import simhash_components, text_fingerprint
+from tracewright.llm.simhash import set_fingerprint, simhash_components, text_fingerprint
 from tracewright.llm.suffix_dedup import remove_repeats
 from tracewright.llm.token_counts import WordBpe, count_tokens
 from tracewright.llm.toxicity import OrdinalModel, fit, score, severity, text_features
@@ -137,6 +137,29 @@ def test_sketches_never_lose_a_similar_pair():
         assert sum((int(u) ^ int(v)).bit_count() if u >= 0 and v >= 0 else ((int(u) ^ int(v)) % 2**64).bit_count() for u, v in zip(x, y, strict=True)) <= len(set(a) ^ set(b))
 
 
+def test_near_copies_meet_by_fingerprints_first(spark, monkeypatch):
+    """Lightly edited copies share Golay keys of their fingerprints, and need no exact search; the others get one."""
+    rows = [(k, t, s) for k, t, s in edited_rows() if k is not None and (k < 100 or k % 20 < 2)]
+    shown = []
+    monkeypatch.setattr(near, "_buckets", lambda nodes, own=near._buckets: shown.append(own(nodes)) or shown[0])
+    found = {r["doc_id"]: r["component_id"] for r in near_copies(docs(spark, rows)).collect()}
+    assert found[120] == 100 and found[121] == 101
+    by_list = {}
+    for r in shown[0].collect():
+        by_list.setdefault(r["la"], set()).add(r["key"])
+    assert any(len(keys) > 1 for keys in by_list.values())
+    # with no list of rare shingles the fingerprints alone link them
+    monkeypatch.setattr(near, "_lists", lambda nodes, percent, own=near._lists: own(nodes, percent).limit(0))
+    alone = {r["doc_id"]: r["component_id"] for r in near_copies(docs(spark, rows)).collect()}
+    assert alone[121] == 101 and alone[8] == alone[7]
+
+
+def test_fingerprints_of_sets():
+    picked = np.unique(np.random.default_rng(4).integers(0, 2**63, 301).astype(np.uint64))
+    want = sum(1 << b for b in range(64) if sum(int(x) >> b & 1 for x in picked) * 2 > len(picked))
+    assert set_fingerprint(picked) % 2**64 == want and set_fingerprint(picked[:0]) == 0
+
+
 def test_pipeline_drops_edited_copies(spark):
     import corpus_pipeline
 

@@ -1,4 +1,8 @@
-"""Exact near copies: documents whose sets of word shingles have a Jaccard similarity of at least a given one."""
+"""Near copies: documents whose sets of word shingles have a Jaccard similarity of at least a given one.
+
+SimHash fingerprints meet under their Golay keys and are verified on the sets;
+an exact search finds the links between what these leave apart.
+"""
 
 from __future__ import annotations
 
@@ -11,11 +15,13 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.graph import connected_components
 from ..plans.spread import hot_from, join_each
 from ..plans.storage import discard, release, stored
-from .columns import free_names, named
+from .columns import free_names, named, tidied, tidy
+from .simhash import fuzzy_keys, set_fingerprint
 
 SEED = 42
 #: Bytes of text whose shingles one task counts at a time, and that are cut into shingles at a time.
@@ -58,8 +64,8 @@ def _candidates(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """``id, h1, h2`` of the rows (with t) that may have a near copy: enough of their shingles stand in another row too.
 
     Shingles are counted in packed blocks, one a batch and part of the hash
-    space, by 32 further bits of the hash: a collision can only keep a row. A
-    batch sends a shingle once, and whether it holds it more than once.
+    space, by 24 further bits of the hash: a collision can only keep a row. Back
+    come, by block, the numbers of shared shingles of its rows.
     """
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = int(size // COUNT_BYTES) + 1
@@ -69,7 +75,7 @@ def _candidates(rows: DataFrame, words: int, percent: int) -> DataFrame:
     def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         begin, held = 0, 0
         for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(3)), 0).to_pylist()):
-            if held and held + n > CUT_BYTES:
+            if held and held + n > CUT_BYTES or k - begin == 1 << 16:  # a row's place in its batch has 16 bits
                 yield batch.slice(begin, k - begin)
                 begin, held = k, 0
             held += n
@@ -80,85 +86,97 @@ def _candidates(rows: DataFrame, words: int, percent: int) -> DataFrame:
         for batch in (x for whole in batches for x in slices(whole)):
             sets = [shingle_set(t.as_py(), words) for t in batch.column(3)]
             size = np.array([len(s) for s in sets], dtype=np.int64)
-            every, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            every = np.concatenate(sets)
+            name = xxhash.xxh3_64_intdigest(every.tobytes() + size.tobytes() + b"".join(batch.column(c).to_numpy().tobytes() for c in (1, 2)) + repr(batch.column(0).to_pylist()).encode()) >> 1
             part = (every % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            place = np.empty(len(order), dtype=np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
-            low, often, part = (every >> np.uint64(32)).astype(np.uint32)[order], times[order] > 1, part[order]
-            name = xxhash.xxh3_64_intdigest(every.tobytes() + size.tobytes() + b"".join(batch.column(c).to_numpy().tobytes() for c in (1, 2)) + repr(batch.column(0).to_pylist()).encode()) >> 1
+            part, place = part[order], np.repeat(np.arange(len(size), dtype=np.uint16), size)[order]
+            low = np.ascontiguousarray((every >> np.uint64(32)).astype("<u4")[order].view(np.uint8).reshape(-1, 4)[:, :3])
+            del sets, every, order
             found, begin = np.unique(part, return_index=True)
             ends = [*begin[1:].tolist(), len(part)]
-            blocks = [(name, int(k), low[a:b].tobytes(), np.packbits(often[a:b]).tobytes(), None, None, None) for k, a, b in zip(found, begin.tolist(), ends, strict=True)]
+            for k, a, b in zip(found.tolist(), begin.tolist(), ends, strict=True):
+                steps = np.diff(place[a:b], prepend=np.uint16(0)).astype("<u2").view(np.uint8).reshape(-1, 2)  # rows rise, so most upper bytes are zero
+                yield block(name, k, low[a:b].tobytes(), steps.T.tobytes(), None, None)
             own = pa.StructArray.from_arrays([batch.column(c) for c in range(3)], names=["id", "h1", "h2"])
-            blocks.append((name, name % parts, None, None, place[code].tobytes(), size, own))
-            for name, k, low_, often_, code_, size_, own_ in blocks:
-                lists = [pa.nulls(1, pa.list_(t)) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x)) for x, t in ((size_, pa.int64()), (own_, own.type))]
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), *(pa.array([x], pa.binary()) for x in (low_, often_, code_)), *lists], names=["batch", "part", "low", "often", "code", "sizes", "own"])
+            yield block(name, name % parts, None, None, pa.array(size), own)
+
+    def block(name: int, part: int, low: bytes | None, place: bytes | None, sizes: pa.Array | None, own: pa.Array | None) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.struct([("id", id_kind), ("h1", pa.int64()), ("h2", pa.int64())]))
+        lists = [pa.nulls(1, pa.list_(t)) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x, t in zip((sizes, own), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int64()), *(pa.array([x], pa.binary()) for x in (low, place)), *lists], names=["batch", "part", "low", "place", "sizes", "own"])
+
+    id_kind = to_arrow_type(rows.schema["id"].dataType)
 
     def count(blocks: pa.Table) -> pa.Table:
+        tidy()
         named_, full = blocks.filter(pc.is_null(blocks["low"])), blocks.filter(pc.is_valid(blocks["low"]))
-        names = ["batch", "part", "often", "code", "sizes", "own"]
+        names = ["batch", "part", "place", "sizes", "own"]
         if not full.num_rows:
             return named_.select(names)
-        low = [np.frombuffer(x.as_py(), np.uint32) for x in full["low"]]
-        shared = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(y)).astype(bool) for x, y in zip(full["often"], low, strict=True)])
-        every = np.concatenate(low)
+        packed = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 3) for x in full["low"]]
+        ends = np.cumsum([0, *map(len, packed)])
+        every = np.zeros((ends[-1], 4), dtype=np.uint8)
+        for x, a in zip(packed, ends.tolist(), strict=False):
+            every[a : a + len(x), :3] = x
+        every = every.view("<u4").ravel()
         order = np.argsort(every, kind="stable")
         same = every[order][1:] == every[order][:-1]
+        shared = np.zeros(len(every), dtype=bool)
         shared[order[1:]] |= same
         shared[order[:-1]] |= same
-        ends = np.cumsum([0, *map(len, low)])
-        # how many there are comes before the bits
-        bits = [np.int64(b - a).tobytes() + np.packbits(shared[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-        full = full.set_column(full.schema.get_field_index("often"), "often", pa.array(bits, pa.binary()))
+        counts = []
+        for x, a, b in zip(full["place"], ends.tolist(), ends[1:].tolist(), strict=False):
+            place = np.cumsum(np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(2, -1).T).view("<u2").ravel(), dtype=np.int64)
+            which, times = np.unique(place[shared[a:b]], return_counts=True)
+            # how many rows there are comes before them
+            counts.append(np.int64(len(which)).tobytes() + which.astype("<u2").tobytes() + times.astype("<u4").tobytes())
+        full = full.set_column(full.schema.get_field_index("place"), "place", pa.array(counts, pa.binary()))
         return pa.concat_tables([full.select(names), named_.select(names)])
 
     def choose(blocks: pa.Table) -> pa.Table:
-        own = blocks.filter(pc.is_valid(blocks["code"]))
+        own = blocks.filter(pc.is_valid(blocks["own"]))
         copies, own = own.num_rows, own.slice(0, 1)  # batches of one name are alike
-        size, code = np.array(own["sizes"][0].as_py(), dtype=np.int64), np.frombuffer(own["code"][0].as_py(), np.uint32)
-        bits = blocks.filter(pc.is_null(blocks["code"])).sort_by("part")
-        seen, flags = set(), [np.empty(0, bool)]
-        for part, x in zip(bits["part"].to_pylist(), bits["often"].to_pylist(), strict=True):
+        size = np.array(own["sizes"][0].as_py(), dtype=np.int64)
+        counts = blocks.filter(pc.is_null(blocks["own"]))
+        seen, shared = set(), np.zeros(len(size), dtype=np.int64)
+        for part, x in zip(counts["part"].to_pylist(), counts["place"].to_pylist(), strict=True):
             if part not in seen:
                 seen.add(part)
-                flags.append(np.unpackbits(np.frombuffer(x[8:], np.uint8), count=int(np.frombuffer(x[:8], np.int64)[0])).astype(bool))
-        row = np.repeat(np.arange(len(size)), size)
-        shared = np.bincount(row, weights=np.concatenate(flags)[code], minlength=len(size))
+                n = int(np.frombuffer(x[:8], np.int64)[0])
+                shared[np.frombuffer(x[8 : 8 + 2 * n], "<u2")] += np.frombuffer(x[8 + 2 * n :], "<u4")
         kept = (shared >= (size * percent + 99) // 100) | (copies > 1)
         return pa.table({"own": own["own"].combine_chunks().flatten().filter(pa.array(kept))})
 
-    blocks = rows.select("id", "h1", "h2", "t").mapInArrow(cut, f"batch long, part long, low binary, often binary, code binary, sizes array<long>, own array<{row}>")
-    marked = blocks.groupBy("part").applyInArrow(count, f"batch long, part long, often binary, code binary, sizes array<long>, own array<{row}>")
+    blocks = rows.select("id", "h1", "h2", "t").mapInArrow(tidied(cut), f"batch long, part long, low binary, place binary, sizes array<long>, own array<{row}>")
+    marked = blocks.groupBy("part").applyInArrow(count, f"batch long, part long, place binary, sizes array<long>, own array<{row}>")
     return marked.groupBy("batch").applyInArrow(choose, f"own {row}").select("own.*").distinct()
 
 
 def _linked(members: DataFrame, percent: int, other: DataFrame, keys: list[str]) -> DataFrame:
-    """``a, b`` (a < b) of the rows of a list that may be similar.
+    """``a, b`` (a < b) of the rows of a list that may be similar and lie in two components.
 
     The shingle that two sets share first has ``rem`` shingles of its set from
     it on, and the overlap that they need is at most the lesser number.
     """
     fits = F.least(F.col("rem"), F.col("rem0")) * (100 + percent) >= percent * (F.col("n") + F.col("n0"))
-    met = members.join(other, keys).where(fits & (F.col("key") != F.col("key0")))
+    met = members.join(other, keys).where(fits & (F.col("c") != F.col("c0")) & (F.col("key") != F.col("key0")))
     return met.select(F.least("key", "key0").alias("a"), F.greatest("key", "key0").alias("b"))
 
 
 def _other(members: DataFrame) -> DataFrame:
-    return members.select(*_LIST, *[F.col(c).alias(f"{c}0") for c in ("key", "n", "rem", "c") if c in members.columns])
+    return members.select(*_LIST, *[F.col(c).alias(f"{c}0") for c in ("key", "n", "rem", "c")])
 
 
 def _with_centres(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """``a, b``: the sets of long lists with a few sets of each, others every turn; of other components, where there is one."""
+    """``a, b``: the sets of long lists with a few sets of each, others every turn; of two components."""
     order = Window.partitionBy(*_LIST).orderBy(F.xxhash64("key", F.lit(turn)), "key")
     first = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CENTRES)
     centres = _other(first).join(members.groupBy(*_LIST).agg(F.count(F.lit(1)).alias("rows")), _LIST)
     total = members.count()
     met = join_each(members, centres, _LIST, F.col("key"), hot_from(total), "rows")
     fits = F.least(F.col("rem"), F.col("rem0")) * (100 + percent) >= percent * (F.col("n") + F.col("n0"))
-    apart = F.col("c") != F.col("c0") if "c" in members.columns else F.lit(True)
-    return met.where(fits & apart & (F.col("key") != F.col("key0"))).select(F.least("key", "key0").alias("a"), F.greatest("key", "key0").alias("b"))
+    return met.where(fits & (F.col("c") != F.col("c0")) & (F.col("key") != F.col("key0"))).select(F.least("key", "key0").alias("a"), F.greatest("key", "key0").alias("b"))
 
 
 def _in_blocks(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -210,6 +228,15 @@ def _lists(nodes: DataFrame, percent: int) -> DataFrame:
     return found
 
 
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """``la, lb, m, key, n, rem, c``: the sets whose fingerprints share a Golay key, as lists; each set is a component of its own."""
+    keys = fuzzy_keys(nodes.select("fp", F.col("key").alias("node"), "n"), ("node", "n"))
+    keys = stored(keys.select(F.col("key").alias("la"), F.lit(0).cast("long").alias("lb"), F.col("node").alias("key"), "n"), "fingerprint-keys")
+    lists = keys.groupBy(*_LIST).agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("rows", F.col("m"))
+    met = join_each(keys, lists, _LIST, F.col("key"), hot_from(keys.count()), "rows")
+    return stored(met.select(*_LIST, "m", "key", "n", F.col("n").alias("rem"), F.col("key").alias("c")), "fingerprint-lists")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``id_col, h1, h2, rows, component_id, kept`` of the rows with a near copy: those that links of similarity >= ``percent`` / 100 connect.
 
@@ -219,11 +246,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component_id is the smallest id reachable, ``kept`` marks the one (id, text)
     with it; of texts without id the one with the least bits. The links are
     exact, up to collisions of 64-bit hashes of shingles. Rows with enough
-    shingles that others hold too are candidates; equal sets are one node; sets
-    meet in the lists of their rarest shingles. Long lists are first compared
-    with a few of their sets, and at last all pairs that these links do not
-    connect yet: a group of near copies that a few connect costs rows in
-    proportion to it, sets that share shingles without being similar by pairs.
+    shingles that others hold too are candidates; equal sets are one node. Nodes
+    whose SimHash fingerprints share a Golay key are compared first. Copies just
+    over the similarity differ in more bits than such keys bear, so an exact
+    search follows among what is not connected yet: sets meet in the lists of
+    their rarest shingles. Long lists are first compared with a few of their
+    sets, and at last in all pairs that no links connect: a group of near copies
+    that a few connect costs rows in proportion to it, sets that share shingles
+    without being similar by pairs.
     Texts without words, null ones included, are near copies of each other.
     Extra columns are ignored, whatever their names. No rows, no result.
     """
@@ -242,20 +272,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64)
             bits = pa.array([sketch(s) for s in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), bits], names=["id", "h1", "h2", "key", "shingles", "bits"])
+            fp = pa.array([set_fingerprint(s) for s in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), bits, fp], names=["id", "h1", "h2", "key", "shingles", "bits", "fp"])
 
-    rows = rows.join(held, same, "left_semi").mapInArrow(sets, f"id {kind}, h1 long, h2 long, key binary, shingles array<long>, bits array<long>")
+    rows = rows.join(held, same, "left_semi").mapInArrow(tidied(sets), f"id {kind}, h1 long, h2 long, key binary, shingles array<long>, bits array<long>, fp long")
     rows = stored(rows, "shingle-sets")
     discard(chosen)
     release(docs.sparkSession)  # and that of all texts
     place = F.struct(F.col("id").isNull().alias("z"), "id", "h1", "h2")
-    nodes = rows.groupBy(F.col("key").alias("own")).agg(F.min(place).alias("least"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
+    nodes = rows.groupBy(F.col("key").alias("own")).agg(F.min(place).alias("least"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits"), F.first("fp").alias("fp"))
     # a node's number is fixed by being written; numbers are smaller than keys, and no two nodes share one
     nodes = stored(nodes.withColumn("n", F.size("shingles").cast("long")).withColumn("key", F.monotonically_increasing_id()), "nodes")
-    lists = _lists(nodes, percent)
-    release(docs.sparkSession)
-    short, long = lists.where(F.col("m") <= 2 * CENTRES).drop("m"), lists.where(F.col("m") > 2 * CENTRES).drop("m")
-
     def verified(pairs: DataFrame) -> DataFrame:
         met = pairs = stored(pairs.distinct(), "pairs")
         most = hot_from(pairs.count())
@@ -269,15 +296,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         discard(met)
         return found
 
-    links = verified(_linked(short, percent, _other(short), _LIST).unionAll(_with_centres(long, 0, percent)))
+    def compared(members: DataFrame, turn: int) -> DataFrame:
+        short, long = members.where(F.col("m") <= 2 * CENTRES), members.where(F.col("m") > 2 * CENTRES)
+        if turn == 0:
+            return verified(_linked(short, percent, _other(short), _LIST).unionAll(_with_centres(long, 0, percent)))
+        return verified(_with_centres(long, turn, percent) if turn < TURNS else _in_blocks(long, nodes, percent))
+
+    links = compared(_buckets(nodes), 0)
     found = stored(connected_components(links, "a", "b"), "parts")
-    for turn in range(1, TURNS + 1):
-        members = long.join(found, F.col("key") == F.col("node"), "left").select(*_LIST, "key", "n", "rem", F.coalesce("component", "key").alias("c"))
+    lists = _lists(nodes, percent)
+    release(docs.sparkSession)
+    for turn in range(TURNS + 1):
+        members = lists.join(found, F.col("key") == F.col("node"), "left").select(*_LIST, "m", "key", "n", "rem", F.coalesce("component", "key").alias("c"))
         mixed = members.groupBy(*_LIST).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select(*_LIST)
-        members = stored(members.join(mixed, _LIST, "left_semi"), "mixed-lists")
+        members = stored(members.join(mixed, _LIST, "left_semi").where(F.col("m") > (2 * CENTRES if turn else 0)), "mixed-lists")
         if members.isEmpty():
             break
-        more = verified(_with_centres(members, turn, percent) if turn < TURNS else _in_blocks(members, nodes, percent))
+        more = compared(members, turn)
         discard(members)
         if more.isEmpty():
             continue

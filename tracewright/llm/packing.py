@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import stored
+from .columns import tidied
 
 #: Documents whose windows are laid out at a time.
 LAYOUT_ROWS = 256
@@ -79,7 +80,7 @@ def token_queues(docs: DataFrame, id_col: str, source_col: str, text_col: str, t
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("t"))
-    return stored(rows.mapInArrow(encode, f"id {kind}, source string, part int, local long, n long, ids binary"), "tokens")
+    return stored(rows.mapInArrow(tidied(encode), f"id {kind}, source string, part int, local long, n long, ids binary"), "tokens")
 
 
 class RoundRobin:
@@ -231,5 +232,5 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", source_col: st
                 arrays = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), begin, length, [zlib.crc32(x) for x in body], n[row], place, offset, carried, pa.array(body, pa.binary())]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in arrays], names=["id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "deficit", "ids"])
 
-    laid = rows.mapInArrow(lay, f"id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, deficit double, ids binary")
+    laid = rows.mapInArrow(tidied(lay), f"id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, deficit double, ids binary")
     return laid.withColumnRenamed("id", id_col)

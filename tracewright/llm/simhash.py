@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,20 @@ from .golay import codeword_indices
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: A bucket with more fingerprints than this is linked by shared neighbours, not by comparing its members.
 PAIRWISE_UP_TO = 64
+#: Hashes whose bits are counted at a time.
+BLOCK = 1 << 16
 SEED = 42
 
 
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """64 bits, as a signed long: a bit is 1 if it is set in over half of the hashes of all blocks; no hashes, no bits."""
+    ones, total = np.zeros(64, dtype=np.int64), 0
+    for hashes in blocks:
+        ones += np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += len(hashes)
+    return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little", signed=True)
+
+
 def text_fingerprint(text: str | None, words: int = 3) -> int:
     """64 bits; a bit is 1 if it is set in over half of the XXH64 of the word shingles. Null and wordless texts: 0."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
@@ -34,13 +45,14 @@ def text_fingerprint(text: str | None, words: int = 3) -> int:
     else:
         shingles = map(b" ".join, zip(*(tokens[k:] for k in range(words)), strict=False))
         total = len(tokens) - words + 1
-    ones = np.zeros(64, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
-    for start in range(0, total, 1 << 16):  # a long text goes through in blocks
-        size = min(1 << 16, total - start)
-        hashes = np.fromiter((digest(s, SEED) for s, _ in zip(shingles, range(size), strict=False)), dtype="<u8", count=size)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little", signed=True)
+    sizes = (min(BLOCK, total - start) for start in range(0, total, BLOCK))  # a long text goes through in blocks
+    return majority(np.fromiter((digest(s, SEED) for s, _ in zip(shingles, range(size), strict=False)), dtype="<u8", count=size) for size in sizes)
+
+
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The same of the distinct shingles of a text, each counted once."""
+    return majority(shingles[start : start + BLOCK] for start in range(0, len(shingles), BLOCK))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -55,8 +67,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("t")).mapInArrow(compute, f"id {kind}, fp bigint")
 
 
-def fuzzy_keys(fps: DataFrame) -> DataFrame:
-    """``fp, key``: one segment as it is with a codeword near the following segment, for each of the three.
+def fuzzy_keys(fps: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``fp, carried..., key``: one segment as it is with a codeword near the following segment, for each of the three.
 
     With at most two differing bits over three segments one segment has none
     (pigeonhole), and the segment after it, with at most two, shares a codeword.
@@ -71,9 +83,11 @@ def fuzzy_keys(fps: DataFrame) -> DataFrame:
                 index, used = codeword_indices(part[(k + 1) % 3])
                 row, col = np.nonzero(np.arange(index.shape[1])[None, :] < used[:, None])
                 key = (np.int64(k) << 34) | (part[k][row] << 12) | index[row, col]
-                yield pa.RecordBatch.from_arrays([pa.array(fp[row]), pa.array(key)], names=["fp", "key"])
+                others = [c.take(pa.array(row)) for c in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(fp[row]), *others, pa.array(key)], names=["fp", *carried, "key"])
 
-    return fps.select("fp").mapInArrow(compute, "fp bigint, key bigint")
+    kinds = dict(fps.dtypes)
+    return fps.select("fp", *carried).mapInArrow(compute, ", ".join([f"{c} {kinds[c]}" for c in ("fp", *carried)] + ["key bigint"]))
 
 
 def fingerprint_links(fps: DataFrame, max_distance: int = 2) -> DataFrame:

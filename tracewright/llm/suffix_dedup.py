@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..plans.spread import hot_from, join_each
 from ..plans.storage import stored
-from .columns import by_place, free_names, named, without
+from .columns import by_place, free_names, named, tidied, tidy, without
 
 GRAM = 48
 #: Bytes that one pass of the minimizer kernel works on.
@@ -235,6 +235,7 @@ _FOUND = "mh long, code long, more long, n long, repeated array<struct<a:long,b:
 
 def _sorted_repeats(stretch: pa.Table, factor: int) -> pa.Table:
     """Of each stretch of whole minimizer groups: the windows that repeat, and those that repeat an earlier stretch."""
+    tidy()
     stretch = stretch.sort_by([("at", "ascending"), ("rid", "ascending"), ("lo", "ascending")]).combine_chunks()  # null ids last
     body = stretch["body"].to_pylist()
     size = np.fromiter(map(len, body), dtype=np.int64, count=len(body))
@@ -263,7 +264,7 @@ def _hashed_repeats(stretch: DataFrame, factor: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*same, pa.array(range(m), pa.int64()), *(pa.array(h) for h in np.frombuffer(digest, dtype=np.int64).reshape(-1, 2).T)], names=[*_KEY, "n", "at", "rid", "lo", "k", "w", "x"])
 
     at = stretch.schema["at"].dataType.simpleString()
-    rows = stored(stretch.select(*_KEY, "n", "at", "rid", "lo", "body").mapInArrow(explode, f"mh long, code long, more long, n long, at {at}, rid long, lo long, k long, w long, x long"), "windows")
+    rows = stored(stretch.select(*_KEY, "n", "at", "rid", "lo", "body").mapInArrow(tidied(explode), f"mh long, code long, more long, n long, at {at}, rid long, lo long, k long, w long, x long"), "windows")
     place = F.struct(F.col("at").isNull().alias("z"), "at", "rid", "lo", "k")
     seen = rows.groupBy("mh", "w", "x").agg(F.sum("n").alias("total"), F.min(place).alias("least")).where("total > 1")
     marked = rows.join(seen, ["mh", "w", "x"]).withColumn("is_first", place == F.col("least"))
@@ -275,7 +276,7 @@ def repeated_windows(texts: DataFrame, factor: int, keep_first: bool) -> DataFra
     """``rid, at, a, b``: runs of window starts to remove. ``texts`` has rid, at (the id) and t."""
     kind = texts.schema["at"].dataType.simpleString()
     schema = f"rid long, at {kind}, lo long, hi long, mh long, code long, more long, end long, times long"
-    rows = stored(texts.select("rid", "at", "t").where(F.octet_length("t") >= factor).mapInArrow(lambda it: _cut(it, factor), schema), "stretches")
+    rows = stored(texts.select("rid", "at", "t").where(F.octet_length("t") >= factor).mapInArrow(tidied(lambda it: _cut(it, factor)), schema), "stretches")
     most = hot_from(rows.agg(F.sum("times")).first()[0] or 0)
     where = F.struct("rid", "lo")
     ends = [f(c).alias(f"{c}{k}") for c in ("code", "more") for k, f in enumerate((F.min, F.max))]
@@ -301,7 +302,7 @@ def repeated_windows(texts: DataFrame, factor: int, keep_first: bool) -> DataFra
                 yield pa.RecordBatch.from_pydict(fields)
 
     bodies = texts.join(needed, (F.col("rid") == F.col("rid0")) & F.col("at").eqNullSafe(F.col("at0"))).select("rid", "at", "t", "cuts")
-    bodies = bodies.mapInArrow(slices, f"mh long, code long, more long, n long, at {kind}, rid long, lo long, body binary").dropDuplicates(_KEY)
+    bodies = bodies.mapInArrow(tidied(slices), f"mh long, code long, more long, n long, at {kind}, rid long, lo long, body binary").dropDuplicates(_KEY)
     crowds = mixed.groupBy("mh").agg(F.count(F.lit(1)).alias("m"))
     bodies = stored(bodies.join(crowds, "mh"), "bodies")
     few, many = bodies.where(F.col("m") <= CROWD), bodies.where(F.col("m") > CROWD)
@@ -403,5 +404,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *(pa.array(found[c], k) for c, k in zip(out, kinds, strict=True))], names=[*others, *out])
 
     kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BinaryType())
-    result = by_place(joined.select(*map(named, others), F.col(t), F.col(spans_))).mapInArrow(digest, T.StructType([*fields, *map(T.StructField, out, kinds)]))
+    result = by_place(joined.select(*map(named, others), F.col(t), F.col(spans_))).mapInArrow(tidied(digest), T.StructType([*fields, *map(T.StructField, out, kinds)]))
     return result if keep_text else result.drop("kept")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.storage import stored
-from .columns import by_place, named, without
+from .columns import by_place, named, tidied, without
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside whole words.
@@ -194,4 +194,4 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", evidence
 
     rows = by_place(docs.select(*kept, named(text_col).cast("string")))
     kinds = (T.DoubleType(), T.IntegerType(), T.BooleanType())
-    return rows.mapInArrow(grade, T.StructType([*fields, *map(T.StructField, out, kinds)]))
+    return rows.mapInArrow(tidied(grade), T.StructType([*fields, *map(T.StructField, out, kinds)]))
