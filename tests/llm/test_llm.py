@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -10,6 +11,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -221,6 +223,24 @@ def test_longest_previous_factors_equal_brute_force(length):
     assert [f.tolist() for f in suffix_dedup.previous_factors(order, position, to_the_byte=False)] == [[w // 8 * 8 for w in own] for own in want]
 
 
+def test_sorting_stretches_takes_little_memory():
+    """A task sorts SORT_BYTES at a time, two of them share the 1200 MB that an executor has beside its heap."""
+    draw = random.Random(5)
+    bodies = [draw.randbytes(277) for _ in range(suffix_dedup.SORT_BYTES // 277)]
+    bodies[7] = bodies[3][:210] + bodies[7][:67]
+    k = pa.array(range(len(bodies)), pa.int64())
+    stretch = pa.table([k, k, k, pa.array([1] * len(bodies), pa.int64()), k, k, k, pa.array(bodies, pa.binary())], names=["mh", "code", "more", "n", "at", "rid", "lo", "body"])
+    tracemalloc.start()
+    try:
+        found = suffix_dedup._sorted_repeats(stretch, 200)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80e6
+    rows = found.to_pylist()
+    assert {x["mh"]: (x["repeated"], x["earlier"]) for x in rows if x["repeated"]} == {3: ([{"a": 0, "b": 10}], []), 7: ([{"a": 0, "b": 10}], [{"a": 0, "b": 10}])}
+
+
 def test_suffix_dedup_odd_input(spark):
     found = remove_repeats(docs(spark, ODD), keep_first=False)
     assert found.count() == len(ODD) and remove_repeats(docs(spark, [])).count() == 0

@@ -32,10 +32,12 @@ def byte_bpe(path: str) -> Callable[[str], bytes]:
 
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
+    @cache
+    def whole() -> Tokenizer:  # some 30 MB, which workers keep: only for those that need it
+        return Tokenizer.from_file(path)
 
     def exact(text: str) -> bytes:
-        return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(whole().encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     ranks = os.path.splitext(path)[0] + ".tiktoken"
     if not os.path.exists(ranks):

@@ -30,8 +30,8 @@ GRAM = 48
 BLOCK = 1 << 18
 #: A minimizer with more differing stretches than this is split by the windows' own hashes.
 CROWD = 4000
-#: Bytes of stretches whose suffixes one task sorts at a time.
-SORT_BYTES = 2 << 20
+#: Bytes of stretches whose suffixes one task sorts at a time; a worker takes some 70 times as many.
+SORT_BYTES = 1 << 19
 _INDEX_BITS = np.uint64(21)
 
 
@@ -140,6 +140,26 @@ def _cut(batches: Iterator[pa.RecordBatch], factor: int) -> Iterator[pa.RecordBa
             yield flush(batch, parts, owners)
 
 
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Of each key its place among the distinct ones."""
+    order = np.argsort(key)
+    new = np.zeros(len(key), dtype=bool)
+    along = key[order]
+    np.not_equal(along[1:], along[:-1], out=new[1:])
+    del along
+    rank = np.empty(len(key), dtype=np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32)
+    return rank
+
+
+def _pairs(first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
+    """One key for each two ranks below ``size``."""
+    key = first.astype(np.int64)
+    key *= size + 1
+    key += second
+    return key
+
+
 class SuffixOrder:
     """The suffix order of the ``length``-byte factors at ``starts`` of ``data``, cut at that length, by prefix doubling.
 
@@ -153,16 +173,17 @@ class SuffixOrder:
         word = np.zeros(len(data), dtype=np.uint64)
         for k in range(8):
             word = (word << np.uint64(8)) | padded[k : k + len(data)].astype(np.uint64)
-        rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
-        self.levels = [(8, rank.astype(np.int32))]
+        rank = _ranks(word)
+        del word
+        self.levels = [(8, rank)]
         done = 8
         while done * 2 <= length:
             ahead = np.zeros_like(rank)
             ahead[:-done] = rank[done:]
-            rank = np.unique(rank * (len(rank) + 1) + ahead, return_inverse=True)[1].astype(np.int64)
+            rank = _ranks(_pairs(rank, ahead, len(rank)))
             done *= 2
-            self.levels.append((done, rank.astype(np.int32)))
-        self.rank = np.unique(rank[starts] * (len(rank) + 1) + rank[starts + length - done], return_inverse=True)[1].astype(np.int64)
+            self.levels.append((done, rank))
+        self.rank = _ranks(_pairs(rank[starts], rank[starts + length - done], len(rank)))
 
     def common(self, i: np.ndarray, j: np.ndarray, to_the_byte: bool) -> np.ndarray:
         """Lengths of the longest common prefixes of the factors i and j, to the byte or in steps of eight."""
