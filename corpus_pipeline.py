@@ -20,7 +20,7 @@ from tracewright.llm.near_copies import one_of_each
 from tracewright.llm.packing import pack
 from tracewright.llm.suffix_dedup import remove_repeats
 from tracewright.llm.toxicity import fit, score, severity
-from tracewright.plans.storage import stored
+from tracewright.plans.storage import discard, passing, stored
 
 
 #: What stages read of a document; its other columns are called c0, c1 ... on the way, which no operator's result clashes with.
@@ -105,10 +105,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``; what each returns is written to the shared folder and read again."""
+    """The stages in order over ``documents``; what each returns is written to the shared folder and read again, and stays until the next has ended."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, name)
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        before = docs
+        with passing(spark) as keep:
+            docs = keep(stored(stage(spark, before, sf_dir), name))
+        if k:
+            discard(before)
     return docs

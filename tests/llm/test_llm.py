@@ -30,6 +30,7 @@ from tracewright.llm.suffix_dedup import remove_repeats
 from tracewright.llm.token_counts import WordBpe, count_tokens
 from tracewright.llm.toxicity import OrdinalModel, fit, score, severity, text_features
 from tracewright.llm.url_filter import judge_oracle, judge_urls
+from tracewright.plans import storage
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, rid string, times string, shard string"
@@ -171,6 +172,35 @@ def test_pipeline_drops_edited_copies(spark):
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, table, "").collect()} == {0, 9}
 
 
+def test_stages_leave_only_what_their_results_need(spark):
+    """A later stage's tables lie beside what an earlier one left: before, eight and more tables of all shingle sets and stretches."""
+    import corpus_pipeline
+
+    own = storage._own_dir(spark).removeprefix("file:")
+    table = docs(spark, [(k, prose(k % 8, 60), "a") for k in range(12)] + [(20 + k, f"{prose(90 + k, 40)} {prose(50, 60)}", "a") for k in range(4)])
+    for stage, left, want in ((corpus_pipeline.drop_near_copies, {"repeats", "named-nodes"}, 12), (corpus_pipeline.drop_repeated_passages, {"runs"}, 16)):
+        before = set(os.listdir(own)) if os.path.isdir(own) else set()
+        found = stage(spark, table, "")
+        assert {x.rpartition("-")[0] for x in set(os.listdir(own)) - before} == left
+        if stage is corpus_pipeline.drop_near_copies:
+            assert found.count() == want
+        else:
+            assert {r["doc_id"]: prose(50, 60) in r["text"] for r in found.where("doc_id >= 20").collect()} == {20: True, 21: False, 22: False, 23: False}
+
+
+def test_tables_of_an_inner_block_go_with_the_outer_one(spark):
+    def there(table):
+        return os.path.isdir(table.stored_path_.removeprefix("file:"))
+
+    with storage.passing(spark) as keep:
+        first = storage.stored(spark.range(3), "first")
+        with storage.passing(spark) as keep_inner:
+            second, third = storage.stored(spark.range(2), "second"), keep_inner(storage.stored(spark.range(1), "third"))
+        assert there(first) and not there(second) and there(third)
+        fourth = keep(storage.stored(spark.range(4), "fourth"))
+    assert not there(first) and not there(third) and fourth.count() == 4
+
+
 # ---- suffix array ----
 
 def brute_repeats(rows, factor, keep_first):

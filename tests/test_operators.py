@@ -103,6 +103,18 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in found.collect()} == label
 
 
+@pytest.mark.parametrize("few", [0, 30, 1 << 17])
+def test_few_edges_are_united_without_rounds(spark, monkeypatch, few):
+    """Before, each of the rounds of 40 edges started six shuffles and more."""
+    rounds = []
+    monkeypatch.setattr(graph, "_large_star", lambda *a, f=graph._large_star: rounds.append(a) or f(*a))
+    edges = [(k + 1, k) for k in range(-5, 30)] + [(90, 70), (80, 90), (60, 80), (-(1 << 62), 1 << 62), (7, None), (8, 8)]
+    found = connected_components(spark.createDataFrame(edges, "src long, dst long"), few=few)
+    want = {k: -5 for k in range(-5, 31)} | dict.fromkeys((60, 70, 80, 90), 60) | dict.fromkeys((-(1 << 62), 1 << 62), -(1 << 62))
+    assert sorted(map(tuple, found.collect())) == sorted(want.items()) and bool(rounds) == (few < len(edges) - 2)
+    assert connected_components(spark.createDataFrame([], "src long, dst long"), few=few).count() == 0
+
+
 @pytest.mark.parametrize("thin", [4, 1 << 18])
 def test_components_with_a_hub_and_other_kinds_of_nodes(spark, monkeypatch, thin):
     monkeypatch.setattr(graph, "THIN_ROWS", thin)

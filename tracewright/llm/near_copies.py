@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.graph import connected_components
 from ..plans.spread import hot_from, join_each
-from ..plans.storage import discard, release, stored
+from ..plans.storage import discard, passing, release, stored
 from .columns import free_names, named, tidied, tidy
 from .simhash import fuzzy_keys, set_fingerprint
 
@@ -29,6 +29,8 @@ COUNT_BYTES, CUT_BYTES = 1 << 22, 1 << 21
 #: Sets of a list that all others of it are compared with in a turn, and turns before the rest is compared in full, in blocks.
 CENTRES, TURNS, BLOCK_SETS = 2, 2, 4096
 SKETCH = 16
+#: Links that connect as all do, up to which one task unites them.
+FEW_LINKS = 1 << 17
 _LIST = ["la", "lb"]
 
 
@@ -259,71 +261,72 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = named(text_col).cast("string")
     rows = docs.select(named(id_col).alias("id"), *text_key(text), text.alias("t"))
-    chosen = stored(_candidates(rows, words, percent), "candidates")
-    release(docs.sparkSession)  # the shuffles of all shingles are read
-    held = chosen.select(*[F.col(c).alias(f"{c}_") for c in chosen.columns])
-    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_"))
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [shingle_set(t.as_py(), words) for t in batch.column(3)]
-            key = [xxhash.xxh3_128_digest(s.tobytes()) for s in own]
-            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64)
-            bits = pa.array([sketch(s) for s in own], pa.list_(pa.int64()))
-            fp = pa.array([set_fingerprint(s) for s in own], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), bits, fp], names=["id", "h1", "h2", "key", "shingles", "bits", "fp"])
-
-    rows = rows.join(held, same, "left_semi").mapInArrow(tidied(sets), f"id {kind}, h1 long, h2 long, key binary, shingles array<long>, bits array<long>, fp long")
-    rows = stored(rows, "shingle-sets")
-    discard(chosen)
-    release(docs.sparkSession)  # and that of all texts
-    place = F.struct(F.col("id").isNull().alias("z"), "id", "h1", "h2")
-    nodes = rows.groupBy(F.col("key").alias("own")).agg(F.min(place).alias("least"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits"), F.first("fp").alias("fp"))
-    # a node's number is fixed by being written; numbers are smaller than keys, and no two nodes share one
-    nodes = stored(nodes.withColumn("n", F.size("shingles").cast("long")).withColumn("key", F.monotonically_increasing_id()), "nodes")
-    def verified(pairs: DataFrame) -> DataFrame:
-        met = pairs = stored(pairs.distinct(), "pairs")
-        most = hot_from(pairs.count())
-        for k in "ab":  # a centre has a pair with each set of its lists
-            own = nodes.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}"))
-            if most is not None:
-                own = own.join(stored(met.groupBy(k).agg(F.count(F.lit(1)).alias("rows")), "pair-counts"), k)
-            pairs = join_each(pairs, own, [k], F.col("b" if k == "a" else "a"), most, "rows")
-        both = F.size(F.array_intersect("sa", "sb"))
-        found = stored(pairs.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
-        discard(met)
-        return found
-
-    def compared(members: DataFrame, turn: int) -> DataFrame:
-        short, long = members.where(F.col("m") <= 2 * CENTRES), members.where(F.col("m") > 2 * CENTRES)
-        if turn == 0:
-            return verified(_linked(short, percent, _other(short), _LIST).unionAll(_with_centres(long, 0, percent)))
-        return verified(_with_centres(long, turn, percent) if turn < TURNS else _in_blocks(long, nodes, percent))
-
-    links = compared(_buckets(nodes), 0)
-    found = stored(connected_components(links, "a", "b"), "parts")
-    lists = _lists(nodes, percent)
-    release(docs.sparkSession)
-    for turn in range(TURNS + 1):
-        members = lists.join(found, F.col("key") == F.col("node"), "left").select(*_LIST, "m", "key", "n", "rem", F.coalesce("component", "key").alias("c"))
-        mixed = members.groupBy(*_LIST).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select(*_LIST)
-        members = stored(members.join(mixed, _LIST, "left_semi").where(F.col("m") > (2 * CENTRES if turn else 0)), "mixed-lists")
-        if members.isEmpty():
-            break
-        more = compared(members, turn)
-        discard(members)
-        if more.isEmpty():
-            continue
-        links = links.unionAll(more)
-        found = stored(connected_components(links, "a", "b"), "parts")
-    grouped = nodes.join(found, nodes["key"] == found["node"], "left").select("own", "least", F.coalesce("component", "key").alias("component"))
-    first = grouped.groupBy("component").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("rows"))
-    most = hot_from(nodes.count())
-    repeats = stored(rows.groupBy("id", "h1", "h2", F.col("key").alias("own")).agg(F.count(F.lit(1)).alias("rows")), "repeats")
-    of_key = join_each(grouped, stored(first, "firsts"), ["component"], F.col("own"), most, "rows").select("own", "first")
-    of_key = stored(of_key.join(repeats.groupBy("own").agg(F.count(F.lit(1)).alias("n")), "own"), "named-nodes")
+    with passing(docs.sparkSession) as keep:
+        chosen = stored(_candidates(rows, words, percent), "candidates")
+        release(docs.sparkSession)  # the shuffles of all shingles are read
+        held = chosen.select(*[F.col(c).alias(f"{c}_") for c in chosen.columns])
+        same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_"))
+        kind = rows.schema["id"].dataType.simpleString()
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [shingle_set(t.as_py(), words) for t in batch.column(3)]
+                key = [xxhash.xxh3_128_digest(s.tobytes()) for s in own]
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                flat = np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64)
+                bits = pa.array([sketch(s) for s in own], pa.list_(pa.int64()))
+                fp = pa.array([set_fingerprint(s) for s in own], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), bits, fp], names=["id", "h1", "h2", "key", "shingles", "bits", "fp"])
+
+        rows = rows.join(held, same, "left_semi").mapInArrow(tidied(sets), f"id {kind}, h1 long, h2 long, key binary, shingles array<long>, bits array<long>, fp long")
+        rows = stored(rows, "shingle-sets")
+        discard(chosen)
+        release(docs.sparkSession)  # and that of all texts
+        place = F.struct(F.col("id").isNull().alias("z"), "id", "h1", "h2")
+        nodes = rows.groupBy(F.col("key").alias("own")).agg(F.min(place).alias("least"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits"), F.first("fp").alias("fp"))
+        # a node's number is fixed by being written; numbers are smaller than keys, and no two nodes share one
+        nodes = stored(nodes.withColumn("n", F.size("shingles").cast("long")).withColumn("key", F.monotonically_increasing_id()), "nodes")
+        def verified(pairs: DataFrame) -> DataFrame:
+            met = pairs = stored(pairs.distinct(), "pairs")
+            most = hot_from(pairs.count())
+            for k in "ab":  # a centre has a pair with each set of its lists
+                own = nodes.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}"))
+                if most is not None:
+                    own = own.join(stored(met.groupBy(k).agg(F.count(F.lit(1)).alias("rows")), "pair-counts"), k)
+                pairs = join_each(pairs, own, [k], F.col("b" if k == "a" else "a"), most, "rows")
+            both = F.size(F.array_intersect("sa", "sb"))
+            found = stored(pairs.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
+            discard(met)
+            return found
+
+        def compared(members: DataFrame, turn: int) -> DataFrame:
+            short, long = members.where(F.col("m") <= 2 * CENTRES), members.where(F.col("m") > 2 * CENTRES)
+            if turn == 0:
+                return verified(_linked(short, percent, _other(short), _LIST).unionAll(_with_centres(long, 0, percent)))
+            return verified(_with_centres(long, turn, percent) if turn < TURNS else _in_blocks(long, nodes, percent))
+
+        links = compared(_buckets(nodes), 0)
+        found = stored(connected_components(links, "a", "b", few=FEW_LINKS), "parts")
+        lists = _lists(nodes, percent)
+        release(docs.sparkSession)
+        for turn in range(TURNS + 1):
+            members = lists.join(found, F.col("key") == F.col("node"), "left").select(*_LIST, "m", "key", "n", "rem", F.coalesce("component", "key").alias("c"))
+            mixed = members.groupBy(*_LIST).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select(*_LIST)
+            members = stored(members.join(mixed, _LIST, "left_semi").where(F.col("m") > (2 * CENTRES if turn else 0)), "mixed-lists")
+            if members.isEmpty():
+                break
+            more = compared(members, turn)
+            discard(members)
+            if more.isEmpty():
+                continue
+            links = links.unionAll(more)
+            found = stored(connected_components(links, "a", "b", few=FEW_LINKS), "parts")
+        grouped = nodes.join(found, nodes["key"] == found["node"], "left").select("own", "least", F.coalesce("component", "key").alias("component"))
+        first = grouped.groupBy("component").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("rows"))
+        most = hot_from(nodes.count())
+        repeats = keep(stored(rows.groupBy("id", "h1", "h2", F.col("key").alias("own")).agg(F.count(F.lit(1)).alias("rows")), "repeats"))
+        of_key = join_each(grouped, stored(first, "firsts"), ["component"], F.col("own"), most, "rows").select("own", "first")
+        of_key = keep(stored(of_key.join(repeats.groupBy("own").agg(F.count(F.lit(1)).alias("n")), "own"), "named-nodes"))
     result = join_each(repeats, of_key, ["own"], F.col("h1"), hot_from(repeats.count()))
     return result.select(F.col("id").alias(id_col), "h1", "h2", "rows", F.col("first.id").alias("component_id"), (place == F.col("first")).alias("kept"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.spread import hot_from, join_each
-from ..plans.storage import stored
+from ..plans.storage import discard, passing, release, stored
 from .columns import by_place, free_names, named, tidied, tidy, without
 
 GRAM = 48
@@ -297,52 +297,57 @@ def repeated_windows(texts: DataFrame, factor: int, keep_first: bool) -> DataFra
     """``rid, at, a, b``: runs of window starts to remove. ``texts`` has rid, at (the id) and t."""
     kind = texts.schema["at"].dataType.simpleString()
     schema = f"rid long, at {kind}, lo long, hi long, mh long, code long, more long, end long, times long"
-    rows = stored(texts.select("rid", "at", "t").where(F.octet_length("t") >= factor).mapInArrow(tidied(lambda it: _cut(it, factor)), schema), "stretches")
-    most = hot_from(rows.agg(F.sum("times")).first()[0] or 0)
-    where = F.struct("rid", "lo")
-    ends = [f(c).alias(f"{c}{k}") for c in ("code", "more") for k, f in enumerate((F.min, F.max))]
-    by_key = rows.groupBy("mh").agg(F.sum("times").alias("n"), *ends)
-    again = by_key.where("n > 1").select("mh", ((F.col("code0") == F.col("code1")) & (F.col("more0") == F.col("more1"))).alias("alike"), "n")
-    rows = stored(join_each(rows, again, ["mh"], where, most), "repeated-stretches")
-
-    place = F.struct(F.col("at").isNull().alias("z"), "at", "rid", "lo", "hi")
-    classes = rows.groupBy(*_KEY, "alike").agg(F.sum("times").alias("n"), F.min(place).alias("one"))
-    classes = stored(classes.select(*_KEY, "alike", "n", "one.at", "one.rid", "one.lo", "one.hi"), "classes")
-    mixed = classes.where("not alike")
-    needed = mixed.groupBy(F.col("rid").alias("rid0"), F.col("at").alias("at0")).agg(F.collect_list(F.struct(*_KEY, "n", "lo", "hi")).alias("cuts"))
-
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                data, cuts = _utf8(batch.column(2)[k].as_py()), batch.column(3)[k].as_py()
-                fields = {x: [c[x] for c in cuts] for x in (*_KEY, "n")}
-                fields["at"] = batch.column(1).take(pa.array([k] * len(cuts)))
-                fields["rid"] = [batch.column(0)[k].as_py()] * len(cuts)
-                fields["lo"] = [c["lo"] for c in cuts]
-                fields["body"] = [data[c["lo"] : c["hi"] + factor] for c in cuts]
-                yield pa.RecordBatch.from_pydict(fields)
-
-    bodies = texts.join(needed, (F.col("rid") == F.col("rid0")) & F.col("at").eqNullSafe(F.col("at0"))).select("rid", "at", "t", "cuts")
-    bodies = bodies.mapInArrow(tidied(slices), f"mh long, code long, more long, n long, at {kind}, rid long, lo long, body binary").dropDuplicates(_KEY)
-    crowds = mixed.groupBy("mh").agg(F.count(F.lit(1)).alias("m"))
-    bodies = stored(bodies.join(crowds, "mh"), "bodies")
-    few, many = bodies.where(F.col("m") <= CROWD), bodies.where(F.col("m") > CROWD)
-    parts = int((few.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // SORT_BYTES) + 1
-    found = few.withColumn("part", F.pmod("mh", F.lit(parts))).groupBy("part").applyInArrow(lambda f: _sorted_repeats(f, factor), _FOUND)
-    found = stored(found.unionAll(_hashed_repeats(many, factor).select(*_KEY, "n", "repeated", "earlier")), "repeats")
-
-    # stretches that are alike repeat as wholes; of the others the found windows do; copies right behind a stretch always do
-    begin = F.lit(False)  # whether a row is the first place of its stretch, which stays
-    if keep_first:
-        head = classes.select(*_KEY, "n", F.col("at").alias("at0"), F.col("rid").alias("rid0"), F.col("lo").alias("lo0"))
-        rows = join_each(rows, head, _KEY, where, most)
-        begin = (F.col("rid") == F.col("rid0")) & F.col("at").eqNullSafe(F.col("at0")) & (F.col("lo") == F.col("lo0"))
-    whole = rows.where("alike").where(~begin).select("rid", "at", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    behind = rows.where("times > 1").select("rid", "at", (F.col("hi") + 1).alias("a"), F.col("end").alias("b"))
-    part = join_each(rows.where("not alike"), found, _KEY, where, most)
-    part = part.select("rid", "at", "lo", F.explode(F.when(begin, F.col("earlier")).otherwise(F.col("repeated"))).alias("x"))
-    part = part.select("rid", "at", (F.col("lo") + F.col("x.a")).alias("a"), (F.col("lo") + F.col("x.b")).alias("b"))
-    return whole.unionAll(behind).unionAll(part)
+    with passing(texts.sparkSession) as keep:
+        rows = stored(texts.select("rid", "at", "t").where(F.octet_length("t") >= factor).mapInArrow(tidied(lambda it: _cut(it, factor)), schema), "stretches")
+        most = hot_from(rows.agg(F.sum("times")).first()[0] or 0)
+        where = F.struct("rid", "lo")
+        ends = [f(c).alias(f"{c}{k}") for c in ("code", "more") for k, f in enumerate((F.min, F.max))]
+        by_key = rows.groupBy("mh").agg(F.sum("times").alias("n"), *ends)
+        again = by_key.where("n > 1").select("mh", ((F.col("code0") == F.col("code1")) & (F.col("more0") == F.col("more1"))).alias("alike"), "n")
+        every, rows = rows, stored(join_each(rows, again, ["mh"], where, most), "repeated-stretches")
+        discard(every)
+        release(texts.sparkSession)  # the shuffles of all stretches are read
+
+        place = F.struct(F.col("at").isNull().alias("z"), "at", "rid", "lo", "hi")
+        classes = rows.groupBy(*_KEY, "alike").agg(F.sum("times").alias("n"), F.min(place).alias("one"))
+        classes = stored(classes.select(*_KEY, "alike", "n", "one.at", "one.rid", "one.lo", "one.hi"), "classes")
+        mixed = classes.where("not alike")
+        needed = mixed.groupBy(F.col("rid").alias("rid0"), F.col("at").alias("at0")).agg(F.collect_list(F.struct(*_KEY, "n", "lo", "hi")).alias("cuts"))
+
+        def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    data, cuts = _utf8(batch.column(2)[k].as_py()), batch.column(3)[k].as_py()
+                    fields = {x: [c[x] for c in cuts] for x in (*_KEY, "n")}
+                    fields["at"] = batch.column(1).take(pa.array([k] * len(cuts)))
+                    fields["rid"] = [batch.column(0)[k].as_py()] * len(cuts)
+                    fields["lo"] = [c["lo"] for c in cuts]
+                    fields["body"] = [data[c["lo"] : c["hi"] + factor] for c in cuts]
+                    yield pa.RecordBatch.from_pydict(fields)
+
+        bodies = texts.join(needed, (F.col("rid") == F.col("rid0")) & F.col("at").eqNullSafe(F.col("at0"))).select("rid", "at", "t", "cuts")
+        bodies = bodies.mapInArrow(tidied(slices), f"mh long, code long, more long, n long, at {kind}, rid long, lo long, body binary").dropDuplicates(_KEY)
+        crowds = mixed.groupBy("mh").agg(F.count(F.lit(1)).alias("m"))
+        bodies = stored(bodies.join(crowds, "mh"), "bodies")
+        release(texts.sparkSession)  # and that of all texts
+        few, many = bodies.where(F.col("m") <= CROWD), bodies.where(F.col("m") > CROWD)
+        parts = int((few.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // SORT_BYTES) + 1
+        found = few.withColumn("part", F.pmod("mh", F.lit(parts))).groupBy("part").applyInArrow(lambda f: _sorted_repeats(f, factor), _FOUND)
+        found = stored(found.unionAll(_hashed_repeats(many, factor).select(*_KEY, "n", "repeated", "earlier")), "repeats")
+        discard(bodies)
+
+        # stretches that are alike repeat as wholes; of the others the found windows do; copies right behind a stretch always do
+        begin = F.lit(False)  # whether a row is the first place of its stretch, which stays
+        if keep_first:
+            head = classes.select(*_KEY, "n", F.col("at").alias("at0"), F.col("rid").alias("rid0"), F.col("lo").alias("lo0"))
+            rows = join_each(rows, head, _KEY, where, most)
+            begin = (F.col("rid") == F.col("rid0")) & F.col("at").eqNullSafe(F.col("at0")) & (F.col("lo") == F.col("lo0"))
+        whole = rows.where("alike").where(~begin).select("rid", "at", F.col("lo").alias("a"), F.col("hi").alias("b"))
+        behind = rows.where("times > 1").select("rid", "at", (F.col("hi") + 1).alias("a"), F.col("end").alias("b"))
+        part = join_each(rows.where("not alike"), found, _KEY, where, most)
+        part = part.select("rid", "at", "lo", F.explode(F.when(begin, F.col("earlier")).otherwise(F.col("repeated"))).alias("x"))
+        part = part.select("rid", "at", (F.col("lo") + F.col("x.a")).alias("a"), (F.col("lo") + F.col("x.b")).alias("b"))
+        return keep(stored(whole.unionAll(behind).unionAll(part), "runs"))
 
 
 def cut_spans(size: int, starts: list[tuple[int, int]], factor: int) -> list[tuple[int, int]]:

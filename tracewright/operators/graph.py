@@ -77,6 +77,27 @@ def spanning_edges(edges: DataFrame, src: str, dst: str, weight: str | None = No
     return edges.select(*names).mapInArrow(thin, T.StructType([fields[n] for n in names]))
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, component`` of all edges (u and v, whole numbers) at once."""
+    held = list(batches)
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    ends = [rows[c].to_numpy() for c in ("u", "v")]
+    node, place = np.unique(np.concatenate(ends), return_inverse=True)  # the least place of a component is its smallest node
+    parent = list(range(len(node)))
+    place = place.tolist()
+    for x, y in zip(place[: rows.num_rows], place[rows.num_rows :], strict=True):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        parent[max(x, y)] = min(x, y)
+    for k, above in enumerate(parent):  # parents are smaller, so they are done
+        parent[k] = parent[above]
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[parent])], names=["node", "component"])
+
+
 def _large_star(edges: DataFrame, most: int | None) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour (or to the node)."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -91,7 +112,7 @@ def _small_star(edges: DataFrame, most: int | None) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, few: int = 0) -> DataFrame:
     """``node, component`` for every node that has an edge to another one; component is the smallest node reachable.
 
     Nodes may be of any orderable type. Edges with a null end and self loops are
@@ -99,11 +120,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     first thin their own edges to a forest. Each round then joins edges with
     per-node minima (partially aggregated; a hub's edges are salted) and is
     written to the shared folder; rounds grow with the logarithm of the
-    component size.
+    component size. Up to ``few`` edges that are left when thinned are united
+    by one task, without rounds; nodes are longs then.
     """
     start = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
     thinned = spanning_edges(start, "a", "b")
     current = stored(thinned.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if few and current.count() <= few:
+        return current.coalesce(1).mapInArrow(_united, "node long, component long")
     before = None
     for _ in range(max_rounds):
         seen = _signature(current)
