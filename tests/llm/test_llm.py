@@ -178,7 +178,7 @@ def test_stages_leave_only_what_their_results_need(spark):
 
     own = storage._own_dir(spark).removeprefix("file:")
     table = docs(spark, [(k, prose(k % 8, 60), "a") for k in range(12)] + [(20 + k, f"{prose(90 + k, 40)} {prose(50, 60)}", "a") for k in range(4)])
-    for stage, left, want in ((corpus_pipeline.drop_near_copies, {"repeats", "named-nodes"}, 12), (corpus_pipeline.drop_repeated_passages, {"runs"}, 16)):
+    for stage, left, want in ((corpus_pipeline.drop_near_copies, {"repeats", "named-nodes", "fingerprint-lists"}, 12), (corpus_pipeline.drop_repeated_passages, {"runs"}, 16)):
         before = set(os.listdir(own)) if os.path.isdir(own) else set()
         found = stage(spark, table, "")
         assert {x.rpartition("-")[0] for x in set(os.listdir(own)) - before} == left

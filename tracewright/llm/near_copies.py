@@ -305,7 +305,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 return verified(_linked(short, percent, _other(short), _LIST).unionAll(_with_centres(long, 0, percent)))
             return verified(_with_centres(long, turn, percent) if turn < TURNS else _in_blocks(long, nodes, percent))
 
-        links = compared(_buckets(nodes), 0)
+        links = compared(keep(_buckets(nodes)), 0)  # these lists, small beside the texts, stay to be looked at
         found = stored(connected_components(links, "a", "b", few=FEW_LINKS), "parts")
         lists = _lists(nodes, percent)
         release(docs.sparkSession)
