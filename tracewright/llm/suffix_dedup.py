@@ -306,11 +306,11 @@ def repeated_windows(texts: DataFrame, factor: int, keep_first: bool) -> DataFra
         again = by_key.where("n > 1").select("mh", ((F.col("code0") == F.col("code1")) & (F.col("more0") == F.col("more1"))).alias("alike"), "n")
         every, rows = rows, stored(join_each(rows, again, ["mh"], where, most), "repeated-stretches")
         discard(every)
-        release(texts.sparkSession)  # the shuffles of all stretches are read
 
         place = F.struct(F.col("at").isNull().alias("z"), "at", "rid", "lo", "hi")
         classes = rows.groupBy(*_KEY, "alike").agg(F.sum("times").alias("n"), F.min(place).alias("one"))
         classes = stored(classes.select(*_KEY, "alike", "n", "one.at", "one.rid", "one.lo", "one.hi"), "classes")
+        release(texts.sparkSession)  # the shuffles of all stretches are read; those of the last table written stay held till another is
         mixed = classes.where("not alike")
         needed = mixed.groupBy(F.col("rid").alias("rid0"), F.col("at").alias("at0")).agg(F.collect_list(F.struct(*_KEY, "n", "lo", "hi")).alias("cuts"))
 
